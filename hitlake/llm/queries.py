@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, language, matroska, packing, toolcalls, toxicity, warc
+from . import html, jaccard, language, matroska, packing, substrings, toolcalls, toxicity, warc
 from .text import held_out, table
 
 
@@ -36,6 +36,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), jaccard.Rule(k=4, percent=85))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), window=20)
+
+
 def op9_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.store(table(spark, sf_dir, "documents")))
 
@@ -44,5 +52,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op9_matroska, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op8_substrings, op9_matroska, op10_html)}
 ORACLES: dict[str, str] = {}

@@ -109,7 +109,7 @@ def gram_hashes(ids: np.ndarray, k: int, base: np.uint64 = P1) -> np.ndarray:
         if rest:
             m = len(power) - step
             power = power[:m] * scale + power[step:]
-            scale = scale * scale
+            scale = np.uint64(int(scale) ** 2 & (1 << 64) - 1)
             step *= 2
     return mixed(done[: len(ids) - k + 1])
 
