@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import slices
 
@@ -110,5 +111,5 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RANK
                 score.append(float(1 - away[best] / (ranks * len(own))))
             yield pa.RecordBatch.from_pydict({key: b.column(key), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(predict, f"{key} {kind}, lang_pred string, score double")
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(key, "text").mapInArrow(predict, schema)

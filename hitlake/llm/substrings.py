@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import P2, WordHashes, gram_hashes, mixed, slices, utf8, whole, word_ids
 
@@ -136,47 +137,75 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     return spans.select(back("d").alias("doc_id"), "start", "end", back("source_d").alias("source_doc_id"), "source_start")
 
 
-def _kept(text: bytes, spans: list, copy: bool, window: int) -> tuple[int, int, list[bytes] | None, np.ndarray | None]:
-    """Number of words, of removed words, and the words and their mask."""
-    words = text.split()
+def _gone(words: list[bytes], spans: list | None, copy: bool | None, window: int) -> np.ndarray:
+    """Which of a text's words go."""
     gone = np.zeros(len(words), bool)
     if copy and len(words) >= window:
         gone[:] = True
     for s in spans or ():
         gone[s["start"] : s["end"]] = True
-    return len(words), int(gone.sum()), words, gone
+    return gone
 
 
-def dedup(docs: DataFrame, window: int = 20, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row; with ``texts`` also kept: the text without the removed words.
-
-    kept_sha256 is of the kept words joined by one space. In ``kept``, the white space before a kept word stays; a
-    text that loses nothing stays as it is.
-    """
-    keyed = _keyed(docs)
+def _losses(keyed: DataFrame, window: int) -> DataFrame:
+    """(d, c, copy, spans) of the texts that lose words."""
     copies, spans = _paths(keyed, window)
     own = spans.groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text: no more than its words
     # spans belong to the first text of its kind; a copy has a row of its own
     firsts = keyed.select("d", "c").distinct().join(copies, ["d", "c"], "left_anti").join(own, "d").select("d", "c", F.lit(False).alias("copy"), "spans")
-    lost = firsts.unionByName(copies.select("d", "c", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans")))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
+    return firsts.unionByName(copies.select("d", "c", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans")))
+
+
+def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) of every row."""
+    keyed = _keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "kept")}
-            for text, copied, some in zip(*(b.column(k).to_pylist() for k in ("text", "copy", "spans")), strict=True):
-                n, removed, words, gone = _kept(text or b"", some, bool(copied), window)
-                left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words
-                rows["n_words"].append(n)
-                rows["n_removed"].append(removed)
-                rows["kept_sha256"].append(hashlib.sha256(b" ".join(left)).hexdigest())
-                if texts:
-                    rows["kept"].append(text.decode() if not removed and text is not None else _spliced(text, gone) if removed else None)
+            n, removed, digests = [], [], []
+            for text, copy, spans in zip(*(b.column(k).to_pylist() for k in ("text", "copy", "spans")), strict=True):
+                words = (text or b"").split()
+                n.append(len(words))
+                removed.append(0)
+                if copy or spans:
+                    gone = _gone(words, spans, copy, window)
+                    removed[-1] = int(gone.sum())
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             ids = pa.array([None if d == LOWEST else d for d in b.column("d").to_pylist()], pa.int64())
-            out = {"doc_id": ids, "n_words": pa.array(rows["n_words"], pa.int64()), "n_removed": pa.array(rows["n_removed"], pa.int64()), "kept_sha256": pa.array(rows["kept_sha256"], pa.string())}
-            yield pa.RecordBatch.from_pydict(out | ({"kept": pa.array(rows["kept"], pa.string())} if texts else {}))
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
-    return keyed.join(lost.hint("merge"), ["d", "c"], "left").select("d", "text", "copy", "spans").mapInArrow(run, schema)
+    joined = keyed.join(_losses(keyed, window).hint("merge"), ["d", "c"], "left").select("d", "text", "copy", "spans")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip(docs: DataFrame, window: int = 20) -> DataFrame:
+    """docs, all columns, without the repeated words; rows that lose all their words go.
+
+    The white space before a kept word stays, and a text that loses nothing stays as it is.
+    """
+    keyed = _keyed(docs)
+    d, c = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)), F.xxhash64("text")
+    rows = docs.select(d.alias("d"), c.alias("c"), F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, texts, stays = b.column("row"), [], []
+            for text, copy, spans in zip(row.field("text").to_pylist(), b.column("copy").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                left = True
+                if copy or spans:
+                    raw = text.encode()
+                    gone = _gone(raw.split(), spans, copy, window)
+                    left = not gone.all()
+                    text = _spliced(raw, gone) if gone.any() else text
+                texts.append(text)
+                stays.append(left)
+            cols = [pa.array(texts, pa.string()) if f.name == "text" else row.field(f.name) for f in row.type]
+            kept = pa.StructArray.from_arrays(cols, fields=list(row.type)).filter(pa.array(stays, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept], ["row"])
+
+    joined = rows.join(_losses(keyed, window).hint("merge"), ["d", "c"], "left").select("row", "copy", "spans")
+    return joined.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType)])).select("row.*")
 
 
 def _spliced(text: bytes, gone: np.ndarray) -> str:
@@ -188,7 +217,3 @@ def _spliced(text: bytes, gone: np.ndarray) -> str:
         at = m.end()
     return b"".join([*parts, text[at:]]).strip().decode()
 
-
-def n_words(text: Column) -> Column:
-    """Number of words of a text column."""
-    return F.size(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
