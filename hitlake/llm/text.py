@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage as cut_lineage
+
 SLICE_BYTES = 2 << 20
 CACHED_WORDS = 1 << 18
 SPACE = b" \t\n\x0b\x0c\r"
@@ -141,21 +143,5 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
-
-    Uses spark.checkpoint.dir of the session; a folder of its own only where that is unset (local tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

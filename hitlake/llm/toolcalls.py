@@ -15,8 +15,6 @@ Null ids never link; of repeated (conv_id, call_id) the lowest turn counts, then
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,11 +93,7 @@ def from_turns(turns: DataFrame, tool: str = "reply") -> tuple[DataFrame, DataFr
 SCHEMAS = {"reply": {"properties": {"text": "string", "turn": "integer"}, "required": ["text", "turn"]}}
 
 
+
 def order(linked: DataFrame) -> DataFrame:
     """The rows of ``link`` in topological order within each conversation."""
     return linked.orderBy("conv_id", "depth", "call_id")
-
-
-def union_schemas(*schemas: dict[str, dict]) -> dict[str, dict]:
-    """Schemas of several tool sets; a later one replaces an earlier one of the same name."""
-    return reduce(lambda a, b: a | b, schemas, {})
