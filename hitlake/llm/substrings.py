@@ -109,7 +109,7 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
 
 def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """Texts that are whole copies (d, c), and repeated spans (d, c, start, end, source_d, source_start), end excluded."""
-    owners = keyed.select("d", "c", F.xxhash64("text", F.lit(1)).alias("c2"))
+    owners = keyed.where(F.octet_length("text") > 0).select("d", "c", F.xxhash64("text", F.lit(1)).alias("c2"))
     firsts = owners.groupBy("c", "c2").agg(F.min("d").alias("first"))
     copies = owners.join(firsts, ["c", "c2"]).where("d > first").select("d", "c").distinct()
 
