@@ -8,12 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ARROW_ROWS = 2000  # rows of long texts in one Arrow batch; Spark's default of 10,000 is meant for narrow rows
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors, once for each Spark application."""
+    """Send the package's sources to the executors, once for each Spark application, and bound its Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
