@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -19,3 +21,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name under spark.checkpoint.dir; under a temporary folder only where that is unset (local tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as fb
 from ..functions import stats as fs
+from ..lineage import shared_folder
 from ..operators import coincidence, compare, geometry, histograms, masks, maps, scalars, strips, trends, triplets
 from ..operators import hits as oh
 from ..operators import words as ow
-from ..schema import STATION_VMMS, STRATEGIES
+from ..schema import HIT_COLUMNS, KEY, STATION_VMMS, STRATEGIES
+from ..sources import capture, sinks
 from . import inputs
 from .oracles import oracle, pmod, wrap
 
@@ -192,6 +194,52 @@ def w2_marker_fill_segments(spark, sf_dir):
     return oh.to_hits(_words(spark, sf_dir), segment_packets=7)
 
 
+COUNTS = """sp AS (SELECT capture_id, min("time") AS t0, max("time") AS t1 FROM hits GROUP BY 1), counts AS (
+SELECT capture_id, hist, vmm, bin, bin2, count(*) AS n FROM (
+ SELECT capture_id, vmm, 'adc' AS hist, adc AS bin, -1 AS bin2 FROM hits UNION ALL SELECT capture_id, vmm, CASE WHEN over_threshold THEN 'adc_ot1' ELSE 'adc_ot0' END, adc, -1 FROM hits
+ UNION ALL SELECT capture_id, vmm, 'ch', ch, -1 FROM hits UNION ALL SELECT capture_id, vmm, 'bcid', bcid, -1 FROM hits UNION ALL SELECT capture_id, vmm, 'tdc', tdc, -1 FROM hits
+ UNION ALL SELECT capture_id, vmm, 'offset', "offset" + 16, -1 FROM hits UNION ALL SELECT capture_id, vmm, 'ot', CAST(over_threshold AS INT), -1 FROM hits
+ UNION ALL SELECT capture_id, vmm, 'adc_vs_ch', ch, adc >> 3 FROM hits
+ UNION ALL SELECT h.capture_id, vmm, 'time_profile', least(greatest((("time" - t0) * 200) // greatest(t1 - t0, 1), 0), 199), -1 FROM hits h JOIN sp ON sp.capture_id = h.capture_id) x GROUP BY ALL)"""
+
+# --- sources and sinks -------------------------------------------------------------------------------------------
+
+
+@query(oracle("SELECT 'capture-' || capture_id || '.pcapng' AS capture_id, pkt_no, src_ip, dst_ip, 16 + 6 * words AS bytes, frame FROM pk", extra=PKT))
+def s1_capture_source(spark, sf_dir):
+    folder = shared_folder(spark, "captures")
+    capture.write_captures(_packets(spark, sf_dir), folder)
+    rows = ow.headers(capture.read_packets(spark, f"{folder}/*.pcapng"))
+    return rows.select("capture_id", "pkt_no", "src_ip", "dst_ip", F.octet_length("payload").alias("bytes"), "frame")
+
+
+@query(oracle("SELECT capture_id, pkt_no, word_no, adc, abs_time_ns, hit_valid FROM hits"))
+def s9_s10_hit_store(spark, sf_dir):
+    folder = shared_folder(spark, "hits")
+    sinks.write_hits(_raw(spark, sf_dir), folder)
+    return sinks.load_hits(spark, folder, ["adc", "abs_time_ns", "hit_valid"])
+
+
+@query(oracle("SELECT * FROM counts WHERE hist = 'ch'", extra=COUNTS))
+def s11_counts_store(spark, sf_dir):
+    folder = shared_folder(spark, "counts")
+    sinks.write_counts(histograms.build_counts(_raw(spark, sf_dir)), folder)
+    return sinks.read_counts(spark, folder).where("hist = 'ch'")
+
+
+@query(oracle("SELECT c.capture_id, v.range AS vmm, coalesce(n, -1) AS n FROM (SELECT DISTINCT capture_id FROM hits) c CROSS JOIN range(32) v LEFT JOIN (SELECT capture_id, vmm, count(*) AS n FROM hits GROUP BY ALL) h ON h.capture_id = c.capture_id AND h.vmm = v.range"))
+def s13_run_parameters(spark, sf_dir):
+    hits, meta = _meta(spark, sf_dir)
+    return scalars.run_parameters(hits, meta).select("capture_id", F.posexplode("hits_per_vmm").alias("vmm", "n"))
+
+
+@query(oracle("SELECT capture_id, pkt_no, word_no, " + ", ".join(f'"{c}"' for c in HIT_COLUMNS) + " FROM hits"))
+def s14_per_hit_export(spark, sf_dir):
+    folder = shared_folder(spark, "export")
+    sinks.write_hits(_hits(spark, sf_dir), folder, derived=True)
+    return spark.read.parquet(folder).select(*KEY, *HIT_COLUMNS)
+
+
 # --- joins -------------------------------------------------------------------------------------------------------
 
 
@@ -290,13 +338,6 @@ def j15_compare_hits(spark, sf_dir):
 
 # --- aggregations ------------------------------------------------------------------------------------------------
 
-COUNTS = """sp AS (SELECT capture_id, min("time") AS t0, max("time") AS t1 FROM hits GROUP BY 1), counts AS (
-SELECT capture_id, hist, vmm, bin, bin2, count(*) AS n FROM (
- SELECT capture_id, vmm, 'adc' AS hist, adc AS bin, -1 AS bin2 FROM hits UNION ALL SELECT capture_id, vmm, CASE WHEN over_threshold THEN 'adc_ot1' ELSE 'adc_ot0' END, adc, -1 FROM hits
- UNION ALL SELECT capture_id, vmm, 'ch', ch, -1 FROM hits UNION ALL SELECT capture_id, vmm, 'bcid', bcid, -1 FROM hits UNION ALL SELECT capture_id, vmm, 'tdc', tdc, -1 FROM hits
- UNION ALL SELECT capture_id, vmm, 'offset', "offset" + 16, -1 FROM hits UNION ALL SELECT capture_id, vmm, 'ot', CAST(over_threshold AS INT), -1 FROM hits
- UNION ALL SELECT capture_id, vmm, 'adc_vs_ch', ch, adc >> 3 FROM hits
- UNION ALL SELECT h.capture_id, vmm, 'time_profile', least(greatest((("time" - t0) * 200) // greatest(t1 - t0, 1), 0), 199), -1 FROM hits h JOIN sp ON sp.capture_id = h.capture_id) x GROUP BY ALL)"""
 
 
 def _counts_query(name: str, where: str):

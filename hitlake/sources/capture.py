@@ -113,6 +113,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
+def _local(path: str) -> str:
+    """A path of a mounted folder, given with or without the file scheme."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
 @dataclass
 class Piece(InputPartition):
     path: str
@@ -125,7 +130,7 @@ class Piece(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.paths = sorted(glob.glob(options["path"]))
+        self.paths = sorted(glob.glob(_local(options["path"])))
         if not self.paths:
             raise ValueError(f"no capture matches {options['path']}")
         self.start = int(options.get("start", 0))
@@ -143,7 +148,7 @@ class Follower(DataSourceStreamReader):
     """Follows files that grow and files that appear; the offset holds, for each file, the next block and packet number."""
 
     def __init__(self, options: dict[str, str]):
-        self.pattern = options["path"]
+        self.pattern = _local(options["path"])
         self.most = int(options.get("maxpacketspertrigger", 1_000_000))
         self.seen: dict[str, list] = {}
 
@@ -201,3 +206,47 @@ def read_stream(spark: SparkSession, path: str, max_packets_per_trigger: int = 1
     """The same rows as a stream of growing and newly written captures."""
     spark.dataSource.register(Capture)
     return spark.readStream.format("capture").option("maxPacketsPerTrigger", str(max_packets_per_trigger)).load(path)
+
+
+def _block(kind: int, body: bytes) -> bytes:
+    body += bytes(-len(body) % 4)
+    size = struct.pack("<I", len(body) + 12)
+    return struct.pack("<I", kind) + size + body + size
+
+
+def _frame(source: str, target: str, data: bytes) -> bytes:
+    ip = b"\x45" + bytes(8) + b"\x11" + bytes(2) + bytes(map(int, source.split("."))) + bytes(map(int, target.split(".")))
+    return bytes(12) + b"\x08\x00" + ip + struct.pack(">HHHH", 6006, 6006, 8 + len(data), 0) + data
+
+
+def write_captures(packets: DataFrame, folder: str) -> None:
+    """One pcapng file for each capture of packets, in order of pkt_no; for replays and for trying decoders.
+
+    A capture is a sorted run within a task and streams to its file, which gets its name when it is complete.
+    """
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, name, made = None, None, 0
+        target = _local(folder)
+        os.makedirs(target, exist_ok=True)
+        partial = f"{target}/.{TaskContext.get().taskAttemptId()}"
+
+        def done() -> None:
+            if out:
+                out.close()
+                os.replace(partial, f"{target}/capture-{name}.pcapng")
+
+        for b in batches:
+            for capture_id, source, to, data in zip(*(b.column(c).to_pylist() for c in ("capture_id", "src_ip", "dst_ip", "payload")), strict=True):
+                if out is None or capture_id != name:
+                    done()
+                    out, name, made = open(partial, "wb", buffering=1 << 20), capture_id, made + 1
+                    out.write(_block(SECTION, struct.pack("<IHHq", ORDER, 1, 0, -1)) + _block(INTERFACE, struct.pack("<HHI", ETHERNET, 0, 0)))
+                frame = _frame(source, to, data)
+                out.write(_block(ENHANCED, struct.pack("<IIIII", 0, 0, 0, len(frame), len(frame)) + frame))
+        done()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
+
+    rows = packets.repartition("capture_id").sortWithinPartitions("capture_id", "pkt_no").select("capture_id", "src_ip", "dst_ip", "payload")
+    rows.mapInArrow(run, "files long").agg({"files": "sum"}).collect()
