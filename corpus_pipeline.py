@@ -22,8 +22,7 @@ PASSAGE = 50
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; those with no letters or near no language's profile go."""
     ship(spark)
-    found = language.identify(docs.withColumn("__row", F.struct("*")), language.learn(docs), key="__row")
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("__row.*")
+    return language.accepted(docs, language.learn(docs), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,28 +88,48 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> dict[str, np.ndarray]:
     return dict(sorted(profiles.items()))
 
 
+def _predict(texts: list[str | None], langs: list[str], table: np.ndarray, ranks: int) -> tuple[list[str], list[float]]:
+    pred, score = [], []
+    for t in texts:
+        codes = grams(t) if t and langs else ()
+        if not len(codes):
+            pred.append(UNKNOWN)
+            score.append(0.0)
+            continue
+        own = ranked(codes, ranks)
+        theirs = table[:, own]
+        away = np.where(theirs < 0, ranks, np.abs(theirs - np.arange(len(own)))).sum(1)
+        best = int(away.argmin())
+        pred.append(langs[best])
+        score.append(float(1 - away[best] / (ranks * len(own))))
+    return pred, score
+
+
+def _shared(docs: DataFrame, profiles: dict[str, np.ndarray]):
+    return docs.sparkSession.sparkContext.broadcast(np.stack(list(profiles.values())) if profiles else np.empty((0, SLOTS), np.int16))
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RANKS, key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score of every row. score: 1 less the distance as a share of the largest possible one."""
-    langs = list(profiles)
-    shared = docs.sparkSession.sparkContext.broadcast(np.stack(list(profiles.values())) if langs else np.empty((0, SLOTS), np.int16))
+    langs, shared = list(profiles), _shared(docs, profiles)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for b in batches:
-            pred, score = [], []
-            for t in b.column("text").to_pylist():
-                codes = grams(t) if t and langs else ()
-                if not len(codes):
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                own = ranked(codes, ranks)
-                theirs = table[:, own]
-                away = np.where(theirs < 0, ranks, np.abs(theirs - np.arange(len(own)))).sum(1)
-                best = int(away.argmin())
-                pred.append(langs[best])
-                score.append(float(1 - away[best] / (ranks * len(own))))
+            pred, score = _predict(b.column("text").to_pylist(), langs, shared.value, ranks)
             yield pa.RecordBatch.from_pydict({key: b.column(key), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(key, "text").mapInArrow(predict, schema)
+
+
+def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, ranks: int = RANKS) -> DataFrame:
+    """The rows of docs, all columns, whose language is found with a score of ``least`` or more."""
+    langs, shared = list(profiles), _shared(docs, profiles)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pred, score = _predict(b.column("row").field("text").to_pylist(), langs, shared.value, ranks)
+            yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.mapInArrow(choose, rows.schema).select("row.*")
