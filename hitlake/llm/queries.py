@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html, jaccard, language, matroska, packing, substrings, toolcalls, toxicity, warc
+from .oracles import ORACLES as ORACLES
 from .text import held_out, table
 
 
@@ -57,4 +58,3 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op7_decontamination, op8_substrings, op9_matroska, op10_html)}
-ORACLES: dict[str, str] = {}

@@ -1,0 +1,27 @@
+"""The queries with SQL of their own give the rows that DuckDB gives on the given tables."""
+
+import math
+
+import pytest
+
+from hitlake.llm.oracles import ORACLES
+from hitlake.llm.queries import QUERIES
+
+duckdb = pytest.importorskip("duckdb")
+
+
+def plain(rows):
+    empty = lambda v: v is None or (isinstance(v, float) and math.isnan(v))
+    return sorted(tuple("null" if empty(v) else repr(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_oracle(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    out = con.execute(ORACLES[name])
+    columns = [d[0] for d in out.description]
+    got = QUERIES[name](spark, sf)
+    assert sorted(columns) == sorted(got.columns)
+    assert plain(out.fetchall()) == plain(tuple(r) for r in got.select(columns).collect())
