@@ -56,7 +56,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def minimizers(docs: DataFrame, window: int) -> DataFrame:
-    """(a, c, pos) of each selected minimizer of each text; a text that a task has seen is not repeated."""
+    """(a, c, many): the distinct minimizers of each text and whether it has them at several places; a text that a task has seen is not repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, seen = WordHashes(), set()
@@ -75,10 +75,16 @@ def minimizers(docs: DataFrame, window: int) -> DataFrame:
                 edge = np.concatenate([np.zeros(width - 1, np.uint64), np.where(inside, least, 0), np.zeros(width - 1, np.uint64)])
                 at = np.flatnonzero((_sliding(edge, width, np.maximum) == runs) & (runs > 0))
                 doc = np.searchsorted(offsets, at, "right") - 1
+                order = np.lexsort((runs[at], doc))
+                a, doc = runs[at][order], doc[order]
+                new = np.ones(len(a), bool)
+                new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(new)
+                many = np.diff(np.append(first, len(a))) > 1
                 keys = np.array([c for c, _ in some], np.int64)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(runs[at].view(np.int64)), "c": pa.array(keys[doc]), "pos": pa.array((at - offsets[doc]).astype(np.int32))})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a[first].view(np.int64)), "c": pa.array(keys[doc[first]]), "many": pa.array(many)})
 
-    return docs.select("c", "text").mapInArrow(run, "a long, c long, pos int")
+    return docs.select("c", "text").mapInArrow(run, "a long, c long, many boolean")
 
 
 def edges(docs: DataFrame, window: int) -> DataFrame:
@@ -114,8 +120,8 @@ def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     copies = owners.join(firsts, ["c", "c2"]).where("d > first").select("d", "c").distinct()
 
     everywhere = Window.partitionBy("a")
-    place = F.struct("c", "pos")
-    marked = minimizers(keyed, window).withColumn("twice", F.min(place).over(everywhere) < F.max(place).over(everywhere)).where("twice")
+    twice = F.max("many").over(everywhere) | (F.min("c").over(everywhere) < F.max("c").over(everywhere))
+    marked = minimizers(keyed, window).withColumn("twice", twice).where("twice")
     marks = marked.groupBy("c").agg(F.collect_set("a").alias("marks"))  # of one text: no more than its words
     chosen = firsts.join(marks, "c").select(F.col("first").alias("d"), "c", "marks")
     found = edges(keyed.join(chosen.hint("merge"), ["d", "c"]), window)
