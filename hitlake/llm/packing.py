@@ -11,9 +11,11 @@ never joins text over white space, so each distinct chunk between blanks is enco
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,29 @@ from .text import slices
 
 LONGEST = 4096
 END = 2
-CACHED_CHUNKS = 1 << 17
+CACHED_CHUNKS = 1 << 19
+# Letters or digits, then marks to the end: the tokenizer always splits between the two. No apostrophe, which may
+# belong to either side.
+ENDING = re.compile(r"([A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?%*#$&|()\[\]{}\"/\\<>=+@^_~-]+)\Z")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 OUT = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.int64()) for c in SCHEMA.split(", ")])
 
 
+class _Places(dict):
+    """chunk -> its place in order of first sight."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = place = len(self)
+        return place
+
+
 class Encoder:
-    """Ids of whole texts; each distinct chunk between spaces and line ends is encoded once."""
+    """Ids of whole texts; each distinct chunk between spaces and line ends is encoded once.
+
+    A new chunk of letters and marks at its end is split between the two, where the tokenizer splits it anyway, and
+    ASCII letters are lowered, as the tokenizer does, so that forms of a word share one encoding. When the memory of
+    chunks is full, the rare ones go; between tasks only the frequent ones stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -40,27 +58,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.places = _Places()
+        self.flat, self.start, self.size, self.met = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def forget(self, most: int) -> None:
+        """Keep at most ``most`` chunks, those met most often since the last time, and none that was met once."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-self.met[keep], kind="stable")[:most]])
+        chunks = list(self.places)
+        self.places = _Places((chunks[i], k) for k, i in enumerate(keep.tolist()))
+        size, start = self.size[keep], self.start[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.start, self.size, self.met = ends - size, size, np.zeros(len(keep), np.int64)
+
+    def _split(self, chunk: str) -> tuple[str, ...]:
+        found = ENDING.match(chunk)
+        parts = found.groups() if found else (chunk,)
+        return tuple(p.lower() if p.isascii() else p for p in parts)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of new chunks; parts that are known as chunks themselves are not encoded again."""
+        split = [self._split(c) for c in chunks]
+        known, at = len(self.size), self.places.get
+        ids: dict[str, list[int]] = {}
+        for part in {p for parts in split for p in parts}:
+            place = at(part, known)
+            if place < known:
+                ids[part] = self.flat[self.start[place] : self.start[place] + self.size[place]].tolist()
+        new = list({p for parts in split for p in parts if p not in ids})
+        ids.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        got = [list(chain.from_iterable(map(ids.__getitem__, parts))) for parts in split]
+        size = np.array([len(x) for x in got], np.int64)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
+        self.size = np.concatenate([self.size, size])
+        self.met = np.concatenate([self.met, np.zeros(len(size), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids and the number of ids of each text."""
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > CACHED_CHUNKS:
-            self.clear()
-        new = [w for w in set(chain.from_iterable(chunks)) if w not in self.known]
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            size = np.array([len(x) for x in got], np.int64)
-            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))])
-            self.size = np.concatenate([self.size, size])
+        if len(self.places) > CACHED_CHUNKS:
+            self.forget(CACHED_CHUNKS // 2)
         counts = [len(c) for c in chunks]
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(chunks)), np.int64, sum(counts))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(chunks)), np.int64, sum(counts))
+        if len(self.places) > len(self.size):
+            self._learn(list(islice(self.places, len(self.size), None)))
+        self.met += np.bincount(at, minlength=len(self.met))
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
@@ -68,6 +113,12 @@ class Encoder:
         return ids, np.diff(cuts)
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that what it has learned serves the tasks after."""
+    return Encoder(path)
+
+
 def lengths(n: int, longest: int = LONGEST) -> list[int]:
     """Powers of two that add up to n, largest first, none over ``longest``."""
     rest = n % longest
@@ -80,11 +131,11 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = Encoder(tokenizer_path), TaskContext.get().partitionId() << 36
+        made = TaskContext.get().partitionId() << 36
         for b in batches:
             docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
             for lo, hi in slices(texts):
-                ids, counts = encoder.encode([t or "" for t in texts[lo:hi]])
+                ids, counts = encoder(tokenizer_path).encode([t or "" for t in texts[lo:hi]])
                 rows: list[tuple] = []
                 at = 0
                 for doc, n in zip(docs[lo:hi], counts.tolist(), strict=True):
