@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
 from ..schema import NOISY_CHANNELS, TRIGGER
 from .geometry import neighbours
 
@@ -16,8 +17,8 @@ def noisy_channels(spark: SparkSession) -> DataFrame:
 
 
 def occupancy(hits: DataFrame) -> DataFrame:
-    """vmm, ch, n."""
-    return hits.groupBy("vmm", "ch").agg(F.count("*").alias("n"))
+    """vmm, ch, n: at most 32 x 64 rows, computed at once and cut from their lineage, so that no later use reads the hits again."""
+    return cut_lineage(hits.groupBy("vmm", "ch").agg(F.count("*").alias("n")))
 
 
 def auto_hot_channels(hits: DataFrame, ratio: float = 8.0, min_hits: int = 200) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage
 from ..schema import BCID_PERIOD_NS, EFFICIENCY_FIELDS, MARKER_NS
 from .histograms import pct_from_counts
 from .words import split_words
@@ -46,6 +47,7 @@ def _by_chip(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 def build_scalars(hits: DataFrame, counts: DataFrame, meta: DataFrame, cabling: DataFrame) -> DataFrame:
     """The trend record of each capture. The trigger chip is not cabled, so it is among unknown_vmm_hits."""
+    counts = cut_lineage(counts)  # a small table with six uses
     per_chip = counts.where("hist = 'ot'").groupBy("capture_id", "vmm").agg(F.sum("n").alias("n"))
     live = counts.where("hist = 'ch'").groupBy("capture_id", "vmm").agg(F.count_distinct("bin").alias("live"))
     unknown = per_chip.join(F.broadcast(cabling.select("vmm")), "vmm", "left_anti")
