@@ -28,6 +28,8 @@ from .text import slices
 LONGEST = 4096
 END = 2
 CACHED_CHUNKS = 1 << 19
+KEPT_CHUNKS = 1 << 17  # between tasks
+ENCODED = 4096  # chunks that the tokenizer gets at a time
 # Letters or digits, then marks to the end: the tokenizer always splits between the two. No apostrophe, which may
 # belong to either side.
 ENDING = re.compile(r"([A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([.,;:!?%*#$&|()\[\]{}\"/\\<>=+@^_~-]+)\Z")
@@ -88,7 +90,9 @@ class Encoder:
             if place < known:
                 ids[part] = self.flat[self.start[place] : self.start[place] + self.size[place]].tolist()
         new = list({p for parts in split for p in parts if p not in ids})
-        ids.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        for k in range(0, len(new), ENCODED):
+            some = new[k : k + ENCODED]
+            ids.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         got = [list(chain.from_iterable(map(ids.__getitem__, parts))) for parts in split]
         size = np.array([len(x) for x in got], np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
@@ -134,7 +138,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
         made = TaskContext.get().partitionId() << 36
         for b in batches:
             docs, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1 << 20):
                 ids, counts = encoder(tokenizer_path).encode([t or "" for t in texts[lo:hi]])
                 rows: list[tuple] = []
                 at = 0
@@ -147,6 +151,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
                         made += 1
                         start += length
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
+        encoder(tokenizer_path).forget(KEPT_CHUNKS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
