@@ -88,7 +88,11 @@ def minimizers(docs: DataFrame, window: int) -> DataFrame:
 
 
 def edges(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, d, start) of the edges whose minimizer is in ``marks`` (array of a), of docs (d, text, marks)."""
+    """(w1, w2, d, start, own) of the edges whose minimizer is in ``marks`` (array of a), of docs (d, text, marks).
+
+    An edge that its text has before, at ``own``, is a repeat whatever other texts hold: its hash is replaced by one of
+    its place, so that a text of one word over and over does not gather in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -106,11 +110,19 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
                         found.append(a + np.flatnonzero(inside[a:z] & np.isin(least[a:z].view(np.int64), marks[lo + k])))
                 at = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
                 doc = np.searchsorted(offsets, at, "right") - 1
+                w1, w2, start, own = first[at], second[at], (at - offsets[doc]).astype(np.int32), np.full(len(at), -1, np.int32)
+                order = np.lexsort((at, w2, w1, doc))
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(doc[order]) != 0) | (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+                head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                again = order[~new]
+                own[again] = start[order[head[~new]]]
+                w1[again] = mixed(keys[lo + doc[again]].view(np.uint64) * P2 + start[again].astype(np.uint64))
                 for s in range(0, len(at), 100_000):
-                    i, o = at[s : s + 100_000], doc[s : s + 100_000]
-                    yield pa.RecordBatch.from_pydict({"w1": pa.array(first[i].view(np.int64)), "w2": pa.array(second[i].view(np.int64)), "d": pa.array(keys[lo + o]), "start": pa.array((i - offsets[o]).astype(np.int32))})
+                    e = slice(s, s + 100_000)
+                    yield pa.RecordBatch.from_pydict({"w1": pa.array(w1[e].view(np.int64)), "w2": pa.array(w2[e].view(np.int64)), "d": pa.array(keys[lo + doc[e]]), "start": pa.array(start[e]), "own": pa.array(own[e], mask=own[e] < 0)})
 
-    return docs.select("d", "text", "marks").mapInArrow(run, "w1 long, w2 long, d long, start int")
+    return docs.select("d", "text", "marks").mapInArrow(run, "w1 long, w2 long, d long, start int, own int")
 
 
 def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +139,8 @@ def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     found = edges(keyed.join(chosen.hint("merge"), ["d", "c"]), window)
 
     same = Window.partitionBy("w1", "w2").orderBy("d", "start")
-    source = F.first(F.struct("d", "start")).over(same)
-    repeats = found.withColumns({"place": F.rank().over(same), "source": source}).where("place > 1").select("d", "start", F.col("source.d").alias("source_d"), (F.col("start") - F.col("source.start")).alias("ahead"))
+    source = F.when(F.col("own").isNotNull(), F.struct("d", F.col("own").alias("start"))).otherwise(F.first(F.struct("d", "start")).over(same))
+    repeats = found.withColumns({"place": F.rank().over(same), "source": source}).where("place > 1 OR own IS NOT NULL").select("d", "start", F.col("source.d").alias("source_d"), (F.col("start") - F.col("source.start")).alias("ahead"))
     by_doc = repeats.repartition("d")
     along = Window.partitionBy("d", "source_d", "ahead").orderBy("start")
     stepped = by_doc.withColumn("path", F.col("start") - F.row_number().over(along))
