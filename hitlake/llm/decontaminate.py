@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, WordHashes, gram_hashes, mixed, slices, utf8, whole, word_ids
+from .text import SPACE, WordHashes, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 
 BITS = 1 << 24
 SALT = 8
@@ -68,7 +68,7 @@ def _items(items: DataFrame, k: int) -> DataFrame:
                     rows.append({"item_id": item, "item": text, "length": len(ids), "fp": int(fp), "slots": np.concatenate([_slot(shingles, len(ids)), _any_slot(shingles)]).tolist()})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("item_id", pa.int64()), ("item", pa.binary()), ("length", pa.int32()), ("fp", pa.int64()), ("slots", pa.list_(pa.int32()))]))
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("text")).where("text IS NOT NULL").mapInArrow(run, "item_id long, item binary, length int, fp long, slots array<int>")
+    return items.select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("text")).where("text IS NOT NULL").mapInArrow(tidy(run), "item_id long, item binary, length int, fp long, slots array<int>")
 
 
 def windows(docs: DataFrame, slots: np.ndarray, lengths: list[int], k: int, least: float) -> DataFrame:
@@ -116,7 +116,7 @@ def windows(docs: DataFrame, slots: np.ndarray, lengths: list[int], k: int, leas
                                 }
                             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(run, "doc_id long, start int, length int, fp long, window binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(tidy(run), "doc_id long, start int, length int, fp long, window binary")
 
 
 def _blocks(radius: int) -> list[tuple[int, int]]:
@@ -149,6 +149,6 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, radi
             take = pa.array(np.flatnonzero(alike >= least))
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("doc_id", "item_id", "start", "n_words")), pa.array(alike[alike >= least])], ["doc_id", "item_id", "start", "n_words", "similarity"])
 
-    sure = pairs.mapInArrow(verify, "doc_id long, item_id long, start int, n_words int, similarity double")
+    sure = pairs.mapInArrow(tidy(verify), "doc_id long, item_id long, start int, n_words int, similarity double")
     best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n_words")).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.before")).alias("start"), "best.n_words", "best.similarity")

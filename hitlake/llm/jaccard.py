@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import WordHashes, cut_lineage, gram_hashes, mixed, slices, utf8, whole, word_ids
+from .text import WordHashes, cut_lineage, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 
 COUNTERS = 1 << 18
 CELL = 256
@@ -136,7 +136,7 @@ def survey(keyed: DataFrame, rule: Rule) -> DataFrame:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"c": pa.nulls(len(at), pa.int64()), "n": pa.nulls(len(at), pa.int32()), "folded": pa.nulls(len(at), pa.binary()), "slot": pa.array(at, pa.int32()), "count": pa.array(counts[at])})
 
-    return keyed.select("c", "c2", "text").mapInArrow(run, "c long, n int, folded binary, slot int, count long")
+    return keyed.select("c", "c2", "text").mapInArrow(tidy(run), "c long, n int, folded binary, slot int, count long")
 
 
 def prefixes(keyed: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
@@ -162,7 +162,7 @@ def prefixes(keyed: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
                 keys = np.array([r[0] for r in rows[lo:hi]], np.int64)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(sets[at].view(np.int64)), "c": pa.array(keys[who]), "n": pa.array(n[who].astype(np.int32)), "common": pa.array(common[who].astype(np.float32))})
 
-    return keyed.select("c", "c2", "text").mapInArrow(run, "h long, c long, n int, common float")
+    return keyed.select("c", "c2", "text").mapInArrow(tidy(run), "h long, c long, n int, common float")
 
 
 def cells(found: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _sets_of(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"c": pa.array([r[0] for r in rows[lo:hi]], pa.int64()), "shingles": pa.array([sets[offsets[i] : offsets[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())})
 
     # the first document of each text stands for it
-    return keyed.join(wanted.hint("merge"), ["c", "d"]).select("c", "c2", "text").mapInArrow(run, "c long, shingles binary")
+    return keyed.join(wanted.hint("merge"), ["c", "d"]).select("c", "c2", "text").mapInArrow(tidy(run), "c long, shingles binary")
 
 
 def _sets(column: pd.Series) -> list[np.ndarray]:
@@ -308,7 +308,7 @@ def _distances(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"p": b.column("p"), "c": b.column("c"), "away": pa.array(away, pa.float64()), "linked": pa.array(rule.links(both, sizes), pa.bool_())})
 
     joined = members.join(pivots, "p").where("c <> p")
-    return joined.select("p", "c", "shingles", "pivot").mapInArrow(run, "p long, c long, away double, linked boolean")
+    return joined.select("p", "c", "shingles", "pivot").mapInArrow(tidy(run), "p long, c long, away double, linked boolean")
 
 
 def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:

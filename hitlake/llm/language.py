@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import slices
+from .text import slices, tidy
 
 SLOTS = 1 << 16
 RANKS = 400
@@ -80,7 +80,7 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "gram": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
 
     rows = docs.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    counted = rows.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= ranks)
     profiles: dict[str, np.ndarray] = {}
     for r in top.collect():
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int = RANK
             yield pa.RecordBatch.from_pydict({key: b.column(key), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
 
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(key, "text").mapInArrow(predict, schema)
+    return docs.select(key, "text").mapInArrow(tidy(predict), schema)
 
 
 def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, ranks: int = RANKS) -> DataFrame:
@@ -132,4 +132,4 @@ def accepted(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, ran
             yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.mapInArrow(choose, rows.schema).select("row.*")
+    return rows.mapInArrow(tidy(choose), rows.schema).select("row.*")

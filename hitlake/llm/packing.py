@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices
+from .text import slices, tidy
 
 LONGEST = 4096
 END = 2
@@ -153,7 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), OUT, strict=True)], schema=OUT)
         encoder(tokenizer_path).forget(KEPT_CHUNKS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def default_tokenizer() -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import P2, WordHashes, gram_hashes, mixed, slices, utf8, whole, word_ids
+from .text import P2, WordHashes, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 
 LOWEST = -(1 << 63)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -84,7 +84,7 @@ def minimizers(docs: DataFrame, window: int) -> DataFrame:
                 keys = np.array([c for c, _ in some], np.int64)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a[first].view(np.int64)), "c": pa.array(keys[doc[first]]), "many": pa.array(many)})
 
-    return docs.select("c", "text").mapInArrow(run, "a long, c long, many boolean")
+    return docs.select("c", "text").mapInArrow(tidy(run), "a long, c long, many boolean")
 
 
 def edges(docs: DataFrame, window: int) -> DataFrame:
@@ -122,7 +122,7 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
                     e = slice(s, s + 100_000)
                     yield pa.RecordBatch.from_pydict({"w1": pa.array(w1[e].view(np.int64)), "w2": pa.array(w2[e].view(np.int64)), "d": pa.array(keys[lo + doc[e]]), "start": pa.array(start[e]), "own": pa.array(own[e], mask=own[e] < 0)})
 
-    return docs.select("d", "text", "marks").mapInArrow(run, "w1 long, w2 long, d long, start int, own int")
+    return docs.select("d", "text", "marks").mapInArrow(tidy(run), "w1 long, w2 long, d long, start int, own int")
 
 
 def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +194,7 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
     joined = keyed.join(_losses(keyed, window).hint("merge"), ["d", "c"], "left").select("d", "text", "copy", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -223,7 +223,7 @@ def strip(docs: DataFrame, window: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([kept], ["row"])
 
     joined = rows.join(_losses(keyed, window).hint("merge"), ["d", "c"], "left").select("row", "copy", "spans")
-    return joined.mapInArrow(run, T.StructType([T.StructField("row", rows.schema["row"].dataType)])).select("row.*")
+    return joined.mapInArrow(tidy(run), T.StructType([T.StructField("row", rows.schema["row"].dataType)])).select("row.*")
 
 
 def _spliced(text: bytes, gone: np.ndarray) -> str:

@@ -1,12 +1,13 @@
 """Word splitting and hashing shared by the text operators (numpy inside Spark tasks).
 
 A word is a maximal run of bytes other than space and 0x09-0x0D, which is what ``bytes.split()`` yields.
-Texts reach the tasks as UTF-8 bytes; null texts count as empty. Work goes in slices of about two megabytes,
+Texts reach the tasks as UTF-8 bytes; null texts count as empty. Work goes in slices of about one megabyte,
 so that memory does not depend on the Arrow batch, and a longer text is split at white space.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut_lineage as cut_lineage
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 CACHED_WORDS = 1 << 18
 SPACE = b" \t\n\x0b\x0c\r"
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,8 +131,24 @@ def whole(offsets: np.ndarray, k: int) -> np.ndarray:
     return owner[: n - k + 1] == owner[k - 1 :]
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def release() -> None:
+    """Give memory that is free back to the system: workers live on, and the next task may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and release() when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
 
 
 def utf8(text: str = "text") -> Column:

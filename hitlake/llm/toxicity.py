@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import P1, WordHashes, doc_of, mixed, slices, utf8, whole, word_ids
+from .text import P1, WordHashes, doc_of, mixed, slices, tidy, utf8, whole, word_ids
 
 SLOTS = 1 << 22
 EDGE = bytes(i for i in range(128) if not chr(i).isalnum())
@@ -115,4 +115,4 @@ def score(docs: DataFrame, weights: dict[int, float], key: str = "doc_id") -> Da
                 parts.append(1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(at) else np.zeros(hi - lo))
             yield pa.RecordBatch.from_pydict({key: b.column(key), "score": pa.array(np.concatenate([*parts, np.empty(0)]), pa.float64())})
 
-    return docs.select(key, utf8().alias("text")).mapInArrow(apply, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+    return docs.select(key, utf8().alias("text")).mapInArrow(tidy(apply), f"{key} {docs.schema[key].dataType.simpleString()}, score double")
