@@ -3,10 +3,12 @@
 The standard library's parser streams events; block elements cut the page into lines, and each line has its text,
 its number of tags and its share of link text. A line's ratio is its text length by its tags. The ratios, smoothed by
 a Gaussian over neighbouring lines, are cut in two clusters by a threshold (a two-means split of their logarithms);
-the upper one marks content. The content region is the article or main element with most of the marked text, else the
-innermost container that holds nearly all of it; all its
-lines count, short ones too, except those under elements that never hold an article's text (menus, headers outside the
-article, footers, sidebars, notices, adverts, forms, comments, scripts, styles) by tag, role, class or id.
+the upper one marks content. Marked lines are seeds only: the content region is all article, main and section elements,
+and, unless these hold every marked line and nearly all text outside links, the innermost container that does. All its
+lines count, short ones too, and so do paragraphs, headings and list items outside it that are not mostly links, except
+those under elements that never hold an article's text (menus, headers outside the article, footers, sidebars, notices,
+adverts, forms, comments, scripts, styles) by tag, role, class or id. Outside the region, link lists and unmarked lines
+of bare containers go.
 
 Null, empty and textless pages give an empty text. Unclosed tags, a cut-off end and stray entities are tolerated.
 """
@@ -22,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIGMA = 1.0
-MAJORITY = 0.5  # of the marked text, for an article or main element to be the region
-NEARLY_ALL = 0.8  # the same for other containers
+NEARLY_ALL = 0.8  # of the allowed text that is no link's, marked or not, for a region
+STATED = frozenset("article main section".split())  # the page itself says that these hold content
+PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dt dd figcaption".split())
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg iframe object canvas math".split())
 APART = frozenset("nav footer aside form dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"html", "body"}
-CONTAINERS = frozenset("section div td body center table tbody tr html details".split())
+CONTAINERS = frozenset("article main section div td body center table tbody tr html details".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|site-?header|page-?header|topbar|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|comments?|commentlist|respond|replies|reply|disqus|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
 
@@ -146,15 +149,21 @@ def main_text(html: str | None) -> str:
         marked = allowed & (size > 0)
     if not marked.any():
         return ""
-    held: dict[tuple[int, str], float] = {}
-    for path, n in ((lines[k][0], size[k]) for k in np.flatnonzero(marked)):
+    allowed_size = size * allowed
+    held: dict[tuple[int, str], list[float]] = {}
+    for (path, *_), n, m in zip(lines, allowed_size.tolist(), marked.tolist(), strict=True):
         for e in path:
-            held[e] = held.get(e, 0.0) + n
-    total = size[marked].sum()
-    named = [min(x) for tag in ("article", "main") if (x := [e for e, n in held.items() if e[1] == tag and n > MAJORITY * total])]
-    others = [e for e, n in held.items() if e[1] in CONTAINERS and n >= NEARLY_ALL * total]
-    region = named[0] if named else max(others, default=None)  # elements are numbered as they open, so the last is innermost
-    return "\n".join(x[1] for x, ok in zip(lines, allowed, strict=True) if ok and (region is None or region in x[0]))
+            h = held.setdefault(e, [0.0, 0])
+            h[0] += n
+            h[1] += m
+    total = allowed_size.sum()
+    stated = np.array([any(e[1] in STATED for e in x[0]) for x in lines])
+    keep = stated | np.array([2 * n > len(x[1]) and any(e[1] in PROSE for e in x[0]) for x, n in zip(lines, size.tolist(), strict=True)])
+    if (marked & ~stated).any() or allowed_size[stated].sum() < NEARLY_ALL * total:
+        # containers of all marked lines stand in each other; elements are numbered as they open, so the last is innermost
+        region = max((e for e, (n, m) in held.items() if e[1] in CONTAINERS and m == marked.sum() and n >= NEARLY_ALL * total), default=None)
+        keep |= np.array([region is None or region in x[0] for x in lines])
+    return "\n".join(x[1] for x, ok in zip(lines, allowed & keep, strict=True) if ok)
 
 
 def extract(pages: DataFrame, key: str = "page_id") -> DataFrame:
