@@ -533,7 +533,10 @@ def a31_wiring_per_half(spark, sf_dir):
 
 @query()
 def a32_wiring_roughness(spark, sf_dir):
-    best = maps.scan_wiring_roughness(_raw(spark, sf_dir), inputs.pad_geometry(spark), passes=1)
+    hits = _hits(spark, sf_dir)
+    # no hot pads in the mask: they are judged by the very wiring that is searched
+    kept, _ = masks.apply_mask(hits, masks.merge_masks(masks.noisy_channels(spark), masks.auto_hot_channels(hits)))
+    best = maps.scan_wiring_roughness(_in_time(spark, kept), inputs.pad_geometry(spark), passes=2)
     return spark.createDataFrame([(*k, v) for k, v in sorted(best.items())], "station string, connector int, half string, strategy string")
 
 
