@@ -10,7 +10,8 @@ coordinates advance together in the copy and in the first source are a nonbranch
 Documents of equal text count once: the first keeps its words, the others lose theirs if they have a window at all.
 
 Null texts are empty. A null doc_id sorts before all others. Rows that repeat doc_id and text are one document and get
-the same result. Texts shorter than a window lose nothing.
+the same result. Other texts of one doc_id are documents of their own, one after another by the hash of the text: each
+has a number, which stands above the 32 bits of its places. Texts shorter than a window lose nothing.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def minimizers(docs: DataFrame, window: int) -> DataFrame:
 
 
 def edges(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, d, start, own) of the edges whose minimizer is in ``marks`` (array of a), of docs (d, text, marks).
+    """(w1, w2, d, start, own) of the edges whose minimizer is in ``marks`` (array of a), of docs (d, nth, text, marks).
 
     An edge that its text has before, at ``own``, is a repeat whatever other texts hold: its hash is replaced by one of
     its place, so that a text of one word over and over does not gather in one task.
@@ -97,7 +98,7 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("d").to_numpy()
+            texts, keys, nth = b.column("text").to_pylist(), b.column("d").to_numpy(), b.column("nth").to_numpy().astype(np.int64) << 32
             marks = [np.asarray(m, np.int64) for m in b.column("marks").to_pylist()]
             for lo, hi in slices(texts):
                 ids, offsets, _, least, inside = _edges(texts[lo:hi], cache, window)
@@ -110,7 +111,7 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
                         found.append(a + np.flatnonzero(inside[a:z] & np.isin(least[a:z].view(np.int64), marks[lo + k])))
                 at = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
                 doc = np.searchsorted(offsets, at, "right") - 1
-                w1, w2, start, own = first[at], second[at], (at - offsets[doc]).astype(np.int32), np.full(len(at), -1, np.int32)
+                w1, w2, start, own = first[at], second[at], at - offsets[doc] + nth[lo + doc], np.full(len(at), -1, np.int64)
                 order = np.lexsort((at, w2, w1, doc))
                 new = np.ones(len(at), bool)
                 new[1:] = (np.diff(doc[order]) != 0) | (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
@@ -122,20 +123,22 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
                     e = slice(s, s + 100_000)
                     yield pa.RecordBatch.from_pydict({"w1": pa.array(w1[e].view(np.int64)), "w2": pa.array(w2[e].view(np.int64)), "d": pa.array(keys[lo + doc[e]]), "start": pa.array(start[e]), "own": pa.array(own[e], mask=own[e] < 0)})
 
-    return docs.select("d", "text", "marks").mapInArrow(tidy(run), "w1 long, w2 long, d long, start int, own int")
+    return docs.select("d", "nth", "text", "marks").mapInArrow(tidy(run), "w1 long, w2 long, d long, start long, own long")
 
 
-def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Texts that are whole copies (d, c), and repeated spans (d, c, start, end, source_d, source_start), end excluded."""
+def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts that are whole copies (d, c), the others that can hold spans (d, c, nth), and repeated spans (d, nth, start, end, source_d, source_start), end excluded."""
     owners = keyed.where(F.octet_length("text") > 0).select("d", "c", F.xxhash64("text", F.lit(1)).alias("c2"))
     firsts = owners.groupBy("c", "c2").agg(F.min("d").alias("first"))
     copies = owners.join(firsts, ["c", "c2"]).where("d > first").select("d", "c").distinct()
+    of_doc = Window.partitionBy("d").orderBy("c")
+    numbered = firsts.select(F.col("first").alias("d"), "c").distinct().withColumn("nth", F.row_number().over(of_doc) - 1)
 
     everywhere = Window.partitionBy("a")
     twice = F.max("many").over(everywhere) | (F.min("c").over(everywhere) < F.max("c").over(everywhere))
     marked = minimizers(keyed, window).withColumn("twice", twice).where("twice")
     marks = marked.groupBy("c").agg(F.collect_set("a").alias("marks"))  # of one text: no more than its words
-    chosen = firsts.join(marks, "c").select(F.col("first").alias("d"), "c", "marks")
+    chosen = numbered.join(marks, "c")
     found = edges(keyed.join(chosen.hint("merge"), ["d", "c"]), window)
 
     same = Window.partitionBy("w1", "w2").orderBy("d", "start")
@@ -143,14 +146,15 @@ def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     repeats = found.withColumns({"place": F.rank().over(same), "source": source}).where("place > 1 OR own IS NOT NULL").select("d", "start", F.col("source.d").alias("source_d"), (F.col("start") - F.col("source.start")).alias("ahead"))
     by_doc = repeats.repartition("d")
     along = Window.partitionBy("d", "source_d", "ahead").orderBy("start")
-    stepped = by_doc.withColumn("path", F.col("start") - F.row_number().over(along))
+    stepped = by_doc.withColumn("path", F.col("start") - F.dense_rank().over(along))  # rows that repeat a text have its edges again
     spans = stepped.groupBy("d", "source_d", "ahead", "path").agg(F.min("start").alias("start"), (F.max("start") + window).alias("end"))
-    return copies, spans.select("d", "start", "end", "source_d", (F.col("start") - F.col("ahead")).alias("source_start"))
+    place = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return copies, numbered, spans.select("d", F.shiftright("start", 32).cast("int").alias("nth"), place(F.col("start")).alias("start"), place(F.col("end")).alias("end"), "source_d", place(F.col("start") - F.col("ahead")).alias("source_start"))
 
 
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """Spans of words that stand earlier elsewhere: doc_id, start, end (excluded), source_doc_id, source_start; whole copies are left out."""
-    _, spans = _paths(_keyed(docs), window)
+    *_, spans = _paths(_keyed(docs), window)
     back = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     return spans.select(back("d").alias("doc_id"), "start", "end", back("source_d").alias("source_doc_id"), "source_start")
 
@@ -167,10 +171,10 @@ def _gone(words: list[bytes], spans: list | None, copy: bool | None, window: int
 
 def _losses(keyed: DataFrame, window: int) -> DataFrame:
     """(d, c, copy, spans) of the texts that lose words."""
-    copies, spans = _paths(keyed, window)
-    own = spans.groupBy("d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text: no more than its words
+    copies, numbered, spans = _paths(keyed, window)
+    own = spans.groupBy("d", "nth").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text: no more than its words
     # spans belong to the first text of its kind; a copy has a row of its own
-    firsts = keyed.select("d", "c").distinct().join(copies, ["d", "c"], "left_anti").join(own, "d").select("d", "c", F.lit(False).alias("copy"), "spans")
+    firsts = numbered.join(own, ["d", "nth"]).select("d", "c", F.lit(False).alias("copy"), "spans")
     return firsts.unionByName(copies.select("d", "c", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans")))
 
 
@@ -214,7 +218,7 @@ def strip(docs: DataFrame, window: int = 20) -> DataFrame:
                 if copy or spans:
                     raw = text.encode()
                     gone = _gone(raw.split(), spans, copy, window)
-                    left = not gone.all()
+                    left = not (len(gone) and gone.all())
                     text = _spliced(raw, gone) if gone.any() else text
                 texts.append(text)
                 stays.append(left)
