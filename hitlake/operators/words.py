@@ -32,9 +32,11 @@ def detect_sources(packets: DataFrame, n_probe: int = 500) -> DataFrame:
     return probed.groupBy("capture_id", "src_ip").agg(F.count("*").alias("n"))
 
 
-def known_sources(packets: DataFrame, n_probe: int = 500) -> list[str]:
-    """Addresses of detect_sources; raises if there are none."""
-    found = sorted(r["src_ip"] for r in detect_sources(packets, n_probe).select("src_ip").distinct().limit(1000).collect())
+def known_sources(packets: DataFrame, n_probe: int = 500, most: int = 1000) -> list[str]:
+    """Addresses of detect_sources; raises if there are none, or more than ``most``: a part of them would lose packets."""
+    found = sorted(r["src_ip"] for r in detect_sources(packets, n_probe).select("src_ip").distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} sources: join the packets with detect_sources by capture_id and src_ip")
     if not found:
         raise ValueError(f"no packet with the magic in the first {n_probe} packets")
     return found
