@@ -39,11 +39,11 @@ class WordHashes(dict):
         return value
 
 
-def slices(texts: list[bytes | None], size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(texts: list, size: int = SLICE_BYTES, weight: Callable = lambda t: len(t or b"")) -> Iterator[tuple[int, int]]:
     """Index ranges of about ``size`` bytes each."""
     start = total = 0
     for i, t in enumerate(texts):
-        total += len(t or b"")
+        total += weight(t)
         if total >= size:
             yield start, i + 1
             start, total = i + 1, 0
