@@ -1,4 +1,4 @@
-"""Cutting lineage in storage that all executors share."""
+"""Cutting lineage, and folders for what lies between jobs, in storage that all executors share."""
 
 from __future__ import annotations
 
@@ -7,27 +7,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
+def _base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a temporary folder where that is unset and Spark runs in one process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
 
-    Uses spark.checkpoint.dir of the session; a folder of its own only where that is unset (local tests).
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_base(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name under spark.checkpoint.dir; under a temporary folder only where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
+    """A new folder's name in shared storage."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders of shared_folder that are no longer read."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
