@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, WordHashes, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
+from .text import SPACE, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 
 BITS = 1 << 24
 SALT = 8
@@ -57,11 +57,10 @@ def _items(items: DataFrame, k: int) -> DataFrame:
     """(item_id, item, length, fp, slots) of the items that are long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             rows = []
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids, _ = word_ids([text], cache, lower=True)
+                ids, _ = word_ids([text], lower=True)
                 if len(ids) >= k:
                     shingles = gram_hashes(ids, k)
                     fp = fingerprints(shingles, np.zeros(1, np.int64), len(shingles)).view(np.int64)[0]
@@ -81,11 +80,10 @@ def windows(docs: DataFrame, slots: np.ndarray, lengths: list[int], k: int, leas
         return (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in slices(texts):
-                ids, offsets = word_ids(texts[lo:hi], cache, lower=True)
+                ids, offsets = word_ids(texts[lo:hi], lower=True)
                 shingles, inside = gram_hashes(ids, k), whole(offsets, k)
                 hits = np.flatnonzero(has(_any_slot(shingles)) & inside)
                 doc = np.searchsorted(offsets, hits, "right") - 1

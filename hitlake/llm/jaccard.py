@@ -1,45 +1,55 @@
 """Exact Jaccard similarity join of documents over word shingles, in a metric space with pivots.
 
 The Jaccard distance d is a metric, and documents link at d <= eps. A pivot that shares nothing with a document says
-nothing of it (d is 1), so pivots are taken among documents that do share a shingle:
-
-* shingles are ordered, rare ones first, by fixed-size corpus counts; two documents that link share one among the first
-  ``n - ceil(t n) + 1`` of each (any order gives right results). The documents with one such shingle elect the one
-  whose shingles are the most common as their pivot, and all of them enter its Voronoi cell. Documents on the border of
-  several cells are in each of them, so every pair that links meets in a cell;
-* in a cell, a document stays only if the bound of its folded shingle counts to another member allows a link
-  (folding shingles into buckets never lengthens a distance);
-* a cell of more than ``CELL`` documents is split by the distance from its pivot: the inner ball (d <= eps) links to
-  the pivot at once, and by the triangle inequality only those within eps of an outer document's distance are kept.
-  What is kept is cut into rings by distance; rings closer than eps meet in pairs, so that no task gets more than two.
-* exact intersections come from products of 0/1 matrices, and each task returns a spanning forest of its links.
+nothing of it (d is 1), so documents that cannot link are kept apart first, and pivots rule where distances differ:
+
+* shingles are ordered, rare ones first, by corpus counts in a table whose size follows the number of rows up to a
+  bound; two documents that link share one among the first ``n - ceil(t n) + 1`` of each (any order gives right
+  results). The documents with one such shingle, of sizes that allow a link, form a neighbourhood, named by one of
+  them; equal names are one neighbourhood. So every pair that links meets in one;
+* a neighbourhood of more than ``CELL`` documents is cut into Voronoi regions: up to ``PIVOTS`` of its members become
+  pivots, each document belongs to the region of the nearest one, and by the triangle inequality it is replicated to
+  every region whose pivot is farther by no more than 2 eps, so that a pair that links still meets in a region.
+  Documents farther than 1 - 2 eps from every pivot would be in all regions; they make a region of their
+  own, with all documents that are within eps of that bound. Documents within eps of a pivot are linked to it at once,
+  and of them only those go on that are within eps of the distance of one that is not. Regions that are still large
+  are cut again with new pivots;
+* a region that pivots do not cut (its documents are about equally far from all of them) is joined block by block,
+  by classes of set size, of which only neighbours meet;
+* what fits is joined by products of 0/1 matrices, and each region returns a spanning forest of its links.
 
 Classes are the connected components of the links (alternating minimum stars). Documents of equal text are one node;
-their 64-bit text hashes are taken as distinct. Only counts and hashes are shuffled, but for the shingles of documents
-that stay in a cell.
+their 64-bit text hashes are taken as distinct. Only hashes are shuffled, and whole shingle sets only for documents
+that stand in a neighbourhood.
 
 A document with fewer words than ``k`` has its whole sequence as one shingle; null and empty texts have none and
 link with nothing. Rows with null doc_id get n_shingles and a null component, and link with nothing. Rows that repeat
-a doc_id are one document if their texts are equal; if not, the id joins the classes of all its texts.
+a doc_id are one document if their texts are equal; if not, the id joins the classes of all its texts. An empty table
+gives no rows; columns other than doc_id and text are ignored. A long text is shingled whole, by one task.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import WordHashes, cut_lineage, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
+from ..lineage import cut_lineage, remove, shared_folder
+from .text import Seen, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 
-COUNTERS = 1 << 18
-CELL = 256
-RING = 192
+COUNTERS = (16, 22)  # least and most bits of the table of counts
+BLOB = 1 << 14  # counters in one row
+HOT = 4096  # rows of a shingle that one task may get
+CELL = 128  # documents, those of many shingles counting more
+WEIGHT = 4096  # shingles that count as one more document
+PIVOTS = 32
+PART = 1024  # documents measured together
+LEVELS = 16
+SMALL = 1 << 21  # keys that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -61,116 +71,142 @@ class Rule:
         """both: intersections; sizes: sums of the two set sizes."""
         return (100 * both >= self.percent * (sizes - both)) & (both > 0)
 
+    def size_class(self, n: Column) -> Column:
+        """Sets that link are of one class or of classes next to each other."""
+        return F.floor(F.log(n.cast("double")) / float(-np.log(self.percent / 100)) + 1e-9).cast("int")
 
-def shingle_sets(texts: list[bytes | None], cache: WordHashes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, sorted within each, and offsets."""
-    ids, offsets = word_ids(texts, cache, lower=True)
-    grams, inside = gram_hashes(ids, k), whole(offsets, k)
-    at = np.flatnonzero(inside)
-    doc = np.searchsorted(offsets, at, "right") - 1
-    got = grams[at]
-    words = np.diff(offsets)
-    short = np.flatnonzero((words > 0) & (words < k))
-    if len(short):
-        alone = [mixed(np.array([int(gram_hashes(ids[offsets[i] : offsets[i + 1]], int(words[i]))[0]) ^ int(words[i])], np.uint64))[0] for i in short]
-        got, doc = np.concatenate([got, np.array(alone, np.uint64)]), np.concatenate([doc, short])
-    order = np.lexsort((got, doc))
-    got, doc = got[order], doc[order]
-    if len(got):
-        new = np.ones(len(got), bool)
-        new[1:] = (got[1:] != got[:-1]) | (doc[1:] != doc[:-1])
-        got, doc = got[new], doc[new]
-    return got, np.searchsorted(doc, np.arange(len(texts) + 1))
-
-
-def folded(shingles: np.ndarray) -> bytes:
-    """Counts of shingles by bucket (a power of two of them, about half as many as shingles), as bytes of 16-bit numbers or less."""
-    size = 1 << min(11, max(4, int(len(shingles) // 2).bit_length()))
-    counts = np.bincount((shingles >> np.uint64(53)).astype(np.int64) * size >> 11, minlength=size)
-    if counts.max(initial=0) < 256:
-        return counts.astype("u1").tobytes() + b"1"
-    return counts.astype("<u4").tobytes() + b"4"
-
-
-def unfolded(data: bytes) -> np.ndarray:
-    return np.frombuffer(data[:-1], "u1" if data[-1:] == b"1" else "<u4").astype(np.int32)
-
-
-def most_shared(a: np.ndarray, b: np.ndarray) -> int:
-    """An upper bound of the intersection of the sets behind two foldings."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) > len(b):
-        a = a.reshape(len(b), -1).sum(1)
-    return int(np.minimum(a, b).sum())
-
-
-def _distinct(batch: pa.RecordBatch, seen: set) -> list[tuple[int, int, bytes]]:
-    """Rows of texts that the task has not seen, as (c, c2, text)."""
-    rows = []
-    for c, c2, text in zip(*(batch.column(k).to_pylist() for k in ("c", "c2", "text")), strict=True):
-        if text and c not in seen:
-            seen.add(c)
-            rows.append((c, c2, text))
-    return rows
+
+def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted."""
+    ids, offsets = word_ids(texts, lower=True)
+    grams, sets = gram_hashes(ids, k), []
+    for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if z - a >= k:
+            own = np.sort(grams[a : z - k + 1])
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        elif z > a:
+            sets.append(mixed(gram_hashes(ids[a:z], z - a) ^ np.uint64(z - a)))
+        else:
+            sets.append(np.empty(0, np.uint64))
+    return sets
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), F.xxhash64("text", F.lit(1)).alias("c2"), utf8().alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), utf8().alias("text"))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Keys and shingle sets of the texts of a task, slice by slice; most texts that a task sees again are passed over."""
+    seen = Seen()
+    for b in batches:
+        rows = [(c, t) for c, t in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), strict=True) if t and seen.new(c)]
+        for lo, hi in slices([t for _, t in rows]):
+            yield [c for c, _ in rows[lo:hi]], shingle_sets([t for _, t in rows[lo:hi]], k)
 
 
-def survey(keyed: DataFrame, rule: Rule) -> DataFrame:
-    """Of each text: c, n and folding (slot null); of each task: its shingle counts by slot (c null)."""
+def survey(keyed: DataFrame, rule: Rule, bits: int) -> DataFrame:
+    """Of each text: c and n (place null); of each task: its counts by hashed shingle, BLOB at a time (c null)."""
+    size = 1 << bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen, counts = WordHashes(), set(), np.zeros(COUNTERS, np.int64)
+        counts, held = np.zeros(size, np.int64), []
+
+        def add() -> None:
+            nonlocal counts
+            counts += np.bincount((np.concatenate([*held, np.empty(0, np.uint64)]) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            held.clear()
+
+        for keys, sets in _sliced(batches, rule.k):
+            held += sets
+            if sum(map(len, held)) > size // 2:
+                add()
+            yield pa.RecordBatch.from_pydict({"c": pa.array(keys, pa.int64()), "n": pa.array(map(len, sets), pa.int32()), "place": pa.nulls(len(keys), pa.int32()), "counts": pa.nulls(len(keys), pa.binary())})
+        add()
+        for lo in range(0, size, BLOB):
+            some = counts[lo : lo + BLOB]
+            if some.any():
+                yield pa.RecordBatch.from_pydict({"c": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int32()), "place": pa.array([lo // BLOB], pa.int32()), "counts": pa.array([some.astype("u1" if some.max() < 256 else "<u4").tobytes()], pa.binary())})
+
+    return keyed.select("c", "text").mapInArrow(tidy(run), "c long, n int, place int, counts binary")
+
+
+def _counts(seen: DataFrame, bits: int) -> np.ndarray:
+    """The table of counts of all tasks, 2^bits numbers whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # no more places than the table has
         for b in batches:
-            rows = _distinct(b, seen)
-            for lo, hi in slices([r[2] for r in rows]):
-                some = rows[lo:hi]
-                sets, offsets = shingle_sets([r[2] for r in some], cache, rule.k)
-                counts += np.bincount((sets % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-                own = [sets[offsets[i] : offsets[i + 1]] for i in range(hi - lo)]
-                nil = pa.nulls(len(own), pa.int32())
-                yield pa.RecordBatch.from_pydict({"c": pa.array([r[0] for r in some], pa.int64()), "n": pa.array(map(len, own), pa.int32()), "folded": pa.array(map(folded, own), pa.binary()), "slot": nil, "count": nil.cast(pa.int64())})
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"c": pa.nulls(len(at), pa.int64()), "n": pa.nulls(len(at), pa.int32()), "folded": pa.nulls(len(at), pa.binary()), "slot": pa.array(at, pa.int32()), "count": pa.array(counts[at])})
+            for place, counts in zip(b.column("place").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                held[place] = held.get(place, 0) + np.frombuffer(counts, "u1" if len(counts) == BLOB else "<u4").astype(np.int64)
+        for place, counts in held.items():
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "counts": pa.array([np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
 
-    return keyed.select("c", "c2", "text").mapInArrow(tidy(run), "c long, n int, folded binary, slot int, count long")
+    table = np.zeros(1 << bits, np.uint32)
+    for r in seen.where("place IS NOT NULL").select("place", "counts").repartition("place").mapInArrow(tidy(run), "place int, counts binary").toLocalIterator():
+        table[r["place"] * BLOB : r["place"] * BLOB + BLOB] = np.frombuffer(r["counts"], "<u4")
+    return table
 
 
 def prefixes(keyed: DataFrame, counts: np.ndarray, rule: Rule) -> DataFrame:
-    """(h, c, n, common): the rare shingles of each text by which it can be found; common: how common its shingles are."""
-    shared = keyed.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers, whatever the corpus
+    """(h, c, n, hot): the rare shingles of each text by which it can be found; hot: more than HOT texts may have it."""
+    shared, most = keyed.sparkSession.sparkContext.broadcast(counts), HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cache, seen = shared.value, WordHashes(), set()
-        for b in batches:
-            rows = _distinct(b, seen)
-            for lo, hi in slices([r[2] for r in rows]):
-                sets, offsets = shingle_sets([r[2] for r in rows[lo:hi]], cache, rule.k)
-                if not len(sets):
-                    continue
-                n = np.diff(offsets)
-                doc = np.repeat(np.arange(hi - lo), n)
-                often = table[(sets % np.uint64(COUNTERS)).astype(np.int64)]
-                common = np.bincount(doc, np.log2(often + 1), minlength=hi - lo) / np.maximum(n, 1)
-                order = np.lexsort((sets, often, doc))
-                place = np.arange(len(sets)) - offsets[doc]
-                take = place < rule.prefix(n)[doc]
-                at, who = order[take], doc[take]
-                keys = np.array([r[0] for r in rows[lo:hi]], np.int64)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(sets[at].view(np.int64)), "c": pa.array(keys[who]), "n": pa.array(n[who].astype(np.int32)), "common": pa.array(common[who].astype(np.float32))})
-
-    return keyed.select("c", "c2", "text").mapInArrow(tidy(run), "h long, c long, n int, common float")
-
-
-def cells(found: DataFrame) -> DataFrame:
-    """(p, c): the members of each pivot's cell, the pivot too."""
-    once = found.repartition("h").dropDuplicates(["h", "c"])
-    here = Window.partitionBy("h")
-    head = F.struct("common", "c")
-    return once.withColumns({"p": F.max(head).over(here)["c"], "q": F.min(head).over(here)["c"]}).where("p <> q").select("p", "c").distinct()
+        table = shared.value
+        for keys, sets in _sliced(batches, rule.k):
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            often = table[(flat & np.uint64(len(table) - 1)).astype(np.int64)]
+            # within a text by count, then by hash: the sets are sorted, and the sort is stable
+            order = np.argsort(doc.astype(np.uint64) << np.uint64(32) | often, kind="stable")
+            at = order[np.arange(len(flat)) - (np.cumsum(n) - n)[doc] < rule.prefix(n)[doc]]
+            who = doc[at]
+            yield pa.RecordBatch.from_pydict({"h": pa.array(flat[at].view(np.int64)), "c": pa.array(np.array(keys, np.int64)[who]), "n": pa.array(n[who].astype(np.int32)), "hot": pa.array(often[at] > most)})
+
+    return keyed.select("c", "text").mapInArrow(tidy(run), "h long, c long, n int, hot boolean")
+
+
+def _by_runs(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Tables of ``least`` rows or more (but for the last) of rows sorted by key, no key in two of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) < least:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def neighbourhoods(found: DataFrame, rule: Rule) -> DataFrame:
+    """(p, c): members of the neighbourhoods, p too, of texts of one shingle whose sizes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_runs(batches, "h", 1 << 15):
+            h, n, c = (t.column(x).to_numpy() for x in ("h", "n", "c"))
+            same = np.concatenate([[False], h[1:] == h[:-1]])
+            again = same & np.concatenate([[False], c[1:] == c[:-1]])  # a text that several tasks have seen
+            h, n, c, same = h[~again], n[~again].astype(np.int64), c[~again], same[~again]
+            near = same & np.concatenate([[False], 100 * n[:-1] >= rule.percent * n[1:]])
+            stays = near | np.append(near[1:], False)
+            h, c = h[stays], c[stays]
+            first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+            p = np.minimum.reduceat(c, np.flatnonzero(first))[np.cumsum(first) - 1] if len(h) else c
+            pairs = np.unique(np.stack([p, c], 1), axis=0)
+            yield pa.RecordBatch.from_pydict({"p": pa.array(pairs[:, 0]), "c": pa.array(pairs[:, 1])})
+
+    # at most HOT texts, and their repeats in other tasks, stand behind one h
+    few = found.where("NOT hot").select("h", "n", "c").repartition("h").sortWithinPartitions("h", "n", "c").mapInArrow(run, "p long, c long")
+    hot = found.where("hot").select("h", "c")
+    most = hot.groupBy("h").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p < q").select("h", "p")
+    return few.unionByName(hot.join(most, "h").select("p", "c")).distinct()
 
 
 def _forest(members: list, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -188,26 +224,6 @@ def _forest(members: list, pairs: Iterator[tuple[int, int]]) -> list[tuple[int,
     return [(members[i], members[root(i)]) for i in range(len(members)) if root(i) != i]
 
 
-def possible(sized: DataFrame, rule: Rule) -> DataFrame:
-    """Of (p, c, n, folded) the members of cells up to CELL that may link to another member of theirs."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "c"])
-        n, folds = pdf["n"].to_numpy(np.int64), [unfolded(f) for f in pdf["folded"]]
-        stays = np.zeros(len(n), bool)
-        for i in range(len(n)):
-            j = i + 1
-            while j < len(n) and 100 * n[i] >= rule.percent * n[j]:
-                if not (stays[i] and stays[j]):
-                    both = most_shared(folds[i], folds[j])
-                    if 100 * both >= rule.percent * (n[i] + n[j] - both):
-                        stays[i] = stays[j] = True
-                j += 1
-        return pdf.loc[stays, ["p", "c"]]
-
-    return sized.groupBy("p").applyInPandas(run, "p long, c long")
-
-
 def _shared_counts(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of two lists of sets, by a product of 0/1 matrices over the shingles that both lists hold."""
     words, place = np.unique(np.concatenate([*own, *others]), return_inverse=True)
@@ -232,83 +248,114 @@ def _shared_counts(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
 
 
 def _sets_of(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(c, shingles) of the texts in wanted (c)."""
+    """(c, n, shingles) of the texts in wanted (c, d), of which the first document stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
-        for b in batches:
-            rows = _distinct(b, seen)
-            for lo, hi in slices([r[2] for r in rows]):
-                sets, offsets = shingle_sets([r[2] for r in rows[lo:hi]], cache, rule.k)
-                yield pa.RecordBatch.from_pydict({"c": pa.array([r[0] for r in rows[lo:hi]], pa.int64()), "shingles": pa.array([sets[offsets[i] : offsets[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())})
+        for keys, sets in _sliced(batches, rule.k):
+            yield pa.RecordBatch.from_pydict({"c": pa.array(keys, pa.int64()), "n": pa.array(map(len, sets), pa.int32()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    # the first document of each text stands for it
-    return keyed.join(wanted.hint("merge"), ["c", "d"]).select("c", "c2", "text").mapInArrow(tidy(run), "c long, shingles binary")
+    few = wanted.count() <= SMALL
+    rows = keyed.join(F.broadcast(wanted) if few else wanted.hint("merge"), ["c", "d"])
+    return rows.select("c", "text").mapInArrow(tidy(run), "c long, n int, shingles binary").dropDuplicates(["c"])
 
 
-def _sets(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column]
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _within(members: DataFrame, rule: Rule) -> DataFrame:
-    """Links among the members (p, c, shingles) of each small cell."""
+LINKS = "a long, b long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        sets = _sets(pdf["shingles"])
-        n = np.array([len(s) for s in sets])
-        both = _shared_counts(sets, sets)
-        at = np.argwhere(np.triu(rule.links(both, n[:, None] + n[None, :]), 1))
-        return pd.DataFrame(_forest(pdf["c"].tolist(), map(tuple, at.tolist())), columns=["a", "b"], dtype="int64")
 
-    return members.groupBy("p").applyInPandas(run, "a long, b long")
+def _edges(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
 
-def _large(members: DataFrame, rule: Rule, distances: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links to the pivot, and links between rings, of cells (p, c, shingles) with distances (p, c, away) from the pivot."""
-    eps = rule.eps + 1e-9
-    inner = distances.where(F.col("linked")).select(F.col("c").alias("a"), F.col("p").alias("b"))
-    cell = Window.partitionBy("p")
-    outer = F.min(F.when(~F.col("linked"), F.col("away"))).over(cell)
-    kept = distances.withColumn("nearest", outer).where(F.col("nearest").isNotNull() & (~F.col("linked") | (F.col("away") >= F.col("nearest") - eps)))
-    placed = kept.withColumn("ring", ((F.row_number().over(cell.orderBy("away", "c")) - 1) / RING).cast("int"))
-    edges = placed.groupBy("p", "ring").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.bool_or(~F.col("linked")).alias("outside"))
-    a, b = edges.alias("x"), edges.alias("y")
-    near = (F.col("x.p") == F.col("y.p")) & (F.col("x.ring") <= F.col("y.ring")) & (F.col("y.lo") <= F.col("x.hi") + eps) & (F.col("x.outside") | F.col("y.outside"))
-    meets = a.join(b, near).select(F.col("x.p").alias("p"), F.col("x.ring").alias("i"), F.col("y.ring").alias("j"))
-    first = meets.select("p", F.col("i").alias("ring"), "i", "j", F.lit(0).alias("side"))
-    second = meets.where("i <> j").select("p", F.col("j").alias("ring"), "i", "j", F.lit(1).alias("side"))
-    sent = placed.select("p", "c", "ring").join(first.unionByName(second), ["p", "ring"]).join(members, ["p", "c"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        two = two if len(two) else one
-        a, b = _sets(one["shingles"]), _sets(two["shingles"])
-        sizes = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
-        members = pd.unique(pd.concat([one["c"], two["c"]])).tolist()
-        place = {c: k for k, c in enumerate(members)}
-        left, right = [place[c] for c in one["c"]], [place[c] for c in two["c"]]
-        at = np.argwhere(rule.links(_shared_counts(a, b), sizes))
-        pairs = ((left[i], right[j]) for i, j in at.tolist() if left[i] != right[j])
-        return pd.DataFrame(_forest(members, pairs), columns=["a", "b"], dtype="int64")
-
-    return inner, sent.groupBy("p", "i", "j").applyInPandas(run, "a long, b long")
-
-
-def _distances(members: DataFrame, pivots: DataFrame, rule: Rule) -> DataFrame:
-    """(p, c, away, linked): Jaccard distance of each member of the large cells from its pivot."""
+def _linked(keys: list[int], sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """A spanning forest of the links among some texts."""
+    n = np.array([len(s) for s in sets])
+    at = np.argwhere(np.triu(rule.links(_shared_counts(sets, sets), n[:, None] + n[None, :]), 1))
+    return _forest(keys, map(tuple, at.tolist()))
+
+
+def _within(members: DataFrame, rule: Rule) -> DataFrame:
+    """Links among the members (p, c, shingles) of regions that fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mine, theirs = b.column("shingles").to_pylist(), b.column("pivot").to_pylist()
-            sets = [(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(mine, theirs, strict=True)]
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], np.int64)
-            sizes = np.array([len(x) + len(y) for x, y in sets], np.int64)
-            away = 1 - both / np.maximum(sizes - both, 1)
-            yield pa.RecordBatch.from_pydict({"p": b.column("p"), "c": b.column("c"), "away": pa.array(away, pa.float64()), "linked": pa.array(rule.links(both, sizes), pa.bool_())})
+        for t in _by_runs(batches, "p", 4 * CELL):
+            p, keys, sets = t.column("p").to_numpy(), t.column("c").to_pylist(), _sets(t.column("shingles"))
+            cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+            pairs = [x for a, z in zip(cuts, cuts[1:], strict=False) for x in _linked(keys[a:z], sets[a:z], rule)]
+            yield from _edges(pairs).to_batches()
+
+    return members.select("p", "c", "shingles").repartition("p").sortWithinPartitions("p").mapInArrow(tidy(run), LINKS)
 
-    joined = members.join(pivots, "p").where("c <> p")
-    return joined.select("p", "c", "shingles", "pivot").mapInArrow(tidy(run), "p long, c long, away double, linked boolean")
+
+def _weight(n: str = "n") -> Column:
+    return 1 + F.floor(F.col(n) / WEIGHT)
+
+
+def _measured(members: DataFrame, crowds: DataFrame, sets: DataFrame, rule: Rule, level: int) -> DataFrame:
+    """(p, crowd, c, pivot, away, linked, far): members of large regions and the pivots whose regions they are in or replicated to.
+
+    far: the region of those that are far from all pivots, under pivot 0.
+    """
+    eps = rule.eps + 1e-9
+    order = F.xxhash64("c", F.lit(level))
+    picked = members.join(crowds, "p").groupBy("p", "crowd", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(order.alias("o"), "c"))["c"].alias("c"))
+    parts = F.ceil(F.col("crowd") / PART).cast("int")
+    pivots = picked.join(sets, "c").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.col("p").alias("of"), F.col("part").alias("of_part"), F.col("c").alias("pivot"), F.col("shingles").alias("points"))
+    own = members.join(crowds, "p").join(sets, "c").select("p", F.pmod(F.xxhash64("c"), parts.cast("long")).cast("int").alias("part"), "crowd", "c", "shingles")
+    schema = "p long, crowd long, c long, pivot long, away double, linked boolean, far boolean"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = _sets(left.column("shingles")), _sets(right.column("points"))
+        sizes = np.array([len(s) for s in a], np.int64).reshape(-1, 1) + np.array([len(s) for s in b], np.int64).reshape(1, -1)
+        both = _shared_counts(a, b) if a and b else np.zeros(sizes.shape, np.int64)
+        away = 1 - both / np.maximum(sizes - both, 1)
+        own = away.min(1, keepdims=True, initial=1.0)
+        i, j = np.nonzero((own <= 1 - 2 * eps) & (away <= own + 2 * eps))
+        alone = np.flatnonzero(own[:, 0] > 1 - 3 * eps)  # those far from all pivots, and what may link with them
+        who = np.concatenate([i, alone])
+        take = lambda t, name, at: t.column(name).combine_chunks().take(pa.array(at))
+        return pa.table(
+            {
+                "p": take(left, "p", who),
+                "crowd": take(left, "crowd", who),
+                "c": take(left, "c", who),
+                "pivot": pa.array(np.concatenate([right.column("pivot").to_numpy()[j], np.zeros(len(alone), np.int64)])),
+                "away": pa.array(np.concatenate([away[i, j], own[alone, 0]])),
+                "linked": pa.array(np.concatenate([rule.links(both, sizes)[i, j], np.zeros(len(alone), bool)])),
+                "far": pa.array(np.arange(len(who)) >= len(i)),
+            }
+        )
+
+    return own.groupBy("p", "part").cogroup(pivots.groupBy("of", "of_part")).applyInArrow(run, schema)
+
+
+def _blocks(members: DataFrame, rule: Rule) -> DataFrame:
+    """Links among the members (p, c, n, shingles) of regions that pivots do not cut: blocks of about CELL meet."""
+    rows = members.withColumn("size", rule.size_class(F.col("n")))
+    parts = rows.groupBy("p", "size").agg(F.ceil(F.sum(_weight()) / CELL).cast("int").alias("parts"))
+    placed = rows.join(parts, ["p", "size"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts").cast("long")).cast("int"))
+    every = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("p", "size", "part")
+    x, y = every.alias("x"), every.alias("y")
+    after = (F.col("y.size") == F.col("x.size") + 1) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.part") >= F.col("x.part")))
+    meets = x.join(y, (F.col("x.p") == F.col("y.p")) & after)
+    meet = F.xxhash64("x.size", "x.part", "y.size", "y.part").alias("meet")
+    sides = meets.select("x.p", "x.size", "x.part", meet, F.lit(0).alias("side")).unionByName(meets.where("x.size <> y.size OR x.part <> y.part").select("y.p", "y.size", "y.part", meet, F.lit(1).alias("side")))
+    sent = placed.join(sides, ["p", "size", "part"]).select("p", "meet", "side", "c", "shingles")
+
+    def run(t: pa.Table) -> pa.Table:
+        side = np.array(t.column("side").to_pylist())
+        keys, sets = t.column("c").to_pylist(), _sets(t.column("shingles"))
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(two):
+            return _edges(_linked(keys, sets, rule))
+        n = np.array([len(s) for s in sets])
+        at = np.argwhere(rule.links(_shared_counts([sets[i] for i in one], [sets[i] for i in two]), n[one][:, None] + n[two][None, :]))
+        return _edges(_forest(keys, ((int(one[i]), int(two[j])) for i, j in at)))
+
+    return sent.groupBy("p", "meet").applyInArrow(run, LINKS)
 
 
 def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -316,10 +363,35 @@ def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
-def _folder(spark: SparkSession) -> str:
-    from .warc import shared_folder
-
-    return shared_folder(spark, f"jaccard-{uuid.uuid4().hex[:8]}")
+def join_regions(members: DataFrame, sets: DataFrame, rule: Rule, folder: str) -> DataFrame:
+    """Links (a, b) of the members (p, c) of all regions: Voronoi regions of large ones, again and again, then products."""
+    sizes, found = sets.select("c", "n"), []
+    for level in range(LEVELS + 1):
+        crowds = _stored(members.join(sizes, "c").groupBy("p").agg(F.sum(_weight()).alias("crowd"), F.count("*").alias("members")).where("members > 1"), folder, f"crowds-{level}")
+        small = members.join(crowds.where(f"crowd <= {CELL} OR members = 2").select("p"), "p", "left_semi")
+        found.append(_stored(_within(small.join(sets, "c"), rule), folder, f"within-{level}"))
+        large = crowds.where(f"crowd > {CELL} AND members > 2").select("p", "crowd")
+        if not large.limit(1).count():
+            break
+        if level == LEVELS:
+            found.append(_stored(_blocks(members.join(large.select("p"), "p", "left_semi").join(sets, "c"), rule), folder, "rest"))
+            break
+        measured = _stored(_measured(members, large, sets, rule, level), folder, f"measured-{level}")
+        found.append(measured.where("linked AND c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")))
+        outer = measured.where("NOT linked").groupBy("p", "pivot", "far").agg(F.min("away").alias("nearest"))
+        kept = measured.join(outer, ["p", "pivot", "far"]).where(~F.col("linked") | (F.col("away") >= F.col("nearest") - rule.eps - 1e-9)).select("p", "pivot", "far", "crowd", "c")
+        # pivots cut a region if its parts are well smaller and not more than twice as many documents together
+        parts = kept.join(sizes, "c").groupBy("p", "crowd", "pivot", "far").agg(F.sum(_weight()).alias("part"))
+        cut = parts.groupBy("p", "crowd").agg(F.max("part").alias("most"), F.sum("part").alias("all")).where("most <= 0.8 * crowd AND all <= 2 * crowd").select("p")
+        cut = _stored(cut, folder, f"cut-{level}")
+        whole_ones = large.join(parts.select("p").distinct(), "p", "left_semi").join(cut, "p", "left_anti").select("p")
+        rest = members.join(whole_ones, "p", "left_semi")
+        found.append(_stored(_blocks(rest.join(sets, "c"), rule), folder, f"blocks-{level}"))
+        members = _stored(kept.join(cut, "p", "left_semi").select(F.xxhash64("p", "pivot", "far", F.lit(level)).alias("p"), "c"), folder, f"regions-{level}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -338,43 +410,32 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Documents (d, c, n) of all rows, and links (a, b) between texts by their first documents' ids."""
-    spark, keyed = docs.sparkSession, _keyed(docs)
-    folder = _folder(spark)
-    seen = _stored(survey(keyed, rule), folder, "survey")
-    counts = np.zeros(COUNTERS, np.float64)
-    for r in seen.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("count").alias("n")).toLocalIterator():
-        counts[r["slot"]] = r["n"]
-    sizes = seen.where("c IS NOT NULL").select("c", "n", "folded").dropDuplicates(["c"])
+def links(docs: DataFrame, rule: Rule, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (d, c, n) of all rows, and links (a, b) between texts by their first documents' ids; folder holds what lies between."""
+    keyed = _keyed(docs)
+    bits = int(np.clip(keyed.count() * 4, 1, 1 << COUNTERS[1])).bit_length()
+    bits = int(np.clip(bits, *COUNTERS))
+    seen = _stored(survey(keyed, rule, bits), folder, "survey")
+    sizes = seen.where("c IS NOT NULL").select("c", "n").dropDuplicates(["c"])
     firsts = keyed.where("d IS NOT NULL").groupBy("c").agg(F.min("d").alias("d"))
 
-    members = _stored(cells(prefixes(keyed, counts, rule)), folder, "cells")
-    crowd = members.groupBy("p").agg(F.count("*").alias("crowd"))
-    small = members.join(crowd.where(f"crowd <= {CELL}"), "p")
-    kept = possible(small.join(sizes, "c").select("p", "c", "n", "folded"), rule).withColumn("large", F.lit(False))
-    big = members.join(crowd.where(f"crowd > {CELL}"), "p").select("p", "c").withColumn("large", F.lit(True))
-    staying = _stored(kept.unionByName(big), folder, "staying")
-    wanted = staying.select("c").distinct().join(firsts, "c")
-    sets = _stored(_sets_of(keyed.where("d IS NOT NULL"), wanted, rule), folder, "sets")
-    with_sets = staying.join(sets, "c")
-    near = _within(with_sets.where("NOT large").select("p", "c", "shingles"), rule)
-    large = with_sets.where("large").select("p", "c", "shingles")
-    pivots = staying.where("large").select("p").distinct().join(sets.select(F.col("c").alias("p"), F.col("shingles").alias("pivot")), "p")
-    distances = _stored(_distances(large, pivots, rule), folder, "distances")
-    inner, between = _large(large, rule, distances)
-    texts = _stored(near.unionByName(inner).unionByName(between).distinct(), folder, "links")
+    members = _stored(neighbourhoods(prefixes(keyed, _counts(seen, bits), rule), rule), folder, "members")
+    wanted = _stored(members.select("c").distinct().join(firsts, "c"), folder, "wanted")
+    sets = _stored(_sets_of(keyed, wanted, rule), folder, "sets")
+    texts = _stored(join_regions(members.join(wanted.select("c"), "c", "left_semi"), sets, rule, f"{folder}/regions"), folder, "links")
 
     of = lambda k: firsts.select(F.col("c").alias(k), F.col("d").alias(f"{k}_d"))
     between_docs = texts.join(of("a"), "a").join(of("b"), "b").select(F.col("a_d").alias("a"), F.col("b_d").alias("b"))
-    rows = keyed.select("d", "c").join(sizes.select("c", "n"), "c", "left").select("d", "c", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    rows = keyed.select("d", "c").join(sizes, "c", "left").select("d", "c", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     copies = rows.where("d IS NOT NULL AND n > 0").join(firsts.withColumnRenamed("d", "first"), "c").where("d <> first").select(F.col("d").alias("a"), F.col("first").alias("b"))
     return rows, between_docs.unionByName(copies)
 
 
 def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows, found = links(docs, rule)
-    parts = components(found)
+    folder = shared_folder(docs.sparkSession, "jaccard")
+    rows, found = links(docs, rule, folder)
+    parts = components(found)  # checkpointed: of what lies between only the sizes are still read
+    remove(docs.sparkSession, *(f"{folder}/{x}" for x in ("members", "wanted", "sets", "links", "regions")))
     joined = rows.join(parts, rows["d"] == parts["node"], "left")
     return joined.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "d").alias("component_id"))

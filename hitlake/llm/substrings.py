@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import P2, WordHashes, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
+from .text import P2, Seen, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 
 LOWEST = -(1 << 63)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -41,9 +41,9 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def _edges(texts: list[bytes | None], cache: WordHashes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _edges(texts: list[bytes | None], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word ids, offsets, hashes of the shorter runs, minimizer of each edge and whether the edge lies in one text."""
-    ids, offsets = word_ids(texts, cache)
+    ids, offsets = word_ids(texts)
     short = max(1, window // 2)
     runs = gram_hashes(ids, short)
     inside = whole(offsets, window)
@@ -60,16 +60,12 @@ def minimizers(docs: DataFrame, window: int) -> DataFrame:
     """(a, c, many): the distinct minimizers of each text and whether it has them at several places; a text that a task has seen is not repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
+        seen = Seen()
         for b in batches:
-            rows = []
-            for c, text in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text and c not in seen:
-                    seen.add(c)
-                    rows.append((c, text))
+            rows = [(c, t) for c, t in zip(b.column("c").to_pylist(), b.column("text").to_pylist(), strict=True) if t and seen.new(c)]
             for lo, hi in slices([t for _, t in rows]):
                 some = rows[lo:hi]
-                _, offsets, runs, least, inside = _edges([t for _, t in some], cache, window)
+                _, offsets, runs, least, inside = _edges([t for _, t in some], window)
                 if not inside.any():
                     continue
                 width = window - max(1, window // 2) + 1
@@ -96,12 +92,11 @@ def edges(docs: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for b in batches:
             texts, keys, nth = b.column("text").to_pylist(), b.column("d").to_numpy(), b.column("nth").to_numpy().astype(np.int64) << 32
             marks = [np.asarray(m, np.int64) for m in b.column("marks").to_pylist()]
             for lo, hi in slices(texts):
-                ids, offsets, _, least, inside = _edges(texts[lo:hi], cache, window)
+                ids, offsets, _, least, inside = _edges(texts[lo:hi], window)
                 first = gram_hashes(ids, window)
                 second = gram_hashes(mixed(ids ^ P2), window, P2)
                 found = []

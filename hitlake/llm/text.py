@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +19,27 @@ from pyspark.sql import functions as F
 from ..lineage import cut_lineage as cut_lineage
 
 SLICE_BYTES = 1 << 20
-CACHED_WORDS = 1 << 18
+SEEN = 1 << 16
+LONG = 256
 SPACE = b" \t\n\x0b\x0c\r"
+BLANK = np.isin(np.arange(256), list(SPACE))
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash of ``normal(word)``; emptied when it is full."""
+class Seen:
+    """Remembers the last keys of a task, at most SEEN of them, so that most repeats are passed over."""
 
-    def __init__(self, normal: Callable[[bytes], bytes] | None = None):
-        super().__init__()
-        self.normal = normal
+    def __init__(self) -> None:
+        self.keys: set[int] = set()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(self.normal(word) if self.normal else word)
-        return value
+    def new(self, key: int) -> bool:
+        if key in self.keys:
+            return False
+        if len(self.keys) >= SEEN:
+            self.keys.clear()
+        self.keys.add(key)
+        return True
 
 
 def slices(texts: list, size: int = SLICE_BYTES, weight: Callable = lambda t: len(t or b"")) -> Iterator[tuple[int, int]]:
@@ -63,28 +66,62 @@ def pieces(text: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
     yield text[start:] if start else text
 
 
-def word_ids(texts: list[bytes | None], cache: WordHashes, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts (uint64) and the offset of each text's first word, with the end last."""
-    counts, parts, pending, n = [], [], [], 0
-
-    def flush() -> None:
-        nonlocal n
-        parts.append(np.fromiter(map(cache.__getitem__, chain.from_iterable(pending)), np.uint64, n))
-        pending.clear()
-        n = 0
-
-    for t in texts:
-        k = 0
-        for piece in pieces(t or b""):
-            words = (piece.lower() if lower else piece).split()
-            pending.append(words)
-            k += len(words)
-            n += len(words)
-            if n > 500_000:
-                flush()
-        counts.append(k)
-    flush()
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+def _word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word, eight bytes at a time; words of over LONG bytes one by one."""
+    buffer = np.frombuffer(data + bytes(8), np.uint8)
+    lanes = np.ndarray((len(buffer) - 7,), "<u8", buffer, 0, (1,))
+    hashes = mixed((lanes[starts] & MASKS[np.minimum(sizes, 8)]) * P1 + sizes.astype(np.uint64))
+    at, k = np.flatnonzero(sizes > 8), 8
+    while len(at) and k < LONG:
+        rest = sizes[at] - k
+        hashes[at] = mixed(hashes[at] * P2 + (lanes[starts[at] + k] & MASKS[np.minimum(rest, 8)]))
+        at, k = at[rest > 8], k + 8
+    for i in at.tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return hashes
+
+
+def _core(data: bytes, starts: np.ndarray, ends: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the bytes of ``edge`` (a table) at both ends; a word of such bytes alone gets length 0."""
+    inner = np.concatenate([np.flatnonzero(~edge[np.frombuffer(data, np.uint8)]), [len(data)]])
+    first = np.searchsorted(inner, starts)
+    last = np.searchsorted(inner, ends)
+    none = first == last
+    return np.where(none, starts, inner[first]), np.where(none, starts, inner[np.maximum(last, 1) - 1] + 1)
+
+
+def word_ids(texts: list[bytes | None], lower: bool = False, edge: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts (uint64) and the offset of each text's first word, with the end last.
+
+    lower: A-Z are lower-cased; edge: a table of the bytes that are cut off at both ends of a word.
+    """
+    ids, counts = [np.empty(0, np.uint64)], np.zeros(len(texts), np.int64)
+
+    def add(parts: list[bytes]) -> np.ndarray:
+        """Number of words of each part."""
+        data = b" ".join(parts)
+        data = data.lower() if lower else data
+        blank = np.ones(len(data) + 2, bool)
+        blank[1:-1] = BLANK[np.frombuffer(data, np.uint8)]
+        turns = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        n = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)])))
+        if edge is not None:
+            starts, ends = _core(data, starts, ends, edge)
+        ids.append(_word_hashes(data, starts, ends - starts))
+        return n
+
+    for lo, hi in slices(texts):
+        if hi - lo == 1:
+            for part in pieces(texts[lo] or b""):
+                counts[lo] += add([part])[0]
+        else:
+            long = len(texts[hi - 1] or b"") > SLICE_BYTES  # what comes before it is under a slice
+            counts[lo : hi - long] = add([t or b"" for t in texts[lo : hi - long]])
+            if long:
+                for part in pieces(texts[hi - 1]):
+                    counts[hi - 1] += add([part])[0]
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(counts)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

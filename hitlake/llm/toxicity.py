@@ -22,19 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import P1, WordHashes, doc_of, mixed, slices, tidy, utf8, whole, word_ids
+from .text import P1, doc_of, mixed, slices, tidy, utf8, whole, word_ids
 
 SLOTS = 1 << 22
-EDGE = bytes(i for i in range(128) if not chr(i).isalnum())
+EDGE = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
-def _plain(word: bytes) -> bytes:
-    return word.strip(EDGE).lower()
-
-
-def features(texts: list[bytes | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) pairs of all features, not distinct, text by text in no set order."""
-    ids, offsets = word_ids(texts, cache)
+    ids, offsets = word_ids(texts, lower=True, edge=EDGE)
     owner = doc_of(offsets)
     slots, owners = [mixed(ids) % SLOTS], [owner]
     for gap in (1, 2, 3):
@@ -77,11 +73,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: in
     rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod("h", F.lit(shards)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache, model, rows = WordHashes(_plain), Ftrl(), []
+        model, rows = Ftrl(), []
         pdf = pdf.sort_values(["h", "doc_id", "label"], kind="stable")
         texts, marks = pdf["text"].tolist(), pdf["label"].tolist()
         for lo, hi in slices(texts):
-            owner, slots = features(texts[lo:hi], cache)
+            owner, slots = features(texts[lo:hi])
             both = np.unique(owner.astype(np.int64) * SLOTS + slots)
             cuts = np.searchsorted(both, np.arange(1, hi - lo) * SLOTS)
             rows += [np.append(x % SLOTS, SLOTS).astype(np.int32) for x in np.split(both, cuts)]
@@ -102,13 +98,13 @@ def score(docs: DataFrame, weights: dict[int, float], key: str = "doc_id") -> Da
     shared = docs.sparkSession.sparkContext.broadcast((at, np.array([weights[k] for k in at.tolist()], np.float32)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, cache = np.zeros(SLOTS + 1, np.float32), WordHashes(_plain)
+        table = np.zeros(SLOTS + 1, np.float32)
         table[shared.value[0]] = shared.value[1]
         used = table != 0
         for b in batches:
             texts, parts = b.column("text").to_pylist(), []
             for lo, hi in slices(texts):
-                owner, slots = features(texts[lo:hi], cache)
+                owner, slots = features(texts[lo:hi])
                 some = used[slots]
                 both = np.unique(owner[some].astype(np.int64) * SLOTS + slots[some])
                 total = np.bincount(both // SLOTS, table[both % SLOTS], minlength=hi - lo) + table[SLOTS]
