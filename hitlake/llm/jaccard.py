@@ -7,15 +7,17 @@ nothing of it (d is 1), so documents that cannot link are kept apart first, and
   bound; two documents that link share one among the first ``n - ceil(t n) + 1`` of each (any order gives right
   results). The documents with one such shingle, of sizes that allow a link, form a neighbourhood, named by one of
   them; equal names are one neighbourhood. So every pair that links meets in one;
+* the others of a neighbourhood allow a link only if the bound of its folded shingle counts does (folding shingles into
+  buckets never lengthens a distance); documents without such a partner go no further;
 * a neighbourhood of more than ``CELL`` documents is cut into Voronoi regions: up to ``PIVOTS`` of its members become
   pivots, each document belongs to the region of the nearest one, and by the triangle inequality it is replicated to
   every region whose pivot is farther by no more than 2 eps, so that a pair that links still meets in a region.
-  Documents farther than 1 - 2 eps from every pivot would be in all regions; they make a region of their
-  own, with all documents that are within eps of that bound. Documents within eps of a pivot are linked to it at once,
-  and of them only those go on that are within eps of the distance of one that is not. Regions that are still large
-  are cut again with new pivots;
+  Documents farther than 1 - 2 eps from every pivot would be in all regions; they make a region of their own, with all
+  documents that are within eps of that bound. The documents that link to the pivot with the most links are settled:
+  they are in one class, so they go on only where their distance is within eps of one that is not settled. Regions
+  that are still large are cut again with new pivots;
 * a region that pivots do not cut (its documents are about equally far from all of them) is joined block by block,
-  by classes of set size, of which only neighbours meet;
+  by classes of set size, of which only neighbours meet, and settled ones not with each other;
 * what fits is joined by products of 0/1 matrices, and each region returns a spanning forest of its links.
 
 Classes are the connected components of the links (alternating minimum stars). Documents of equal text are one node;
@@ -91,6 +93,25 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     return sets
 
 
+def folded(shingles: np.ndarray) -> np.ndarray:
+    """Counts of shingles by bucket (a power of two of them, about half as many as shingles)."""
+    size = 1 << min(11, max(4, int(len(shingles) // 2).bit_length()))
+    return np.bincount((shingles >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64), minlength=size)
+
+
+def _possible(n: np.ndarray, folds: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Which of some texts may link to another by their folded counts."""
+    size = min(map(len, folds))
+    table = np.stack([f.reshape(size, -1).sum(1) for f in folds])
+    stays = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        both = np.minimum(table[i], table[i + 1 :]).sum(1)
+        near = (100 * both >= rule.percent * (n[i] + n[i + 1 :] - both)) & (100 * np.minimum(n[i], n[i + 1 :]) >= rule.percent * np.maximum(n[i], n[i + 1 :]))
+        stays[i] |= near.any()
+        stays[i + 1 :] |= near
+    return stays
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("c"), utf8().alias("text"))
 
@@ -247,16 +268,55 @@ def _shared_counts(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     return out
 
 
+def _chosen(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """c, text and the other columns of wanted (c, d, times): one row for each, though rows may repeat a document."""
+    rows = keyed.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted.hint("merge"), ["c", "d"])
+    names = ["c", "text", *(x for x in wanted.columns if x not in ("c", "d", "times"))]
+    if not wanted.where("times > 1").limit(1).count():
+        return rows.select(*names)
+    return rows.where("times = 1").select(*names).unionByName(rows.where("times > 1").dropDuplicates(["c"]).select(*names))
+
+
 def _sets_of(keyed: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(c, n, shingles) of the texts in wanted (c, d), of which the first document stands for each."""
+    """(c, n, shingles) of the texts in wanted (c, d, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sets in _sliced(batches, rule.k):
             yield pa.RecordBatch.from_pydict({"c": pa.array(keys, pa.int64()), "n": pa.array(map(len, sets), pa.int32()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    few = wanted.count() <= SMALL
-    rows = keyed.join(F.broadcast(wanted) if few else wanted.hint("merge"), ["c", "d"])
-    return rows.select("c", "text").mapInArrow(tidy(run), "c long, n int, shingles binary").dropDuplicates(["c"])
+    return _chosen(keyed, wanted).select("c", "text").mapInArrow(tidy(run), "c long, n int, shingles binary")
+
+
+def _placed(keyed: DataFrame, members: DataFrame, firsts: DataFrame, rule: Rule, fold: bool) -> DataFrame:
+    """(p, c, n, data): members (p, c) of small regions with their folded counts or whole sets."""
+    wanted = members.groupBy("c").agg(F.collect_list("p").alias("ps")).join(firsts, "c")  # no more than a text's shingles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(c, t, ps) for c, t, ps in zip(*(b.column(x).to_pylist() for x in ("c", "text", "ps")), strict=True)]
+            for lo, hi in slices([t for _, t, _ in rows]):
+                out: list[tuple] = []
+                for (c, _, ps), own in zip(rows[lo:hi], shingle_sets([t for _, t, _ in rows[lo:hi]], rule.k), strict=True):
+                    data = folded(own).astype("<u4").tobytes() if fold else own.tobytes()
+                    out += [(p, c, len(own), data) for p in ps]
+                for k in range(0, len(out), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out[k : k + 1000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["p", "c", "n", "data"])
+
+    return _chosen(keyed, wanted).mapInArrow(tidy(run), "p long, c long, n int, data binary")
+
+
+def possible(members: DataFrame, rule: Rule) -> DataFrame:
+    """Of members (p, c, n, data: folded counts) of small regions those (p, c) that may link to another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_runs(batches, "p", 4 * CELL):
+            p, n = t.column("p").to_numpy(), t.column("n").to_numpy().astype(np.int64)
+            folds = [np.frombuffer(x, "<u4").astype(np.int64) for x in t.column("data").to_pylist()]
+            cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
+            stays = np.concatenate([_possible(n[a:z], folds[a:z], rule) for a, z in zip(cuts, cuts[1:], strict=False)])
+            yield from t.select(["p", "c"]).filter(pa.array(stays)).combine_chunks().to_batches()
+
+    return members.repartition("p").sortWithinPartitions("p").mapInArrow(tidy(run), "p long, c long")
 
 
 def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -278,16 +338,16 @@ def _linked(keys: list[int], sets: list[np.ndarray], rule: Rule) -> list[tuple[i
 
 
 def _within(members: DataFrame, rule: Rule) -> DataFrame:
-    """Links among the members (p, c, shingles) of regions that fit."""
+    """Links among the members (p, c, data: sets) of regions that fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _by_runs(batches, "p", 4 * CELL):
-            p, keys, sets = t.column("p").to_numpy(), t.column("c").to_pylist(), _sets(t.column("shingles"))
+            p, keys, sets = t.column("p").to_numpy(), t.column("c").to_pylist(), _sets(t.column("data"))
             cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
             pairs = [x for a, z in zip(cuts, cuts[1:], strict=False) for x in _linked(keys[a:z], sets[a:z], rule)]
             yield from _edges(pairs).to_batches()
 
-    return members.select("p", "c", "shingles").repartition("p").sortWithinPartitions("p").mapInArrow(tidy(run), LINKS)
+    return members.select("p", "c", "data").repartition("p").sortWithinPartitions("p").mapInArrow(tidy(run), LINKS)
 
 
 def _weight(n: str = "n") -> Column:
@@ -295,52 +355,65 @@ def _weight(n: str = "n") -> Column:
 
 
 def _measured(members: DataFrame, crowds: DataFrame, sets: DataFrame, rule: Rule, level: int) -> DataFrame:
-    """(p, crowd, c, pivot, away, linked, far): members of large regions and the pivots whose regions they are in or replicated to.
-
-    far: the region of those that are far from all pivots, under pivot 0.
-    """
-    eps = rule.eps + 1e-9
+    """(p, crowd, c, n, pivots, away, links): distances of the members of large regions from the pivots, and a bit for each that links."""
     order = F.xxhash64("c", F.lit(level))
     picked = members.join(crowds, "p").groupBy("p", "crowd", F.pmod(order, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(order.alias("o"), "c"))["c"].alias("c"))
     parts = F.ceil(F.col("crowd") / PART).cast("int")
     pivots = picked.join(sets, "c").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select(F.col("p").alias("of"), F.col("part").alias("of_part"), F.col("c").alias("pivot"), F.col("shingles").alias("points"))
-    own = members.join(crowds, "p").join(sets, "c").select("p", F.pmod(F.xxhash64("c"), parts.cast("long")).cast("int").alias("part"), "crowd", "c", "shingles")
-    schema = "p long, crowd long, c long, pivot long, away double, linked boolean, far boolean"
+    own = members.join(crowds, "p").join(sets, "c").select("p", F.pmod(F.xxhash64("c"), parts.cast("long")).cast("int").alias("part"), "crowd", "c", "n", "shingles")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("pivot")
         a, b = _sets(left.column("shingles")), _sets(right.column("points"))
         sizes = np.array([len(s) for s in a], np.int64).reshape(-1, 1) + np.array([len(s) for s in b], np.int64).reshape(1, -1)
         both = _shared_counts(a, b) if a and b else np.zeros(sizes.shape, np.int64)
         away = 1 - both / np.maximum(sizes - both, 1)
-        own = away.min(1, keepdims=True, initial=1.0)
-        i, j = np.nonzero((own <= 1 - 2 * eps) & (away <= own + 2 * eps))
-        alone = np.flatnonzero(own[:, 0] > 1 - 3 * eps)  # those far from all pivots, and what may link with them
-        who = np.concatenate([i, alone])
-        take = lambda t, name, at: t.column(name).combine_chunks().take(pa.array(at))
-        return pa.table(
-            {
-                "p": take(left, "p", who),
-                "crowd": take(left, "crowd", who),
-                "c": take(left, "c", who),
-                "pivot": pa.array(np.concatenate([right.column("pivot").to_numpy()[j], np.zeros(len(alone), np.int64)])),
-                "away": pa.array(np.concatenate([away[i, j], own[alone, 0]])),
-                "linked": pa.array(np.concatenate([rule.links(both, sizes)[i, j], np.zeros(len(alone), bool)])),
-                "far": pa.array(np.arange(len(who)) >= len(i)),
-            }
-        )
-
-    return own.groupBy("p", "part").cogroup(pivots.groupBy("of", "of_part")).applyInArrow(run, schema)
+        links = (rule.links(both, sizes).astype(np.int64) << np.arange(len(b))).sum(1)
+        names = pa.array([right.column("pivot").to_pylist()] * len(a), pa.list_(pa.int64()))
+        return pa.table({"p": left.column("p"), "crowd": left.column("crowd"), "c": left.column("c"), "n": left.column("n"), "pivots": names, "away": pa.array(away.tolist(), pa.list_(pa.float64())), "links": pa.array(links, pa.int64())})
+
+    return own.groupBy("p", "part").cogroup(pivots.groupBy("of", "of_part")).applyInArrow(run, "p long, crowd long, c long, n int, pivots array<long>, away array<double>, links long")
+
+
+def _bit(links: Column, k: Column) -> Column:
+    return F.shiftright(links, k).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _regions(measured: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of measured members with ``settled`` and their places (-1: far from all pivots): links, all members, and (p, crowd, place, c, n) of those that go on."""
+    eps = rule.eps + 1e-9
+    votes = measured.groupBy("p").agg(F.array(*(F.sum(F.shiftright("links", k).bitwiseAND(F.lit(1).cast("long"))) for k in range(PIVOTS))).alias("votes"))
+    hubs = votes.select("p", (F.array_position("votes", F.array_max("votes")) - 1).cast("int").alias("hub"))
+    own = F.array_min("away")
+    at = lambda j: F.when(j < 0, own).otherwise(F.try_element_at("away", F.greatest(j, F.lit(0)) + 1))
+    near = F.filter(F.sequence(F.lit(0), F.size("away") - 1), lambda j: (own <= 1 - 2 * eps) & (at(j) <= own + 2 * eps))
+    places = F.concat(near, F.when(own > 1 - 3 * eps, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
+    rows = measured.join(hubs, "p").withColumns({"settled": F.expr("(shiftright(links, hub) & 1) = 1"), "places": places})
+    linked = F.filter(F.sequence(F.lit(0), F.size("pivots") - 1), lambda j: F.expr("links").isNotNull() & F.when(F.col("settled"), j == F.col("hub")).otherwise(F.lit(True)))
+    pairs = rows.where("links <> 0").select("c", "links", "pivots", F.explode(linked).alias("j")).where(F.expr("(shiftright(links, j) & 1) = 1"))
+    links = pairs.select(F.col("c").alias("a"), F.element_at("pivots", F.col("j") + 1).alias("b")).where("a <> b")
+
+    few = rows.groupBy("p", "crowd").agg(F.sum(F.when(~F.col("settled"), F.size("places") * _weight()).otherwise(0)).alias("copies")).where("copies > 0 AND copies <= 2 * crowd").select("p")
+    open_rows = rows.join(few, "p", "left_semi")
+    loose = open_rows.where("NOT settled").select("p", "crowd", "c", "n", F.explode("places").alias("place"), "away").select("p", "crowd", "c", "n", "place", at(F.col("place")).alias("d"))
+    span = loose.groupBy("p", "place").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    spans = span.groupBy("p").agg(F.map_from_entries(F.collect_list(F.struct("place", F.struct("lo", "hi")))).alias("spans"))  # PIVOTS + 1 at most
+    within = F.filter("places", lambda j: F.coalesce(at(j).between(F.try_element_at("spans", j)["lo"] - eps, F.try_element_at("spans", j)["hi"] + eps), F.lit(False)))
+    tied = open_rows.where("settled").join(spans, "p").select("p", "crowd", "c", "n", F.explode(within).alias("place"))
+    return links, rows, loose.drop("d").unionByName(tied)
 
 
 def _blocks(members: DataFrame, rule: Rule) -> DataFrame:
-    """Links among the members (p, c, n, shingles) of regions that pivots do not cut: blocks of about CELL meet."""
-    rows = members.withColumn("size", rule.size_class(F.col("n")))
+    """Links among the members (p, c, n, settled, shingles) of regions that pivots do not cut: blocks of about CELL meet, if not both are settled."""
+    rows = members.withColumn("size", 2 * rule.size_class(F.col("n")) + F.col("settled").cast("int"))
     parts = rows.groupBy("p", "size").agg(F.ceil(F.sum(_weight()) / CELL).cast("int").alias("parts"))
     placed = rows.join(parts, ["p", "size"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts").cast("long")).cast("int"))
     every = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("p", "size", "part")
     x, y = every.alias("x"), every.alias("y")
-    after = (F.col("y.size") == F.col("x.size") + 1) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.part") >= F.col("x.part")))
-    meets = x.join(y, (F.col("x.p") == F.col("y.p")) & after)
+    class_of = lambda t: F.floor(F.col(f"{t}.size") / 2)
+    after = (F.col("y.size") > F.col("x.size")) | ((F.col("y.size") == F.col("x.size")) & (F.col("y.part") >= F.col("x.part")))
+    open_pair = (F.col("x.size") % 2 == 0) | (F.col("y.size") % 2 == 0)
+    meets = x.join(y, (F.col("x.p") == F.col("y.p")) & after & (class_of("y") - class_of("x") <= 1) & open_pair)
     meet = F.xxhash64("x.size", "x.part", "y.size", "y.part").alias("meet")
     sides = meets.select("x.p", "x.size", "x.part", meet, F.lit(0).alias("side")).unionByName(meets.where("x.size <> y.size OR x.part <> y.part").select("y.p", "y.size", "y.part", meet, F.lit(1).alias("side")))
     sent = placed.join(sides, ["p", "size", "part"]).select("p", "meet", "side", "c", "shingles")
@@ -366,28 +439,26 @@ def _stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 def join_regions(members: DataFrame, sets: DataFrame, rule: Rule, folder: str) -> DataFrame:
     """Links (a, b) of the members (p, c) of all regions: Voronoi regions of large ones, again and again, then products."""
     sizes, found = sets.select("c", "n"), []
+    settled, fits = F.lit(False).alias("settled"), f"crowd <= {CELL} OR members = 2"
     for level in range(LEVELS + 1):
         crowds = _stored(members.join(sizes, "c").groupBy("p").agg(F.sum(_weight()).alias("crowd"), F.count("*").alias("members")).where("members > 1"), folder, f"crowds-{level}")
-        small = members.join(crowds.where(f"crowd <= {CELL} OR members = 2").select("p"), "p", "left_semi")
-        found.append(_stored(_within(small.join(sets, "c"), rule), folder, f"within-{level}"))
-        large = crowds.where(f"crowd > {CELL} AND members > 2").select("p", "crowd")
+        small = members.join(crowds.where(fits).select("p"), "p", "left_semi")
+        found.append(_stored(_within(small.join(sets, "c").withColumnRenamed("shingles", "data"), rule), folder, f"within-{level}"))
+        large = crowds.where(f"NOT ({fits})").select("p", "crowd")
         if not large.limit(1).count():
             break
         if level == LEVELS:
-            found.append(_stored(_blocks(members.join(large.select("p"), "p", "left_semi").join(sets, "c"), rule), folder, "rest"))
+            found.append(_stored(_blocks(members.join(large.select("p"), "p", "left_semi").join(sets, "c").select("*", settled), rule), folder, "rest"))
             break
-        measured = _stored(_measured(members, large, sets, rule, level), folder, f"measured-{level}")
-        found.append(measured.where("linked AND c <> pivot").select(F.col("c").alias("a"), F.col("pivot").alias("b")))
-        outer = measured.where("NOT linked").groupBy("p", "pivot", "far").agg(F.min("away").alias("nearest"))
-        kept = measured.join(outer, ["p", "pivot", "far"]).where(~F.col("linked") | (F.col("away") >= F.col("nearest") - rule.eps - 1e-9)).select("p", "pivot", "far", "crowd", "c")
+        links, rows, going = _regions(_stored(_measured(members, large, sets, rule, level), folder, f"measured-{level}"), rule)
+        found.append(_stored(links, folder, f"pivots-{level}"))
+        going = _stored(going, folder, f"going-{level}")
         # pivots cut a region if its parts are well smaller and not more than twice as many documents together
-        parts = kept.join(sizes, "c").groupBy("p", "crowd", "pivot", "far").agg(F.sum(_weight()).alias("part"))
-        cut = parts.groupBy("p", "crowd").agg(F.max("part").alias("most"), F.sum("part").alias("all")).where("most <= 0.8 * crowd AND all <= 2 * crowd").select("p")
-        cut = _stored(cut, folder, f"cut-{level}")
-        whole_ones = large.join(parts.select("p").distinct(), "p", "left_semi").join(cut, "p", "left_anti").select("p")
-        rest = members.join(whole_ones, "p", "left_semi")
+        parts = going.groupBy("p", "crowd", "place").agg(F.sum(_weight()).alias("part"))
+        cut = _stored(parts.groupBy("p", "crowd").agg(F.max("part").alias("most"), F.sum("part").alias("all")).where("most <= 0.8 * crowd AND all <= 2 * crowd").select("p"), folder, f"cut-{level}")
+        rest = rows.join(rows.where("NOT settled").select("p").distinct(), "p", "left_semi").join(cut, "p", "left_anti").select("p", "c", "settled")
         found.append(_stored(_blocks(rest.join(sets, "c"), rule), folder, f"blocks-{level}"))
-        members = _stored(kept.join(cut, "p", "left_semi").select(F.xxhash64("p", "pivot", "far", F.lit(level)).alias("p"), "c"), folder, f"regions-{level}")
+        members = _stored(going.join(cut, "p", "left_semi").select(F.xxhash64("p", "place", F.lit(level)).alias("p"), "c"), folder, f"regions-{level}")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -417,17 +488,24 @@ def links(docs: DataFrame, rule: Rule, folder: str) -> tuple[DataFrame, DataFram
     bits = int(np.clip(bits, *COUNTERS))
     seen = _stored(survey(keyed, rule, bits), folder, "survey")
     sizes = seen.where("c IS NOT NULL").select("c", "n").dropDuplicates(["c"])
-    firsts = keyed.where("d IS NOT NULL").groupBy("c").agg(F.min("d").alias("d"))
-
-    members = _stored(neighbourhoods(prefixes(keyed, _counts(seen, bits), rule), rule), folder, "members")
-    wanted = _stored(members.select("c").distinct().join(firsts, "c"), folder, "wanted")
-    sets = _stored(_sets_of(keyed, wanted, rule), folder, "sets")
-    texts = _stored(join_regions(members.join(wanted.select("c"), "c", "left_semi"), sets, rule, f"{folder}/regions"), folder, "links")
+    once = keyed.where("d IS NOT NULL").groupBy("c", "d").agg(F.count("*").alias("times"))
+    firsts = once.groupBy("c").agg(F.min(F.struct("d", "times")).alias("f")).select("c", "f.d", "f.times")
+
+    members = neighbourhoods(prefixes(keyed, _counts(seen, bits), rule), rule)
+    members = _stored(members.join(sizes, "c").join(firsts.select("c"), "c", "left_semi").select("p", "c", "n"), folder, "members")
+    crowds = _stored(members.groupBy("p").agg(F.sum(_weight()).alias("crowd"), F.count("*").alias("members")), folder, "crowds")
+    fits = f"crowd <= {CELL} OR members = 2"
+    small = members.join(crowds.where(f"members > 1 AND ({fits})"), "p", "left_semi").select("p", "c")
+    staying = _stored(possible(_placed(keyed, small, firsts, rule, fold=True), rule), folder, "staying")
+    near = _within(_placed(keyed, staying, firsts, rule, fold=False), rule)
+    large = _stored(members.join(crowds.where(f"NOT ({fits})"), "p", "left_semi").select("p", "c"), folder, "large")
+    sets = _stored(_sets_of(keyed, large.select("c").distinct().join(firsts, "c"), rule), folder, "sets")
+    texts = _stored(near.unionByName(join_regions(large, sets, rule, f"{folder}/regions")).distinct(), folder, "links")
 
     of = lambda k: firsts.select(F.col("c").alias(k), F.col("d").alias(f"{k}_d"))
     between_docs = texts.join(of("a"), "a").join(of("b"), "b").select(F.col("a_d").alias("a"), F.col("b_d").alias("b"))
     rows = keyed.select("d", "c").join(sizes, "c", "left").select("d", "c", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    copies = rows.where("d IS NOT NULL AND n > 0").join(firsts.withColumnRenamed("d", "first"), "c").where("d <> first").select(F.col("d").alias("a"), F.col("first").alias("b"))
+    copies = rows.where("d IS NOT NULL AND n > 0").join(firsts.select("c", F.col("d").alias("first")), "c").where("d <> first").select(F.col("d").alias("a"), F.col("first").alias("b"))
     return rows, between_docs.unionByName(copies)
 
 
@@ -436,6 +514,6 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
     folder = shared_folder(docs.sparkSession, "jaccard")
     rows, found = links(docs, rule, folder)
     parts = components(found)  # checkpointed: of what lies between only the sizes are still read
-    remove(docs.sparkSession, *(f"{folder}/{x}" for x in ("members", "wanted", "sets", "links", "regions")))
+    remove(docs.sparkSession, *(f"{folder}/{x}" for x in ("members", "crowds", "staying", "large", "sets", "links", "regions")))
     joined = rows.join(parts, rows["d"] == parts["node"], "left")
     return joined.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "d").alias("component_id"))
