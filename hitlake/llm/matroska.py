@@ -1,10 +1,14 @@
 """Media columns: payloads kept losslessly as 8-bit PCM in Matroska, and packet tables parsed from the bytes.
 
-``mux`` writes an EBML header and a segment of known size with one PCM track, a cluster for every 16 blocks, blocks
-of eight laced frames (fixed-size lacing; the last frames of a file have blocks of their own) and a cue for each
-cluster. ``packets`` reads any stored file of this family: variable-length element ids and sizes, unknown-size
+``mux`` writes an EBML header and a segment of known size with one PCM track, a cluster for every 8 blocks (a block's
+time is a signed 16-bit number of milliseconds from its cluster's), blocks of eight laced frames (fixed-size lacing;
+the last frames of a file have blocks of their own) and a cue for each cluster. ``packets`` reads any stored file of this family: variable-length element ids and sizes, unknown-size
 segments and clusters, simple blocks and block groups, all four lacings (none, Xiph, fixed, EBML) and cues. It gives
 each frame's track, timestamp, key flag, byte range and whether a cue points at its cluster.
+
+Null and empty texts are one unit of zeros; an empty table gives no rows. Repeated rows and null ids are kept, each with
+its own file; equal texts give equal bytes. A text is stored whole whatever its length (one file in a task's memory at
+a time beside a few megabytes); columns other than the key and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import utf8
+from .text import slices, utf8
 
 UNIT = 64
 FRAME = 4096
 LACED = 8
-BLOCKS = 16
+BLOCKS = 8  # 7 blocks of 32 KiB before the last are under 32,768 ms
 RATE = 8000
 
 # Fixed values of the format: element ids.
@@ -180,8 +184,8 @@ def store(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):  # so that a batch never holds more than 256 files
-                some = b.slice(lo, 256)
+            for lo, hi in slices(b.column("text").to_pylist(), 4 << 20):
+                some = b.slice(lo, hi - lo)
                 texts = [t or b"" for t in some.column("text").to_pylist()]
                 media = [mux(padded(t)) for t in texts]
                 yield pa.RecordBatch.from_pydict({key: some.column(key), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "media": pa.array(media, pa.binary())})
