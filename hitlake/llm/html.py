@@ -10,12 +10,19 @@ those under elements that never hold an article's text (menus, headers outside t
 adverts, forms, comments, scripts, styles) by tag, role, class or id. Outside the region, link lists and unmarked lines
 of bare containers go.
 
-Null, empty and textless pages give an empty text. Unclosed tags, a cut-off end and stray entities are tolerated.
+A class or id is a hint only: a word of it counts whole or by its last part (cookie-notice, but not has-sidebar). Where
+every article and h1 element, or on pages without them every marked line, stands under elements with such a name, those
+of them that hold most of the page's text outside links are not hidden by it.
+
+Null, empty and textless pages give an empty text; an empty table gives no rows, repeated rows and null ids are kept.
+Unclosed tags, a cut-off end and stray entities are tolerated. Work and memory are in proportion to a page's length,
+however deep its elements stand in each other. Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -24,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIGMA = 1.0
+MOST = 0.5  # of a page's text outside links, which no element hidden by its name alone holds
 NEARLY_ALL = 0.8  # of the allowed text that is no link's, marked or not, for a region
 STATED = frozenset("article main section".split())  # the page itself says that these hold content
+HOME = frozenset("article main h1".split())
 PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 li dt dd figcaption".split())
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg iframe object canvas math".split())
 APART = frozenset("nav footer aside form dialog menu".split())
@@ -34,24 +43,41 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CLOSES_P = BLOCK - {"html", "body"}
 CONTAINERS = frozenset("article main section div td body center table tbody tr html details".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|site-?header|page-?header|topbar|cookies?|consent|notice|gdpr|popup|modal|overlay|newsletter|subscribe|signup|comments?|commentlist|respond|replies|reply|disqus|related|recommended|share|sharing|social|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])", re.I)
+# The last parts of class and id words of what is no main text.
+NAMES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead header topbar cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup comment comments commentlist respond replies disqus recommended share sharing social widget widgets toolbar pagination pager".split())
+WHOLE = frozenset("comment-list comment-area comments-area comment-section comments-section side related related-posts related-articles related-links recommended-posts skip-link share-buttons social-links nav-bar nav-menu side-bar ad-box ad-slot ad-container cookie-bar footer-links".split())
+UNLESS = frozenset("has with no without not is enable enabled hide hidden".split())
+
+
+def _named(names: str) -> bool:
+    """Whether a word of a class or id says that its element is no main text."""
+    for word in names.lower().split():
+        parts = re.split("[-_]+", word)
+        if word.replace("_", "-") in WHOLE or (parts[-1] in NAMES and parts[0] not in UNLESS):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (element path, text, number of tags, length of link text, hidden by what it stands in)."""
+    """Lines of a page: (number of the element it stands in, text, number of tags, length of link text).
+
+    Elements are numbered as they open: 0 is the page; tags, parents and hints are by number.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, element number, hidden, apart
-        self.count = self.links = self.tags = self.linked = 0
+        self.open: list[tuple[str, int, bool, bool]] = []  # tag, element number, hidden, inside an article
+        self.stands: Counter[str] = Counter()  # open elements by tag
+        self.tag, self.parent, self.apart, self.named = [""], [0], [False], [False]
+        self.tags = self.linked = 0
         self.text: list[str] = []
-        self.lines: list[tuple[tuple[tuple[int, str], ...], str, int, int, bool]] = []
+        self.lines: list[tuple[int, str, int, int]] = []
 
     def cut(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((tuple((x[1], x[0]) for x in self.open), text, self.tags, self.linked, bool(self.open) and self.open[-1][3]))
+                self.lines.append((self.open[-1][1] if self.open else 0, text, self.tags, self.linked))
                 self.tags = 0
             self.text, self.linked = [], 0
 
@@ -69,20 +95,24 @@ class _Lines(HTMLParser):
                 self.shut("p", ("div", "article", "section", "td", "li", "blockquote", "body", "main", "aside"))
             if tag == "li":
                 self.shut("li", ("ul", "ol", "menu"))
-        inner = self.open[-1] if self.open else ("", 0, False, False)
+        _, parent, hidden, inside = self.open[-1] if self.open else ("", 0, False, False)
         names = dict(attrs)
-        inside = any(x[0] in ("article", "main") for x in self.open)
         apart = tag in APART or (tag == "header" and not inside) or (names.get("role") or "").lower() in ROLES or "hidden" in names
-        apart = apart or (tag not in ("html", "body", "article", "main") and bool(NAMES.search(f"{names.get('class') or ''} {names.get('id') or ''}")))
-        self.count += 1
-        self.open.append((tag, self.count, inner[2] or tag in HIDDEN, inner[3] or apart))
-        self.links += tag == "a"
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.apart.append(apart)
+        self.named.append(tag not in ("html", "body", "article", "main") and _named(f"{names.get('class') or ''} {names.get('id') or ''}"))
+        self.open.append((tag, len(self.tag) - 1, hidden or tag in HIDDEN, inside or tag in ("article", "main")))
+        self.stands[tag] += 1
 
     def shut(self, tag: str, within: tuple[str, ...]) -> None:
         """Close the nearest open ``tag`` unless one of ``within`` stands between."""
+        if not self.stands[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                self.links -= sum(x[0] == "a" for x in self.open[k:])
+                for x in self.open[k:]:
+                    self.stands[x[0]] -= 1
                 del self.open[k:]
                 return
             if self.open[k][0] in within:
@@ -101,7 +131,7 @@ class _Lines(HTMLParser):
         if self.open and self.open[-1][2]:
             return
         self.text.append(data)
-        if self.links:
+        if self.stands["a"]:
             self.linked += len(data)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -141,28 +171,46 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
+    at, parent = np.array([x[0] for x in lines]), page.parent
     size = np.array([len(x[1]) - min(len(x[1]), x[3]) for x in lines], float)
     ratio = np.log1p(smoothed(size / np.array([max(1, x[2]) for x in lines])))
-    allowed = np.array([not x[4] for x in lines])
-    marked = (ratio >= threshold(ratio)) & allowed & (size > 0)
+
+    def held(values: np.ndarray) -> np.ndarray:
+        """Sums of the lines' values by the elements that they stand in; children have higher numbers."""
+        total = np.bincount(at, values, minlength=len(parent)).tolist()
+        for e in range(len(parent) - 1, 0, -1):
+            total[parent[e]] += total[e]
+        return np.array(total)
+
+    def under(own: list[bool]) -> np.ndarray:
+        """Of each line whether one of the elements that it stands in has a flag."""
+        flags = list(own)
+        for e in range(1, len(parent)):
+            flags[e] = flags[e] or flags[parent[e]]
+        return np.array(flags)[at]
+
+    apart, named = under(page.apart), under(page.named)
+    high = ratio >= threshold(ratio)
+    home = under([t in HOME for t in page.tag]) & ~apart & (size > 0)
+    # names are not to be trusted if all of the page's own signs of content, or else all marked lines, stand under them
+    if (home if home.any() else high & ~apart & (size > 0))[~named].any():
+        allowed = ~apart & ~named
+    else:
+        plain = held(np.where(apart, 0, size))
+        allowed = ~under([a or (n and s) for a, n, s in zip(page.apart, page.named, (plain <= MOST * plain[0]).tolist(), strict=True)])
+    marked = high & allowed & (size > 0)
     if not marked.any():
         marked = allowed & (size > 0)
     if not marked.any():
         return ""
-    allowed_size = size * allowed
-    held: dict[tuple[int, str], list[float]] = {}
-    for (path, *_), n, m in zip(lines, allowed_size.tolist(), marked.tolist(), strict=True):
-        for e in path:
-            h = held.setdefault(e, [0.0, 0])
-            h[0] += n
-            h[1] += m
-    total = allowed_size.sum()
-    stated = np.array([any(e[1] in STATED for e in x[0]) for x in lines])
-    keep = stated | np.array([2 * n > len(x[1]) and any(e[1] in PROSE for e in x[0]) for x, n in zip(lines, size.tolist(), strict=True)])
-    if (marked & ~stated).any() or allowed_size[stated].sum() < NEARLY_ALL * total:
+    total = (size * allowed).sum()
+    stated = under([t in STATED for t in page.tag])
+    keep = stated | ((2 * size > np.array([len(x[1]) for x in lines])) & under([t in PROSE for t in page.tag]))
+    if (marked & ~stated).any() or (size * allowed)[stated].sum() < NEARLY_ALL * total:
         # containers of all marked lines stand in each other; elements are numbered as they open, so the last is innermost
-        region = max((e for e, (n, m) in held.items() if e[1] in CONTAINERS and m == marked.sum() and n >= NEARLY_ALL * total), default=None)
-        keep |= np.array([region is None or region in x[0] for x in lines])
+        fits = (held(marked.astype(float)) == marked.sum()) & (held(size * allowed) >= NEARLY_ALL * total)
+        region = max((e for e in np.flatnonzero(fits).tolist() if page.tag[e] in CONTAINERS), default=0)
+        keep |= under([e == region for e in range(len(parent))])
     return "\n".join(x[1] for x, ok in zip(lines, allowed & keep, strict=True) if ok)
 
 
