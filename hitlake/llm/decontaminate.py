@@ -1,32 +1,38 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-A window has as many words as a benchmark item. Windows and items get a 64-bit SimHash of their k-word shingles;
-fingerprints are cut into ``radius + 1`` blocks, and two within ``radius`` bits agree in one block at least, so a join
-by (length, block, value) finds all of them. Candidates are verified by the exact weighted similarity of their
-shingles: the sum of the smaller counts by the sum of the larger ones.
+A window has as many words as a benchmark item. Windows and items get a 64-bit SimHash of their k-word shingles.
+Fingerprints are cut into ``BLOCKS`` blocks of 16 bits; of two within ``radius`` bits one block differs in
+``radius // BLOCKS`` bits at most, so items are entered under all values that near to each of their blocks, and a join
+by (length, block, value) finds every fingerprint within the radius. Candidates are verified by the exact weighted
+similarity of their shingles: the sum of the smaller counts by the sum of the larger ones.
 
 Only windows that can reach the similarity are fingerprinted: at least that share of a window's shingles must be
-shingles of items of its length, by a bitmap of fixed size (a false hit costs work, never a result). The join is
-salted, as a leaked passage may stand in very many documents.
+shingles of items of its length, by a bitmap of fixed size (a false hit costs work, never a result). Windows of equal
+text are compared once, as a leaked passage may stand in very many documents. SimHash is what loses a match: at a
+similarity of 0.8 about one window in fifty is beyond the radius, at 0.85 under one in a thousand.
 
 Words are lower-cased (A-Z). Null texts have no windows; items with fewer than k words are too short to tell and never
-match; null and repeated items and documents are tolerated: rows with equal ids count as one.
+match; null and repeated items and documents are tolerated: rows with equal ids count as one. Of several windows of one
+document that are equally similar to an item the first counts. Empty tables give no rows; columns other than the ids
+and texts are ignored. Long texts are read in slices of words, whole.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
+from ..lineage import shared_folder
+from .text import SPACE, bit_table, gram_hashes, in_table, mixed, slices, tidy, utf8, whole, word_ids
 
 BITS = 1 << 24
-SALT = 8
+BLOCKS = 4
 
 
 def _slot(shingles: np.ndarray, length: int) -> np.ndarray:
@@ -70,14 +76,12 @@ def _items(items: DataFrame, k: int) -> DataFrame:
     return items.select(F.col("item_id").cast("long").alias("item_id"), utf8().alias("text")).where("text IS NOT NULL").mapInArrow(tidy(run), "item_id long, item binary, length int, fp long, slots array<int>")
 
 
-def windows(docs: DataFrame, slots: np.ndarray, lengths: list[int], k: int, least: float) -> DataFrame:
+def windows(docs: DataFrame, bitmap: np.ndarray, lengths: list[int], k: int, least: float) -> DataFrame:
     """(doc_id, start, length, fp, window) of the windows that may match an item of their length."""
-    bitmap = np.zeros(BITS // 8, np.uint8)
-    np.bitwise_or.at(bitmap, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITS bits, whatever the benchmark
 
     def has(at: np.ndarray) -> np.ndarray:
-        return (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return in_table(shared.value, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,36 +121,40 @@ def windows(docs: DataFrame, slots: np.ndarray, lengths: list[int], k: int, leas
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).mapInArrow(tidy(run), "doc_id long, start int, length int, fp long, window binary")
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """First bit and width of radius + 1 blocks of 64 bits."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _block(i: int) -> Column:
+    return F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
+
+
+def _probes(distance: int) -> list[int]:
+    """All 16-bit numbers of at most ``distance`` ones."""
+    return [sum(1 << k for k in bits) for n in range(distance + 1) for bits in combinations(range(16), n)]
 
 
 def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, radius: int = 15) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: the best window of each document for each item it holds."""
-    known = _items(items, k)
-    facts = known.select("length", F.explode("slots").alias("slot")).distinct()
-    lengths, slots = set(), np.zeros(BITS, bool)
-    for r in facts.toLocalIterator():  # no more than lengths x BITS in the worst case; a benchmark has few
-        lengths.add(r["length"])
-        slots[r["slot"]] = True
-    blocks = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (a, w) in enumerate(_blocks(radius))))
-    found = windows(docs, np.flatnonzero(slots), sorted(lengths), k, least)
-    left = found.withColumns({"salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALT)), "at": F.explode(blocks)})
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
-    right = known.withColumn("at", F.explode(blocks)).withColumn("salt", salts).select("item_id", "item", "length", F.col("fp").alias("item_fp"), "at", "salt")
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    # of several blocks that agree, the first counts
-    agree = F.filter(F.array(*(F.when(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("item_fp")), a).bitwiseAND(F.lit((1 << w) - 1)) == 0, F.lit(i)) for i, (a, w) in enumerate(_blocks(radius)))), lambda x: x.isNotNull())
-    pairs = left.join(right, ["length", "at", "salt"]).where((apart <= radius) & (F.col("at.block") == agree[0])).select("doc_id", "item_id", "start", F.col("length").alias("n_words"), "window", "item")
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "decontaminate")
+    _items(items, k).dropDuplicates(["item_id", "item"]).write.parquet(f"{folder}/items")
+    known = spark.read.parquet(f"{folder}/items")
+    lengths = sorted(r["length"] for r in known.select("length").distinct().collect())  # no more than the longest item's words
+    windows(docs, bit_table(known.select(F.explode(F.col("slots").cast("array<long>")).alias("slot")), BITS.bit_length() - 1), lengths, k, least).withColumns({"w": F.xxhash64("window"), "w2": F.xxhash64("window", F.lit(1))}).write.parquet(f"{folder}/windows")
+    found = spark.read.parquet(f"{folder}/windows")
+
+    once = found.groupBy("length", "w", "w2").agg(F.first("fp").alias("fp"), F.first("window").alias("window"))
+    left = once.withColumn("at", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _block(i).alias("value")) for i in range(BLOCKS)))))
+    probes = F.lit(_probes(radius // BLOCKS))
+    blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _block(i).alias("value")) for i in range(BLOCKS)))).alias("b")
+    entered = known.select("item_id", "length", "fp", blocks).select("item_id", "length", F.col("fp").alias("item_fp"), "b", F.explode(probes).alias("probe"))
+    right = entered.select("item_id", "length", "item_fp", F.struct(F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("probe").cast("long")).alias("value")).alias("at"))
+    near = left.join(right, ["length", "at"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    pairs = near.select("length", "w", "w2", "item_id", "window").dropDuplicates(["w", "w2", "item_id"]).join(known.select("item_id", "length", "item"), ["item_id", "length"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             alike = np.array([similarity(w, i, k) for w, i in zip(b.column("window").to_pylist(), b.column("item").to_pylist(), strict=True)], float)
             take = pa.array(np.flatnonzero(alike >= least))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("doc_id", "item_id", "start", "n_words")), pa.array(alike[alike >= least])], ["doc_id", "item_id", "start", "n_words", "similarity"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("length", "w", "w2", "item_id")), pa.array(alike[alike >= least])], ["length", "w", "w2", "item_id", "similarity"])
 
-    sure = pairs.mapInArrow(tidy(verify), "doc_id long, item_id long, start int, n_words int, similarity double")
-    best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "n_words")).alias("best"))
+    sure = pairs.select("length", "w", "w2", "item_id", "window", "item").mapInArrow(tidy(verify), "length int, w long, w2 long, item_id long, similarity double")
+    held = found.select("doc_id", "start", "length", "w", "w2").join(sure, ["length", "w", "w2"])
+    best = held.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), F.col("length").alias("n_words"))).alias("best"))
     return best.select("doc_id", "item_id", (-F.col("best.before")).alias("start"), "best.n_words", "best.similarity")

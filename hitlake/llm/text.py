@@ -188,6 +188,30 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return task
 
 
+def bit_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """The numbers in column ``slot`` (0 to 2^bits - 1) as bits, 2^bits of them whatever the rows; tasks fill it part by part."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}  # no more than the table
+        for b in batches:
+            slot = np.unique(b.column("slot").to_numpy())
+            for some in np.split(slot, np.flatnonzero(np.diff(slot >> 16)) + 1):
+                if len(some):
+                    held.setdefault(int(some[0]) >> 16, np.zeros(1 << 16, bool))[some & 0xFFFF] = True
+        for place, some in held.items():
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "bits": pa.array([np.packbits(some, bitorder="little").tobytes()], pa.binary())})
+
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for r in slots.select("slot").repartition(F.shiftright("slot", 16)).mapInArrow(tidy(fill), "place long, bits binary").toLocalIterator():
+        table[r["place"] << 13 : (r["place"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def in_table(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which of the slots are set in a table of bits."""
+    return (table[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def utf8(text: str = "text") -> Column:
     return F.col(text).cast("binary")
 
