@@ -4,12 +4,16 @@ Every run of ``window`` words is an edge of the graph whose nodes are runs of on
 earlier elsewhere (smaller doc_id, or the same document and an earlier start) is a repeat, and all of its words go.
 
 Only edges that can repeat are shuffled. Each edge is known by its minimizer, the least hash of the shorter runs in
-it, and equal edges have equal minimizers; so a first pass shuffles the sparse minimizers (about one word in six), and
-only edges whose minimizer stands at two places go on, as 128-bit hashes with their source coordinates. Edges whose
-coordinates advance together in the copy and in the first source are a nonbranching path and compact to one span.
-Documents of equal text count once: the first keeps its words, the others lose theirs if they have a window at all.
-
-Null texts are empty. A null doc_id sorts before all others. Rows that repeat doc_id and text are one document and get
+it, and equal edges have equal minimizers; so a first pass counts the sparse minimizers (about one word in six), those
+that stand at two places are set in a table of bits of bounded size (a false hit costs work, never a result), and only
+edges of such minimizers go on, as 128-bit hashes with their source coordinates. The first place of an edge that very
+many texts may share is aggregated before it is shuffled and joined back; the others, of which one has HOT rows at
+most, are ordered. Edges whose coordinates advance together in the copy and in the first source are a nonbranching path
+and compact to one span. Documents of equal text count once: the first keeps its words, the others lose theirs if they
+have a window at all.
+
+An empty table gives no rows; columns other than doc_id and text are ignored by ``dedup`` and kept by ``strip``. Null
+texts are empty. A null doc_id sorts before all others. Rows that repeat doc_id and text are one document and get
 the same result. Other texts of one doc_id are documents of their own, one after another by the hash of the text: each
 has a number, which stands above the 32 bits of its places. Texts shorter than a window lose nothing.
 """
@@ -26,9 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import P2, Seen, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
+from ..lineage import remove, shared_folder
+from .text import P2, Seen, bit_table, gram_hashes, in_table, mixed, slices, tidy, utf8, whole, word_ids
 
 LOWEST = -(1 << 63)
+HOT = 4096  # texts that may share a minimizer whose edges one task orders
+TABLE = (20, 27)  # least and most bits of the number of bits in the table of minimizers
+SALT = 16
+SMALL = 1 << 21  # rows that may be broadcast
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -84,61 +93,86 @@ def minimizers(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("c", "text").mapInArrow(tidy(run), "a long, c long, many boolean")
 
 
-def edges(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, d, start, own) of the edges whose minimizer is in ``marks`` (array of a), of docs (d, nth, text, marks).
+def edges(docs: DataFrame, window: int, table: np.ndarray, often: np.ndarray) -> DataFrame:
+    """(w1, w2, d, start, own, hot) of the edges whose minimizer is in ``table``, of docs (d, nth, text); hot: it is in ``often``.
 
     An edge that its text has before, at ``own``, is a repeat whatever other texts hold: its hash is replaced by one of
     its place, so that a text of one word over and over does not gather in one task.
     """
+    shared = docs.sparkSession.sparkContext.broadcast((table, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, often = shared.value
         for b in batches:
             texts, keys, nth = b.column("text").to_pylist(), b.column("d").to_numpy(), b.column("nth").to_numpy().astype(np.int64) << 32
-            marks = [np.asarray(m, np.int64) for m in b.column("marks").to_pylist()]
             for lo, hi in slices(texts):
                 ids, offsets, _, least, inside = _edges(texts[lo:hi], window)
+                slot = _slot(least.view(np.int64), len(table))
+                at = np.flatnonzero(inside & in_table(table, slot)) if len(inside) else np.empty(0, np.int64)
                 first = gram_hashes(ids, window)
                 second = gram_hashes(mixed(ids ^ P2), window, P2)
-                found = []
-                for k in range(hi - lo):
-                    a, z = int(offsets[k]), min(int(offsets[k + 1]), len(inside))
-                    if a < z:
-                        found.append(a + np.flatnonzero(inside[a:z] & np.isin(least[a:z].view(np.int64), marks[lo + k])))
-                at = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
                 doc = np.searchsorted(offsets, at, "right") - 1
                 w1, w2, start, own = first[at], second[at], at - offsets[doc] + nth[lo + doc], np.full(len(at), -1, np.int64)
-                order = np.lexsort((at, w2, w1, doc))
+                hot = in_table(often, _slot(least[at].view(np.int64), len(often)))
+                order = np.lexsort((at, w1, doc))
                 new = np.ones(len(at), bool)
                 new[1:] = (np.diff(doc[order]) != 0) | (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
                 head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
                 again = order[~new]
                 own[again] = start[order[head[~new]]]
                 w1[again] = mixed(keys[lo + doc[again]].view(np.uint64) * P2 + start[again].astype(np.uint64))
+                hot[again] = False
                 for s in range(0, len(at), 100_000):
                     e = slice(s, s + 100_000)
-                    yield pa.RecordBatch.from_pydict({"w1": pa.array(w1[e].view(np.int64)), "w2": pa.array(w2[e].view(np.int64)), "d": pa.array(keys[lo + doc[e]]), "start": pa.array(start[e]), "own": pa.array(own[e], mask=own[e] < 0)})
+                    yield pa.RecordBatch.from_pydict({"w1": pa.array(w1[e].view(np.int64)), "w2": pa.array(w2[e].view(np.int64)), "d": pa.array(keys[lo + doc[e]]), "start": pa.array(start[e]), "own": pa.array(own[e], mask=own[e] < 0), "hot": pa.array(hot[e])})
+
+    return docs.select("d", "nth", "text").mapInArrow(tidy(run), "w1 long, w2 long, d long, start long, own long, hot boolean")
+
+
+def _slot(a: np.ndarray, size: int) -> np.ndarray:
+    """Place of minimizers in a table of ``size`` bytes."""
+    return a & (8 * size - 1)
+
+
+def _tables(keyed: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The minimizers that stand at two places, and those in more than HOT texts, as tables of bits."""
+    folder = shared_folder(keyed.sparkSession, "minimizers")
+    counted = minimizers(keyed, window).groupBy("a").agg(F.max("many").alias("many"), F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"))
+    counted.where("many OR low < high").select("a", "n").write.parquet(folder)
+    found = keyed.sparkSession.read.parquet(folder)
+    bits = int(np.clip((16 * found.count()).bit_length(), *TABLE))
+    often = found.where(F.col("n") > HOT)
+    slot = lambda b: F.col("a").bitwiseAND(F.lit((1 << b) - 1).cast("long")).alias("slot")
+    tables = bit_table(found.select(slot(bits)), bits), bit_table(often.select(slot(TABLE[0])), TABLE[0])
+    remove(keyed.sparkSession, folder)
+    return tables
+
 
-    return docs.select("d", "nth", "text", "marks").mapInArrow(tidy(run), "w1 long, w2 long, d long, start long, own long")
+def _joined(rows: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """rows joined with few by (d, c); few is broadcast if it has SMALL rows at most."""
+    return rows.join(F.broadcast(few) if few.count() <= SMALL else few.hint("merge"), ["d", "c"], how)
 
 
 def _paths(keyed: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts that are whole copies (d, c), the others that can hold spans (d, c, nth), and repeated spans (d, nth, start, end, source_d, source_start), end excluded."""
     owners = keyed.where(F.octet_length("text") > 0).select("d", "c", F.xxhash64("text", F.lit(1)).alias("c2"))
-    firsts = owners.groupBy("c", "c2").agg(F.min("d").alias("first"))
-    copies = owners.join(firsts, ["c", "c2"]).where("d > first").select("d", "c").distinct()
+    firsts = owners.groupBy("c", "c2").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    several = firsts.where("first < last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    copies = owners.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALT).cast("long")).cast("int")).join(several, ["c", "c2", "salt"]).where("d > first").select("d", "c").distinct()
     of_doc = Window.partitionBy("d").orderBy("c")
     numbered = firsts.select(F.col("first").alias("d"), "c").distinct().withColumn("nth", F.row_number().over(of_doc) - 1)
 
-    everywhere = Window.partitionBy("a")
-    twice = F.max("many").over(everywhere) | (F.min("c").over(everywhere) < F.max("c").over(everywhere))
-    marked = minimizers(keyed, window).withColumn("twice", twice).where("twice")
-    marks = marked.groupBy("c").agg(F.collect_set("a").alias("marks"))  # of one text: no more than its words
-    chosen = numbered.join(marks, "c")
-    found = edges(keyed.join(chosen.hint("merge"), ["d", "c"]), window)
+    table, often = _tables(keyed, window)
+    single = _joined(_joined(keyed.where(F.octet_length("text") > 0), copies, "left_anti"), numbered.where("nth > 0"), "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
+    found = edges(single, window, table, often)
 
     same = Window.partitionBy("w1", "w2").orderBy("d", "start")
-    source = F.when(F.col("own").isNotNull(), F.struct("d", F.col("own").alias("start"))).otherwise(F.first(F.struct("d", "start")).over(same))
-    repeats = found.withColumns({"place": F.rank().over(same), "source": source}).where("place > 1 OR own IS NOT NULL").select("d", "start", F.col("source.d").alias("source_d"), (F.col("start") - F.col("source.start")).alias("ahead"))
+    here, own = F.struct("d", "start"), F.struct("d", F.col("own").alias("start"))
+    few = found.where("NOT hot").withColumn("first", F.first(here).over(same))
+    hot = found.where("hot")
+    hot = hot.join(hot.groupBy("w1", "w2").agg(F.min(here).alias("first")), ["w1", "w2"]).select(*few.columns)
+    sourced = few.unionByName(hot).withColumn("source", F.when(F.col("own").isNotNull(), own).otherwise(F.col("first")))
+    repeats = sourced.where((here != F.col("first")) | F.col("own").isNotNull()).select("d", "start", F.col("source.d").alias("source_d"), (F.col("start") - F.col("source.start")).alias("ahead"))
     by_doc = repeats.repartition("d")
     along = Window.partitionBy("d", "source_d", "ahead").orderBy("start")
     stepped = by_doc.withColumn("path", F.col("start") - F.dense_rank().over(along))  # rows that repeat a text have its edges again
