@@ -80,7 +80,33 @@ in_time AS (SELECT sh.*, FALSE AS x FROM sh JOIN trg ON trg.capture_id = sh.capt
   WHERE len(list_filter(triggers, lambda t: {wrap("sh.ph - t")} BETWEEN dt_min AND dt_max)) > 0)"""
 
 
-def oracle(select: str, data_format: str = "SRS", corrupt: bool = False, extra: str = "") -> str:
-    """A whole statement: all tables above, ``extra`` ones and the query's own SELECT."""
-    parts = [ctes("events", data_format, corrupt), FIELDS, MARKS[data_format], HITS, DIMENSIONS, groups()]
+def spectra(window: float = 1000) -> str:
+    """dth, dtm (histograms of pairs and mixed pairs) and spec (every bin with raw and scaled mixed contents)."""
+    hist = f"SELECT capture_id, station, CAST(least(floor((dt + {window}::DOUBLE) * 200 / {2 * window}::DOUBLE), 199) AS BIGINT) AS bin FROM {{}} WHERE dt BETWEEN -{window} AND {window}"
+    counted = ", ".join(f"{name} AS (SELECT capture_id, station, bin, count(*) AS n FROM ({hist.format(source)}) x GROUP BY ALL)" for name, source in (("dth", "pairs"), ("dtm", "mixed")))
+    return f"""{counted},
+spec0 AS (SELECT g.capture_id, g.station, b.range AS bin, coalesce(dth.n, 0)::DOUBLE AS raw, coalesce(dtm.n, 0)::DOUBLE AS m FROM (SELECT DISTINCT capture_id, station FROM groups) g CROSS JOIN range(200) b LEFT JOIN dth ON dth.capture_id = g.capture_id AND dth.station = g.station AND dth.bin = b.range LEFT JOIN dtm ON dtm.capture_id = g.capture_id AND dtm.station = g.station AND dtm.bin = b.range),
+spec AS (SELECT capture_id, station, bin, raw, m * coalesce(sum(raw) FILTER (bin < 50 OR bin >= 150) OVER w / nullif(sum(m) FILTER (bin < 50 OR bin >= 150) OVER w, 0), 1) AS mixed FROM spec0 WINDOW w AS (PARTITION BY capture_id, station))"""
+
+
+def fits(window: float = 1000) -> str:
+    """fit: the peak of each capture and station, its windows, contrast and second peak, from spec."""
+    step, w = f"{window / 100}::DOUBLE", "WINDOW w AS (PARTITION BY capture_id, station)"
+    x = lambda b: f"(({b} + 0.5::DOUBLE) * {step} - {window}::DOUBLE)"
+    return f"""
+p0 AS (SELECT *, raw - mixed AS hist, {x("bin")} AS x FROM spec),
+p1 AS (SELECT *, max(hist) OVER w AS highest, first_value(bin) OVER (PARTITION BY capture_id, station ORDER BY hist DESC, bin) AS top, median(hist) OVER w AS mid FROM p0 {w}),
+p2 AS (SELECT *, coalesce(max(bin) FILTER (bin < top AND NOT hist > highest / 2) OVER w, -1) AS a, coalesce(min(bin) FILTER (bin > top AND NOT hist > highest / 2) OVER w, 200) AS b FROM p1 {w}),
+p3 AS (SELECT *, CASE WHEN abs(x - {x("top")}) <= 3 * greatest((b - a - 2) * {step}, {step}) / 2.3548::DOUBLE THEN greatest(hist, 0) ELSE 0 END AS wt FROM p2),
+p4 AS (SELECT *, sum(wt * x) OVER w / nullif(sum(wt) OVER w, 0) AS mu FROM p3 {w}),
+p5 AS (SELECT *, greatest(sqrt(sum(wt * (x - mu) * (x - mu)) OVER w / nullif(sum(wt) OVER w, 0)), {step} / 2) AS sigma FROM p4 {w}),
+p6 AS (SELECT capture_id, station, any_value(highest) AS highest, any_value(mid) AS mid, any_value(mu) AS mu, any_value(sigma) AS sigma, min_by(raw, (abs(x - mu), bin)) AS raw_at, min_by(mixed, (abs(x - mu), bin)) AS mixed_at,
+  max_by(x, (hist, -bin)) FILTER (abs(x - mu) > 5 * sigma) AS x2, max(hist) FILTER (abs(x - mu) > 5 * sigma) AS h2 FROM p5 GROUP BY ALL),
+fit AS (SELECT capture_id, station, highest - mid AS amplitude, mu, sigma, greatest(mid, 0) AS bg, CASE WHEN mixed_at > 0 THEN raw_at / mixed_at ELSE 'infinity'::DOUBLE END AS contrast, CASE WHEN h2 >= 0.05::DOUBLE * highest THEN x2 END AS secondary_dt_ns, CASE WHEN h2 >= 0.05::DOUBLE * highest THEN h2 / highest END AS secondary_frac,
+  mu - 3 * sigma AS dt_min, mu + 3 * sigma AS dt_max, CASE WHEN mu + 10 * sigma <= {window} THEN mu + 4 * sigma ELSE mu - 10 * sigma END AS sb_min, CASE WHEN mu + 10 * sigma <= {window} THEN mu + 10 * sigma ELSE mu - 4 * sigma END AS sb_max FROM p6 WHERE highest > 0)"""
+
+
+def oracle(select: str, data_format: str = "SRS", corrupt: bool = False, extra: str = "", source: str = "hits") -> str:
+    """A whole statement: all tables above (groups of the hits of ``source``), ``extra`` ones and the query's own SELECT."""
+    parts = [ctes("events", data_format, corrupt), FIELDS, MARKS[data_format], HITS, DIMENSIONS, groups(source)]
     return "WITH " + ",".join(p.strip() for p in parts) + (f",\n{extra}" if extra else "") + "\n" + select

@@ -16,7 +16,7 @@ from ..operators import words as ow
 from ..schema import HIT_COLUMNS, KEY, STATION_VMMS, STRATEGIES
 from ..sources import capture, sinks
 from . import inputs
-from .oracles import oracle, pmod, wrap
+from .oracles import fits, oracle, pmod, spectra, wrap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -273,7 +273,11 @@ def j6_mixed_pairs(spark, sf_dir):
     return coincidence.group_dt(_groups(spark, sf_dir), mixed=True)
 
 
-TRIG = f"tg AS (SELECT g.capture_id, g.station, g.srs_timestamp, unnest(triggers) AS t, phases, dt_min, dt_max, sb_min, sb_max FROM groups g JOIN win ON win.station = g.station), cnt AS (SELECT capture_id, station, count(DISTINCT srs_timestamp) AS n_marker_intervals, count(*) AS n_triggers, count(*) FILTER (len(list_filter(phases, lambda p: {wrap('p - t')} BETWEEN dt_min AND dt_max)) > 0) AS n_signal, count(*) FILTER (len(list_filter(phases, lambda p: {wrap('p - t')} BETWEEN sb_min AND sb_max)) > 0) AS n_sideband FROM tg GROUP BY ALL)"
+def _trig(windows: str = "win ON win.station = g.station") -> str:
+    return f"tg AS (SELECT g.capture_id, g.station, g.srs_timestamp, unnest(triggers) AS t, phases, dt_min, dt_max, sb_min, sb_max FROM groups g JOIN {windows}), cnt AS (SELECT capture_id, station, count(DISTINCT srs_timestamp) AS n_marker_intervals, count(*) AS n_triggers, count(*) FILTER (len(list_filter(phases, lambda p: {wrap('p - t')} BETWEEN dt_min AND dt_max)) > 0) AS n_signal, count(*) FILTER (len(list_filter(phases, lambda p: {wrap('p - t')} BETWEEN sb_min AND sb_max)) > 0) AS n_sideband FROM tg GROUP BY ALL)"
+
+
+TRIG = _trig()
 
 
 @query(oracle("SELECT * FROM cnt", extra=TRIG))
@@ -439,31 +443,33 @@ def a16_marker_cadence(spark, sf_dir):
     return r.select("capture_id", F.round("marker_gap_ns_p50", 6).alias("p50"), F.round("marker_gap_ns_p99", 6).alias("p99"))
 
 
-DTH = "dth AS (SELECT capture_id, station, bin, count(*) AS n FROM (SELECT capture_id, station, CAST(least(floor((dt + 1000::DOUBLE) * 200 / 2000::DOUBLE), 199) AS BIGINT) AS bin FROM pairs WHERE dt BETWEEN -1000 AND 1000) x GROUP BY ALL), dtm AS (SELECT capture_id, station, bin, count(*) AS n FROM (SELECT capture_id, station, CAST(least(floor((dt + 1000::DOUBLE) * 200 / 2000::DOUBLE), 199) AS BIGINT) AS bin FROM mixed WHERE dt BETWEEN -1000 AND 1000) x GROUP BY ALL)"
-
-
-@query(oracle("SELECT * FROM dth", extra=DTH))
+@query(oracle("SELECT * FROM dth", extra=spectra()))
 def a17_dt_histogram(spark, sf_dir):
     return coincidence.dt_histogram(coincidence.group_dt(_groups(spark, sf_dir)), 1000.0)
 
 
-SPEC = """spec0 AS (SELECT g.capture_id, g.station, b.range AS bin, coalesce(dth.n, 0)::DOUBLE AS raw, coalesce(dtm.n, 0)::DOUBLE AS m FROM (SELECT DISTINCT capture_id, station FROM groups) g CROSS JOIN range(200) b LEFT JOIN dth ON dth.capture_id = g.capture_id AND dth.station = g.station AND dth.bin = b.range LEFT JOIN dtm ON dtm.capture_id = g.capture_id AND dtm.station = g.station AND dtm.bin = b.range),
-spec AS (SELECT capture_id, station, bin, raw, m * coalesce(sum(raw) FILTER (bin < 50 OR bin >= 150) OVER w / nullif(sum(m) FILTER (bin < 50 OR bin >= 150) OVER w, 0), 1) AS mixed FROM spec0 WINDOW w AS (PARTITION BY capture_id, station))"""
-
-
-@query(oracle("SELECT capture_id, station, bin, raw, round(mixed, 6) AS mixed, round(raw - mixed, 6) AS hist FROM spec", extra=f"{DTH}, {SPEC}"))
+@query(oracle("SELECT capture_id, station, bin, raw, round(mixed, 6) AS mixed, round(raw - mixed, 6) AS hist FROM spec", extra=spectra()))
 def a18_mixed_subtraction(spark, sf_dir):
     groups = _groups(spark, sf_dir)
     r = coincidence.dt_spectra(coincidence.group_dt(groups), coincidence.group_dt(groups, mixed=True), 1000.0)
     return r.select("capture_id", "station", "bin", "raw", F.round("mixed", 6).alias("mixed"), F.round("hist", 6).alias("hist"))
 
 
-@query()
+FIT_COLUMNS = ["amplitude", "mu", "sigma", "bg", "contrast", "secondary_dt_ns", "secondary_frac", "dt_min", "dt_max", "sb_min", "sb_max"]
+
+
+def _rounded(columns: list[str]) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+
+
+@query(oracle(f"SELECT capture_id, station, TRUE AS success, {_rounded(FIT_COLUMNS)} FROM fit", extra=f"{spectra()}, {fits()}"))
 def a19_fit_dt_peak(spark, sf_dir):
-    return coincidence.station_fits(_hits(spark, sf_dir), geometry.cabling(spark))
+    r = coincidence.station_fits(_hits(spark, sf_dir), geometry.cabling(spark))
+    return r.select("capture_id", "station", "success", *(F.round(c, 6).alias(c) for c in FIT_COLUMNS))
 
 
-EFF = """eff0 AS (SELECT cnt.*, n_signal / n_triggers AS raw_efficiency, n_sideband / n_triggers * ((dt_max - dt_min) / (sb_max - sb_min)) AS accidental_efficiency, 0.9944578832097535::DOUBLE AS z FROM cnt JOIN win ON win.station = cnt.station),
+EFF0 = "eff0 AS (SELECT cnt.*, n_signal / n_triggers AS raw_efficiency, n_sideband / n_triggers * ((dt_max - dt_min) / (sb_max - sb_min)) AS accidental_efficiency, 0.9944578832097535::DOUBLE AS z FROM cnt JOIN {})"
+EFF = EFF0.format("win ON win.station = cnt.station") + """,
 eff AS (SELECT *, (raw_efficiency + z * z / n_triggers / 2) / (1 + z * z / n_triggers) AS centre, z * sqrt(raw_efficiency * (1 - raw_efficiency) / n_triggers + z * z / n_triggers / (4 * n_triggers)) / (1 + z * z / n_triggers) AS half FROM eff0)"""
 
 
@@ -482,10 +488,29 @@ def a24_wilson_interval(spark, sf_dir):
     return ci.select("l_suppkey", "k", "n", F.round("ci.lo", 9).alias("lo"), F.round("ci.hi", 9).alias("hi"))
 
 
-@query()
+ANALYSED = [c for c in FIT_COLUMNS if c not in ("mu", "sigma")] + ["mu_ns", "sigma_ns", "efficiency", "efficiency_corrected", "efficiency_lo", "efficiency_hi", "raw_efficiency", "accidental_efficiency"]
+
+
+def _analysis_sql(window: float) -> str:
+    """The tables up to ``analysed``: fit, counts, efficiency and masked hits of each capture and station."""
+    of_fit = "fit ON fit.capture_id = {0}.capture_id AND fit.station = {0}.station"
+    return f"""{spectra(window)}, {fits(window)}, {_trig(of_fit.format("g"))}, {EFF0.format(of_fit.format("cnt"))}, {EFF.partition("),")[2].strip()},
+lost AS (SELECT capture_id, count(*) AS n FROM hits h WHERE EXISTS (SELECT 1 FROM mask m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)) GROUP BY 1),
+analysed AS (SELECT eff.* EXCLUDE (z, centre, half), fit.* EXCLUDE (capture_id, station, mu, sigma), mu AS mu_ns, sigma AS sigma_ns, z_mm, coalesce(lost.n, 0) AS n_masked_hits, raw_efficiency - accidental_efficiency AS efficiency, (raw_efficiency - accidental_efficiency) / (1 - accidental_efficiency) AS efficiency_corrected, greatest(0, greatest(0, centre - half) - accidental_efficiency) AS efficiency_lo, least(1, least(1, centre + half) - accidental_efficiency) AS efficiency_hi
+ FROM eff JOIN {of_fit.format("eff")} JOIN (SELECT DISTINCT station AS st, z_mm FROM cabling) z ON st = eff.station LEFT JOIN lost ON lost.capture_id = eff.capture_id)"""
+
+
+@query(oracle(f"SELECT capture_id, station, z_mm, n_marker_intervals, n_triggers, n_signal, n_sideband, n_masked_hits, {_rounded(ANALYSED)} FROM analysed", extra=_analysis_sql(2000), source="masked"))
 def a25_analyse(spark, sf_dir):
     hits = _hits(spark, sf_dir)
-    return coincidence.analyse(hits, geometry.cabling(spark), _mask(spark, hits))
+    r = coincidence.analyse(hits, geometry.cabling(spark), _mask(spark, hits))
+    return r.select("capture_id", "station", "z_mm", "n_marker_intervals", "n_triggers", "n_signal", "n_sideband", "n_masked_hits", *(F.round(c, 6).alias(c) for c in ANALYSED))
+
+
+@query(oracle(f"SELECT capture_id, station, z_mm, n_triggers, n_signal, n_sideband, {_rounded(ANALYSED)} FROM analysed", extra=_analysis_sql(1000)))
+def a25_analyse_unmasked(spark, sf_dir):
+    r = entry(spark, sf_dir)
+    return r.select("capture_id", "station", "z_mm", "n_triggers", "n_signal", "n_sideband", *(F.round(c, 6).alias(c) for c in ANALYSED))
 
 
 @query(oracle("SELECT station, CASE WHEN count(*) >= 100 THEN round(sqrt(var_pop(pad_cx) + var_pop(pad_cy)), 6) END AS spread, count(*) AS hits FROM hits h JOIN pads p ON p.vmm = h.vmm AND p.ch = h.ch WHERE mapped GROUP BY station"))

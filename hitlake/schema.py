@@ -38,7 +38,6 @@ OVERRIDES = {("P2_IN", 5, "top"): "linear", ("P2_IN", 6, "top"): "linear"}
 SUPPLIES = [("P2_IN", "drift", "8", "0"), ("P2_IN", "mesh", "8", "1"), ("P2_MID", "drift", "8", "2"), ("P2_MID", "mesh", "8", "3"), ("P2_OUT", "drift", "8", "4"), ("P2_OUT", "mesh", "8", "5")]
 
 DEAD_NS = 1500.0
-MAX_PAIRS = 8_000_000
 Z_68 = 0.9944578832097535
 
 PACKETS = "capture_id string, pkt_no long, src_ip string, dst_ip string, payload binary"
