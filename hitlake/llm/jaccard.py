@@ -51,7 +51,7 @@ WEIGHT = 4096  # shingles that count as one more document
 PIVOTS = 32
 PART = 1024  # documents measured together
 LEVELS = 16
-SMALL = 1 << 21  # keys that may be broadcast
+SMALL = 1 << 18  # places of texts in neighbourhoods that may be broadcast
 
 
 @dataclass(frozen=True)
@@ -270,7 +270,9 @@ def _shared_counts(own: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
 
 def _chosen(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """c, text and the other columns of wanted (c, d, times): one row for each, though rows may repeat a document."""
-    rows = keyed.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted.hint("merge"), ["c", "d"])
+    size = F.sum(F.size("ps")) if "ps" in wanted.columns else F.count("*")
+    few = (wanted.agg(size).first()[0] or 0) <= SMALL
+    rows = keyed.join(F.broadcast(wanted) if few else wanted.hint("merge"), ["c", "d"])
     names = ["c", "text", *(x for x in wanted.columns if x not in ("c", "d", "times"))]
     if not wanted.where("times > 1").limit(1).count():
         return rows.select(*names)

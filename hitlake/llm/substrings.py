@@ -37,7 +37,7 @@ LOWEST = -(1 << 63)
 HOT = 4096  # texts that may share a minimizer whose edges one task orders
 TABLE = (20, 27)  # least and most bits of the number of bits in the table of minimizers
 SALT = 16
-SMALL = 1 << 21  # rows that may be broadcast
+SMALL = 1 << 20  # rows of three numbers that may be broadcast
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
