@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitlake.lineage import shared_folder
 from hitlake.llm import decontaminate, jaccard, language, packing, substrings
 from hitlake.llm.text import table
-from hitlake.llm.warc import shared_folder
 from hitlake.shipping import ship
 
 LEAST_SCORE = 0.05
