@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_folder
 from . import decontaminate, html, jaccard, language, matroska, packing, substrings, toolcalls, toxicity, warc
 from .oracles import ORACLES as ORACLES
 from .text import held_out, table
@@ -32,8 +33,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.shared_folder(spark, "warc")
-    warc.write(table(spark, sf_dir, "pages"), folder)
+    folder, pages = shared_folder(spark, "warc"), table(spark, sf_dir, "pages")
+    written, there = warc.write(pages, folder), pages.count()
+    if written != there:
+        raise RuntimeError(f"{written} records of {there} pages")
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -7,7 +7,11 @@ zlib decompresses each member incrementally, Content-Length frames the block, an
 verified; a broken member, frame or digest raises. A revisit holds the HTTP header alone, whose Content-Length and
 the WARC-Payload-Digest describe the full payload.
 
-Null html is an empty payload; a null page_id or url is kept as null (null ids never revisit).
+Each attempt of a task writes to a folder of its own and returns the names of its files; Spark commits these names as a
+table (``files``), so that a task that runs twice, or whose executor is lost, leaves no record doubled or missing.
+
+Null html is an empty payload; a null page_id or url is kept as null (null ids never revisit). An empty table gives no
+files and no records; columns other than the three are ignored. A payload is in a task's memory whole.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ LEAST = 1000
 ROLL_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
+MOST_TASKS = 10_000
 END = b"\r\n\r\n"
 
 
@@ -37,16 +41,6 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name under spark.checkpoint.dir; under a temporary folder only where that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _b32(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
@@ -84,38 +78,34 @@ def with_references(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> int:
-    """Archive files of all pages in ``folder``; the number of records. A file gets its name when it is complete."""
+    """Archive files of all pages in ``folder``; the number of records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
         store, path = _filesystem(folder)
-        store.create_dir(path, recursive=True)
-        out, size, made, files = None, 0, 0, 0
-
-        def done() -> None:
-            nonlocal out, size, files
-            if out:
-                out.close()
-                store.move(partial, f"{path}/part-{task.partitionId():05d}-{files:04d}.warc.gz")
-                out, size, files = None, 0, files + 1
-
+        own = f"attempt-{uuid.uuid4().hex}"
+        out, size, names, counts = None, 0, [], []
         for b in batches:
             for page_id, url, html, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
-                    partial = f"{path}/.{task.taskAttemptId()}-{files}"
-                    out = store.open_output_stream(partial, compression=None)
+                    store.create_dir(f"{path}/{own}", recursive=True)
+                    names.append(f"{own}/part-{len(names):05d}.warc.gz")
+                    counts.append(0)
+                    out, size = store.open_output_stream(f"{path}/{names[-1]}", compression=None), 0
                 deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
                 member = deflate.compress(record(page_id, url, html or b"", refers_to)) + deflate.flush()
                 out.write(member)
                 size += len(member)
-                made += 1
+                counts[-1] += 1
                 if size >= ROLL_BYTES:
-                    done()
-        done()
-        yield pa.RecordBatch.from_pydict({"records": pa.array([made], pa.int64())})
+                    out.close()
+                    out = None
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string()), "records": pa.array(counts, pa.int64())})
 
     rows = with_references(pages, least).select("page_id", "url", F.col("html").cast("binary").alias("html"), "refers_to")
-    return rows.mapInArrow(run, "records long").agg(F.sum("records")).first()[0] or 0
+    rows.mapInArrow(run, "file string, records long").write.parquet(f"{folder}/files")
+    return pages.sparkSession.read.parquet(f"{folder}/files").agg(F.sum("records")).first()[0] or 0
 
 
 def members(stream) -> Iterator[bytes]:
@@ -168,15 +158,15 @@ SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_
 
 
 def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """One row per record of the ``.warc.gz`` files under folder; payload (binary) on demand, null for revisits."""
+    """One row per record of the archives that ``write`` has committed in folder; payload (binary) on demand, null for revisits."""
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = SCHEMA + ", payload binary" * payloads
     out = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri in b.column("path").to_pylist():
-                store, path = _filesystem(uri)
+            for name in b.column("file").to_pylist():
+                store, path = _filesystem(f"{folder}/{name}")
                 rows: list[dict] = []
                 held = 0
                 with store.open_input_stream(path, compression=None) as stream:
@@ -189,5 +179,5 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
-    return files.mapInArrow(run, schema)
+    files = spark.read.parquet(f"{folder}/files").select("file")
+    return files.repartition(min(MOST_TASKS, max(1, files.count())), "file").mapInArrow(run, schema)
