@@ -145,7 +145,7 @@ def find(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0.8, radi
     blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _block(i).alias("value")) for i in range(BLOCKS)))).alias("b")
     entered = known.select("item_id", "length", "fp", blocks).select("item_id", "length", F.col("fp").alias("item_fp"), "b", F.explode(probes).alias("probe"))
     right = entered.select("item_id", "length", "item_fp", F.struct(F.col("b.block").alias("block"), F.col("b.value").bitwiseXOR(F.col("probe").cast("long")).alias("value")).alias("at"))
-    near = left.join(right, ["length", "at"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = left.join(right.hint("merge"), ["length", "at"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     pairs = near.select("length", "w", "w2", "item_id", "window").dropDuplicates(["w", "w2", "item_id"]).join(known.select("item_id", "length", "item"), ["item_id", "length"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
