@@ -40,11 +40,6 @@ def offset_bits(offset: Column) -> Column:
 
 
 CHANNELS = 640
-BUCKETS = 10_000
-# Fixed values of the 32-bit mixing hash.
-MIX = 0x45D9F3B
-BUCKET_SEED = 2654435761
-LOW32 = 0xFFFFFFFF
 
 
 def pack_triplet(c1: Column, c2: Column, c3: Column) -> Column:
@@ -55,17 +50,3 @@ def pack_triplet(c1: Column, c2: Column, c3: Column) -> Column:
 def unpack_triplet(key: Column) -> Column:
     """struct(c1, c2, c3) of a key."""
     return F.struct((key % CHANNELS).alias("c1"), (F.floor(key / CHANNELS) % CHANNELS).alias("c2"), F.floor(key / (CHANNELS * CHANNELS)).alias("c3"))
-
-
-def mix32(x: Column) -> Column:
-    """32-bit integer hash."""
-    low = F.lit(LOW32).cast("long")
-    x = x.cast("long").bitwiseAND(low)
-    for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX).cast("long")).bitwiseAND(low)
-    return F.shiftright(x, 16).bitwiseXOR(x).bitwiseAND(low)
-
-
-def bucket(key: Column, buckets: int = BUCKETS) -> Column:
-    """Bucket of a triplet key."""
-    return mix32(key.bitwiseXOR(F.lit(BUCKET_SEED).cast("long"))) % buckets

@@ -33,7 +33,7 @@ def build_counts(hits: DataFrame) -> DataFrame:
         entry("adc_vs_ch", F.col("ch"), bits(F.col("adc").cast("long"), 3, 127)),
         entry("time_profile", F.least(F.greatest(slot, F.lit(0)), F.lit(TIME_BINS - 1))),
     )
-    # per (channel fields) first, so that the explode sees distinct rows only once per partial aggregate
+    # the partial aggregate after the explode holds at most the bins of a task's captures
     return rows.select("capture_id", "vmm", F.explode(entries).alias("e")).groupBy("capture_id", "e.hist", "vmm", "e.bin", "e.bin2").agg(F.count("*").alias("n"))
 
 

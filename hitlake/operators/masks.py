@@ -21,16 +21,17 @@ def occupancy(hits: DataFrame) -> DataFrame:
     return cut_lineage(hits.groupBy("vmm", "ch").agg(F.count("*").alias("n")))
 
 
-def auto_hot_channels(hits: DataFrame, ratio: float = 8.0, min_hits: int = 200) -> DataFrame:
-    """Channels over ratio times the median of their chip's channels with hits; chips under min_hits are left out."""
-    counts = occupancy(hits)
+def auto_hot_channels(hits: DataFrame, ratio: float = 8.0, min_hits: int = 200, counts: DataFrame | None = None) -> DataFrame:
+    """Channels over ratio times the median of their chip's channels with hits; chips under min_hits are left out. counts: occupancy(hits), if it is at hand."""
+    counts = occupancy(hits) if counts is None else counts
     chips = counts.groupBy("vmm").agg(F.sum("n").alias("total"), F.median("n").alias("med"))
     return counts.join(F.broadcast(chips), "vmm").where((F.col("total") >= min_hits) & (F.col("n") > ratio * F.col("med"))).select("vmm", "ch")
 
 
-def auto_hot_pads(hits: DataFrame, pads: DataFrame, ratio: float = 6.0, min_hits: int = 50) -> DataFrame:
+def auto_hot_pads(hits: DataFrame, pads: DataFrame, ratio: float = 6.0, min_hits: int = 50, counts: DataFrame | None = None) -> DataFrame:
     """Pads over ratio times the median of their six nearest pads, which counts as 1 at least; stations with under 20 pads or no hits are left out."""
-    lit = pads.where("mapped").select("station", "vmm", "ch").join(occupancy(hits), ["vmm", "ch"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = occupancy(hits) if counts is None else counts
+    lit = pads.where("mapped").select("station", "vmm", "ch").join(counts, ["vmm", "ch"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     used = lit.groupBy("station").agg(F.count("*").alias("pads"), F.sum("n").alias("hits")).where("pads >= 20 AND hits > 0").select("station")
     near = neighbours(pads).join(lit.select(F.col("vmm").alias("n_vmm"), F.col("ch").alias("n_ch"), F.col("n").alias("near")), ["n_vmm", "n_ch"]).groupBy("vmm", "ch").agg(F.median("near").alias("med"))
     hot = lit.join(used, "station", "left_semi").join(near, ["vmm", "ch"])
@@ -42,6 +43,13 @@ def merge_masks(*masks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [m.select(F.col("vmm").cast("int"), F.col("ch").cast("int")) for m in masks]).distinct()
 
 
+def auto_mask(hits: DataFrame, pads: DataFrame | None = None) -> DataFrame:
+    """Noisy and hot channels, and hot pads if pads are given, from one count of the hits."""
+    counts = occupancy(hits)
+    found = [noisy_channels(hits.sparkSession), auto_hot_channels(hits, counts=counts)]
+    return merge_masks(*found, *([] if pads is None else [auto_hot_pads(hits, pads, counts=counts)]))
+
+
 def effective(mask: DataFrame, trigger: tuple[int, int] = TRIGGER) -> DataFrame:
     """The mask without the trigger channel, which is never masked."""
     return mask.where(~((F.col("vmm") == trigger[0]) & (F.col("ch") == trigger[1])))

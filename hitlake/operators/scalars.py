@@ -33,8 +33,12 @@ def ot_fraction(hits: DataFrame) -> DataFrame:
 
 def station_scalars(hits: DataFrame, cabling: DataFrame) -> DataFrame:
     """capture_id, station, n_hits, adc_p50, adc_p90 (linear interpolation) of all hits, masked or not."""
-    rows = hits.join(F.broadcast(cabling.select("vmm", "station")), "vmm")
-    counts = rows.groupBy("capture_id", "station", "adc").agg(F.count("*").alias("n"))  # at most 1024 rows a station
+    return _stations(hits.groupBy("capture_id", "vmm", "adc").agg(F.count("*").alias("n")), cabling)
+
+
+def _stations(adc: DataFrame, cabling: DataFrame) -> DataFrame:
+    """station_scalars of the counts of adc by chip."""
+    counts = adc.join(F.broadcast(cabling.select("vmm", "station")), "vmm").groupBy("capture_id", "station", "adc").agg(F.sum("n").alias("n"))
     p = F.percentile("adc", F.array(F.lit(0.5), F.lit(0.9)), F.col("n"))
     return counts.groupBy("capture_id", "station").agg(F.sum("n").alias("n_hits"), p.alias("p")).select("capture_id", "station", "n_hits", F.col("p")[0].alias("adc_p50"), F.col("p")[1].alias("adc_p90"))
 
@@ -53,7 +57,8 @@ def build_scalars(hits: DataFrame, counts: DataFrame, meta: DataFrame, cabling:
     unknown = per_chip.join(F.broadcast(cabling.select("vmm")), "vmm", "left_anti")
     ot = counts.where("hist = 'ot'").groupBy("capture_id").agg((F.sum(F.when(F.col("bin") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("ot_fraction"))
     span = hits.groupBy("capture_id").agg(F.min("time").alias("frame_first"), F.max("time").alias("frame_last"))
-    stations = station_scalars(hits, cabling).groupBy("capture_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("station", F.struct("n_hits", "adc_p50", "adc_p90"))))).alias("per_station"))
+    adc = counts.where("hist = 'adc'").select("capture_id", "vmm", F.col("bin").alias("adc"), "n")
+    stations = _stations(adc, cabling).groupBy("capture_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("station", F.struct("n_hits", "adc_p50", "adc_p90"))))).alias("per_station"))
     parts = [span, ot, _by_chip(per_chip, "n", "hits_per_vmm"), _by_chip(live, "live", "live_channels_per_vmm")]
     parts += [_by_chip(pct_from_counts(counts, "adc", q), "pct", f"adc_p{round(100 * q)}_per_vmm") for q in (0.5, 0.9)]
     parts += [_by_chip(unknown, "n", "unknown_vmm_hits"), stations]
@@ -91,13 +96,13 @@ def events_summary(hits: DataFrame, meta: DataFrame, analysis: DataFrame | None
     chips = _by_chip(hits.groupBy("capture_id", "vmm").agg(F.count("*").alias("n")), "n", "hits_per_vmm")
     out = meta.select("capture_id", "n_packets", "n_vm3_packets", "n_hits").join(base, "capture_id", "left").join(chips, "capture_id", "left")
     if analysis is not None:
-        out = out.join(_by_station(analysis, EFFICIENCY_FIELDS, "efficiency"), "capture_id", "left").join(analysis.groupBy("capture_id").agg(F.max("n_triggers").alias("n_triggers_dedup")), "capture_id", "left")
+        out = out.join(by_station(analysis, EFFICIENCY_FIELDS, "efficiency"), "capture_id", "left").join(analysis.groupBy("capture_id").agg(F.max("n_triggers").alias("n_triggers_dedup")), "capture_id", "left")
     if profiles is not None:
         fields = [c for c in profiles.columns if c not in ("capture_id", "station")]
-        out = out.join(_by_station(profiles, fields, "beam_profile"), "capture_id", "left")
+        out = out.join(by_station(profiles, fields, "beam_profile"), "capture_id", "left")
     return out
 
 
-def _by_station(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
+def by_station(rows: DataFrame, fields: list[str], name: str) -> DataFrame:
     entry: Column = F.struct("station", F.struct(*fields))
     return rows.groupBy("capture_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))

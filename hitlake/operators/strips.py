@@ -41,9 +41,13 @@ def strip_counts(hits: DataFrame, vmms: tuple[int, ...], by: tuple[str, ...] = (
 
 def batched(hits: DataFrame, size: int = 10_000) -> DataFrame:
     """Hits with batch: runs of ``size`` hits of a capture in file order; what is left at its end goes."""
-    order = Window.partitionBy("capture_id").orderBy("pkt_no", "word_no")
-    rows = hits.withColumns({"k": F.row_number().over(order) - 1, "total": F.count("*").over(Window.partitionBy("capture_id"))})
-    return rows.withColumn("batch", F.floor(F.col("k") / size)).where(F.col("batch") < F.floor(F.col("total") / size)).drop("k", "total")
+    packets = hits.groupBy("capture_id", "pkt_no").agg(F.count("*").alias("n"))  # a capture's window holds packets, not hits
+    w = Window.partitionBy("capture_id")
+    earlier = F.coalesce(F.sum("n").over(w.orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = packets.select("capture_id", "pkt_no", earlier.alias("earlier"), F.sum("n").over(w).alias("total"))
+    k = F.col("earlier") + F.row_number().over(Window.partitionBy("capture_id", "pkt_no").orderBy("word_no")) - 1
+    rows = hits.join(placed, ["capture_id", "pkt_no"]).withColumn("batch", F.floor(k / size))
+    return rows.where(F.col("batch") < F.floor(F.col("total") / size)).select(*hits.columns, "batch")
 
 
 def xy_image(hits: DataFrame, x_vmms: tuple[int, ...] = X_VMMS, y_vmms: tuple[int, ...] = Y_VMMS, size: int = SIZE, by: tuple[str, ...] = ()) -> DataFrame:

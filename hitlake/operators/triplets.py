@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import BUCKETS, bucket, pack_triplet
+from ..functions.bits import CHANNELS, pack_triplet
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -19,8 +19,8 @@ def is_physical(rows: DataFrame, members: DataFrame) -> DataFrame:
     return keyed(rows).join(known, "key", "left").withColumn("physical", F.coalesce("physical", F.lit(False)))
 
 
-def bucket_occupancy(members: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """smallest, mean, largest size of the buckets of the members' keys, empty ones included."""
-    sizes = keyed(members).select("key").distinct().groupBy(bucket(F.col("key"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+def channel_occupancy(members: DataFrame, channels: int = CHANNELS) -> DataFrame:
+    """smallest, mean, largest number of distinct members of a first channel, those without members included."""
+    sizes = members.select("c1", "c2", "c3").distinct().groupBy("c1").agg(F.count("*").alias("n"))
     out = sizes.agg(F.count("*").alias("used"), F.coalesce(F.min("n"), F.lit(0)).alias("low"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
-    return out.select(F.when(F.col("used") < buckets, 0).otherwise(F.col("low")).alias("smallest"), (F.col("total") / buckets).alias("mean"), "largest")
+    return out.select(F.when(F.col("used") < channels, 0).otherwise(F.col("low")).alias("smallest"), (F.col("total") / channels).alias("mean"), "largest")

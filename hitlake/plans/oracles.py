@@ -61,7 +61,9 @@ hot_channels AS (SELECT vmm, ch FROM (SELECT *, sum(n) OVER (PARTITION BY vmm) A
 hot_pads AS (SELECT lit.vmm, lit.ch FROM lit JOIN med ON lit.vmm = med.vmm AND lit.ch = med.ch WHERE n >= 50 AND n > 6 * greatest(med.med, 1)),
 noisy AS (SELECT * FROM (VALUES {", ".join(map(str, NOISY_CHANNELS))}) t(vmm, ch)),
 mask AS (SELECT vmm, ch FROM noisy UNION SELECT vmm, ch FROM hot_channels UNION SELECT vmm, ch FROM hot_pads),
-masked AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)))"""
+masked AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44))),
+channel_mask AS (SELECT vmm, ch FROM noisy UNION SELECT vmm, ch FROM hot_channels),
+channel_masked AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM channel_mask m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)))"""
 FOLD = "list_reduce(list_transform(list_sort(list_distinct(list({p}))), lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] > {dead} THEN list_concat(acc, x) ELSE acc END)"
 
 
@@ -106,7 +108,15 @@ fit AS (SELECT capture_id, station, highest - mid AS amplitude, mu, sigma, great
   mu - 3 * sigma AS dt_min, mu + 3 * sigma AS dt_max, CASE WHEN mu + 10 * sigma <= {window} THEN mu + 4 * sigma ELSE mu - 10 * sigma END AS sb_min, CASE WHEN mu + 10 * sigma <= {window} THEN mu + 10 * sigma ELSE mu - 4 * sigma END AS sb_max FROM p6 WHERE highest > 0)"""
 
 
-def oracle(select: str, data_format: str = "SRS", corrupt: bool = False, extra: str = "", source: str = "hits") -> str:
-    """A whole statement: all tables above (groups of the hits of ``source``), ``extra`` ones and the query's own SELECT."""
-    parts = [ctes("events", data_format, corrupt), FIELDS, MARKS[data_format], HITS, DIMENSIONS, groups(source)]
+# The words that the decoder reads of the packets: those with the magic, without a packet's last word.
+SENT = "sent AS (SELECT * EXCLUDE (k) FROM (SELECT *, count(*) OVER (PARTITION BY capture_id, pkt_no) AS k FROM words) x WHERE pkt_no % 10 <> 9 AND word_no < k - 1)"
+
+
+def oracle(select: str, data_format: str = "SRS", corrupt: bool = False, extra: str = "", source: str = "hits", sent: bool = False) -> str:
+    """A whole statement: all tables above (groups of the hits of ``source``), ``extra`` ones and the query's own SELECT.
+
+    ``sent``: the tables are of the words that the decoder reads of packets.
+    """
+    fields = [SENT, FIELDS.replace("FROM words)", "FROM sent)")] if sent else [FIELDS]
+    parts = [ctes("events", data_format, corrupt), *fields, MARKS[data_format], HITS, DIMENSIONS, groups(source)]
     return "WITH " + ",".join(p.strip() for p in parts) + (f",\n{extra}" if extra else "") + "\n" + select

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as fb
 from ..functions import stats as fs
-from ..lineage import shared_folder
+from ..lineage import exists, shared_folder, stored
 from ..operators import coincidence, compare, geometry, histograms, masks, maps, scalars, strips, trends, triplets
 from ..operators import hits as oh
 from ..operators import words as ow
-from ..schema import HIT_COLUMNS, KEY, STATION_VMMS, STRATEGIES
-from ..sources import capture, sinks
+from ..schema import EFFICIENCY_FIELDS, HIT_COLUMNS, KEY, PAD_FIELDS, STATION_VMMS, STRATEGIES, SUPPLIES
+from ..sources import capture, sidecar, sinks
+from ..streaming import live
 from . import inputs
 from .oracles import fits, oracle, pmod, spectra, wrap
 
@@ -53,7 +54,7 @@ def _pads(spark: SparkSession) -> DataFrame:
 
 
 def _mask(spark: SparkSession, hits: DataFrame) -> DataFrame:
-    return masks.merge_masks(masks.noisy_channels(spark), masks.auto_hot_channels(hits), masks.auto_hot_pads(hits, _pads(spark)))
+    return masks.auto_mask(hits, _pads(spark))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,7 +393,7 @@ def a9_ot_fraction(spark, sf_dir):
 
 def _meta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     words = _words(spark, sf_dir)
-    hits = oh.derive(oh.to_hits(words))
+    hits = oh.derive(stored(oh.to_hits(words), "hits"))  # decoded once, read by each part of the record
     return hits, scalars.decode_meta(words, hits, inputs.packets(words))
 
 
@@ -491,11 +492,11 @@ def a24_wilson_interval(spark, sf_dir):
 ANALYSED = [c for c in FIT_COLUMNS if c not in ("mu", "sigma")] + ["mu_ns", "sigma_ns", "efficiency", "efficiency_corrected", "efficiency_lo", "efficiency_hi", "raw_efficiency", "accidental_efficiency"]
 
 
-def _analysis_sql(window: float) -> str:
+def _analysis_sql(window: float, mask: str = "mask") -> str:
     """The tables up to ``analysed``: fit, counts, efficiency and masked hits of each capture and station."""
     of_fit = "fit ON fit.capture_id = {0}.capture_id AND fit.station = {0}.station"
     return f"""{spectra(window)}, {fits(window)}, {_trig(of_fit.format("g"))}, {EFF0.format(of_fit.format("cnt"))}, {EFF.partition("),")[2].strip()},
-lost AS (SELECT capture_id, count(*) AS n FROM hits h WHERE EXISTS (SELECT 1 FROM mask m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)) GROUP BY 1),
+lost AS (SELECT capture_id, count(*) AS n FROM hits h WHERE EXISTS (SELECT 1 FROM {mask} m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)) GROUP BY 1),
 analysed AS (SELECT eff.* EXCLUDE (z, centre, half), fit.* EXCLUDE (capture_id, station, mu, sigma), mu AS mu_ns, sigma AS sigma_ns, z_mm, coalesce(lost.n, 0) AS n_masked_hits, raw_efficiency - accidental_efficiency AS efficiency, (raw_efficiency - accidental_efficiency) / (1 - accidental_efficiency) AS efficiency_corrected, greatest(0, greatest(0, centre - half) - accidental_efficiency) AS efficiency_lo, least(1, least(1, centre + half) - accidental_efficiency) AS efficiency_hi
  FROM eff JOIN {of_fit.format("eff")} JOIN (SELECT DISTINCT station AS st, z_mm FROM cabling) z ON st = eff.station LEFT JOIN lost ON lost.capture_id = eff.capture_id)"""
 
@@ -647,18 +648,9 @@ def a42_batched_images(spark, sf_dir):
     return strips.xy_image(strips.batched(_simple(spark, sf_dir), 500), by=("capture_id", "batch"))
 
 
-def _mix_sql(x: str) -> str:
-    for _ in range(2):
-        x = f"((xor(({x}) >> 16, {x}) * 73244475) & 4294967295)"
-    return f"(xor(({x}) >> 16, {x}) & 4294967295)"
-
-
-MIXED = f"WITH m AS (SELECT DISTINCT {PACK} AS key FROM ({MEMBERS})), a AS (SELECT key, xor(key, 2654435761) & 4294967295 AS x0 FROM m), b AS (SELECT key, (xor(x0 >> 16, x0) * 73244475) & 4294967295 AS x1 FROM a), c AS (SELECT key, (xor(x1 >> 16, x1) * 73244475) & 4294967295 AS x2 FROM b), d AS (SELECT key, (xor(x2 >> 16, x2) & 4294967295) % 1000 AS bucket FROM c)"
-
-
-@query(f"{MIXED}, s AS (SELECT bucket, count(*) AS n FROM d GROUP BY 1) SELECT CASE WHEN count(*) < 1000 THEN 0 ELSE min(n) END AS smallest, CAST(sum(n) AS DOUBLE) / 1000 AS mean, max(n) AS largest FROM s")
+@query(f"WITH s AS (SELECT c1, count(*) AS n FROM (SELECT DISTINCT c1, c2, c3 FROM ({MEMBERS})) x GROUP BY 1) SELECT CASE WHEN count(*) < 640 THEN 0 ELSE min(n) END AS smallest, CAST(sum(n) AS DOUBLE) / 640 AS mean, max(n) AS largest FROM s")
 def a43_bucket_occupancy(spark, sf_dir):
-    return triplets.bucket_occupancy(_triples(spark, sf_dir, members=True), 1000)
+    return triplets.channel_occupancy(_triples(spark, sf_dir, members=True))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -798,10 +790,10 @@ def f5_strip_orderings(spark, sf_dir):
     return rows.join(masks.occupancy(_raw(spark, sf_dir)), ["vmm", "ch"]).select("strategy", "bottom_half", "vmm", "ch", "strip", "channel_id", "n")
 
 
-@query(f"{MIXED} SELECT key, bucket, key % 640 AS c1, (key // 640) % 640 AS c2, key // 409600 AS c3 FROM d")
+@query(f"SELECT key, key % 640 AS c1, (key // 640) % 640 AS c2, key // 409600 AS c3 FROM (SELECT DISTINCT {PACK} AS key FROM ({MEMBERS})) x")
 def f8_triplet_hash(spark, sf_dir):
     keys = triplets.keyed(_triples(spark, sf_dir, members=True)).select("key").distinct()
-    return keys.select("key", fb.bucket(F.col("key"), 1000).alias("bucket"), fb.unpack_triplet(F.col("key")).alias("t")).select("key", "bucket", "t.c1", "t.c2", "t.c3")
+    return keys.select("key", fb.unpack_triplet(F.col("key")).alias("t")).select("key", "t.c1", "t.c2", "t.c3")
 
 
 @query(oracle("SELECT vmm, CAST(count(*) FILTER (over_threshold) AS BIGINT) AS k, printf('%.2f%%', round(100::DOUBLE * count(*) FILTER (over_threshold) / count(*), 2)) AS share FROM hits GROUP BY vmm"))
@@ -810,6 +802,202 @@ def f13_percent_text(spark, sf_dir):
     return rows.select("vmm", "k", F.format_string("%.2f%%", F.round(100.0 * F.col("k") / F.col("n"), 2)).alias("share"))
 
 
+# --- side files -----------------------------------------------------------------------------------------------------
+
+
+@query(oracle("SELECT v.range AS vmm, c.range AS ch, coalesce(n, 0) * 0.25::DOUBLE AS time_offset, 1::DOUBLE AS time_slope, 0::DOUBLE AS adc_offset, CASE WHEN c.range < 10 AND k.vmm IS NOT NULL THEN 1 + coalesce(n, 0)::DOUBLE ELSE 1 END AS adc_slope FROM range(32) v CROSS JOIN range(64) c LEFT JOIN occ ON occ.vmm = v.range AND occ.ch = c.range LEFT JOIN (SELECT DISTINCT vmm FROM occ) k ON k.vmm = v.range"))
+def s3_calibration(spark, sf_dir):
+    """Offsets and slopes by occupancy: slopes are too short an array, a later entry overrides, chips over 31 are no chips."""
+    folder = shared_folder(spark, "calibration")
+    chips = masks.occupancy(_raw(spark, sf_dir)).groupBy("vmm").agg(F.map_from_entries(F.collect_list(F.struct("ch", "n"))).alias("m"))
+    channel = lambda upto, f: F.transform(F.sequence(F.lit(0), F.lit(upto - 1)), lambda c: f(F.coalesce(F.try_element_at("m", c.cast("smallint")), F.lit(0)).cast("double")))
+    offsets, slopes = channel(70, lambda n: n * 0.25), channel(10, lambda n: n + 1)
+    chip = F.col("vmm").cast("int")
+    whole = F.struct(F.lit(1).alias("entry"), chip.alias("vmmID"), offsets.alias("time_offsets"), slopes.alias("adc_slopes"))
+    early = F.struct(F.lit(0).alias("entry"), chip.alias("vmmID"), F.transform(offsets, lambda x: x + 7).alias("time_offsets"), slopes.alias("adc_slopes"))
+    other = F.struct(F.lit(2).alias("entry"), (chip + 32).alias("vmmID"), offsets.alias("time_offsets"), slopes.alias("adc_slopes"))
+    entries = chips.select(F.explode(F.array(whole, early, other)).alias("e")).agg(F.array_sort(F.collect_list("e")).alias("vmm_calibration"))
+    entries.write.json(folder)
+    return sidecar.read_calibration(spark, folder)
+
+
+@query(oracle(f"SELECT channel_id, pad_cx, pad_cy, {', '.join(f'NULL::DOUBLE AS {c}' for c in PAD_FIELDS if c not in ('pad_cx', 'pad_cy', 'pad_w'))}, n::DOUBLE AS pad_w FROM pads p JOIN occ o ON o.vmm = p.vmm AND o.ch = p.ch WHERE mapped"))
+def s4_pad_geometry(spark, sf_dir):
+    """Hit pads as a file with some of the pad columns; their width is their number of hits."""
+    folder = shared_folder(spark, "pads")
+    lit = _pads(spark).where("mapped").join(masks.occupancy(_raw(spark, sf_dir)), ["vmm", "ch"])
+    sinks.write_records(lit.select("channel_id", "pad_cx", "pad_cy", F.col("n").alias("pad_w")), folder, "csv")
+    return sidecar.read_pads(spark, folder)
+
+
+@query(oracle("SELECT axis, ch AS asic_pin, (ch * (CASE WHEN axis = 'X' THEN 5 ELSE 11 END) + n) % 128 AS detector_pin, row_number() OVER (PARTITION BY axis ORDER BY ch) - 1 AS idx FROM (SELECT ch, sum(n) AS n FROM occ GROUP BY ch) o, (VALUES ('X'), ('Y')) a(axis)"))
+def s5_pin_map(spark, sf_dir):
+    folder = shared_folder(spark, "pins")
+    lit = masks.occupancy(_raw(spark, sf_dir)).groupBy("ch").agg(F.sum("n").alias("n"))
+    for axis, step in (("X", 5), ("Y", 11)):
+        pins = lit.select(F.col("ch").alias("Pin Number VMM3"), ((F.col("ch") * step + F.col("n")) % 128).alias("Pin Number Detecteur"))
+        sinks.write_records(pins, f"{folder}/{axis}", "csv")
+    return _placed(sidecar.read_pin_map(spark, f"{folder}/X", f"{folder}/Y"))
+
+
+def _placed(pins: DataFrame) -> DataFrame:
+    """pins with their place in order of the ASIC pin."""
+    order = strips.pin_index(pins.withColumn("detector_pin", F.struct("asic_pin", "detector_pin")))
+    return order.select("axis", "pin.asic_pin", "pin.detector_pin", "idx")
+
+
+@query(oracle("""SELECT 'sub_' || (h.capture_id % 2) AS sub_run, 'fec_' || h.capture_id AS store, count(*) AS n_hits, any_value(np) AS n_packets, min("time") AS frame_first, round(avg(CAST(over_threshold AS INT)), 9) AS ot_fraction, count(*) FILTER (h.vmm = 5) AS hits_vmm5, count(*) FILTER (station = 'P2_MID') AS mid_hits
+ FROM hits h LEFT JOIN cabling c ON c.vmm = h.vmm JOIN (SELECT capture_id, count(DISTINCT pkt_no) AS np FROM words GROUP BY 1) w ON w.capture_id = h.capture_id GROUP BY h.capture_id"""))
+def s6_scalars_discovery(spark, sf_dir):
+    """Records as scalars.json beside their captures, found again by their name; every capture has an unreadable one too."""
+    root = shared_folder(spark, "runs")
+    records = _records(spark, sf_dir).drop("capture", "mtime")
+    at = F.concat(F.lit("sub_"), F.col("capture_id") % 2, F.lit("/reduced/fec_"), F.col("capture_id"))
+    rows = records.select(at.alias("folder"), F.to_json(F.struct(*(c for c in records.columns if c != "capture_id"))).alias("text"))
+    broken = records.select(F.concat(at, F.lit("_broken")).alias("folder"), F.lit("{no record").alias("text"))
+    sinks.write_files(rows.unionByName(broken), root, "scalars.json")
+    r = sidecar.read_scalars(spark, root)
+    return r.select("sub_run", F.element_at(F.split("store", "/"), -1).alias("store"), "n_hits", "n_packets", "frame_first", F.round("ot_fraction", 9).alias("ot_fraction"), F.try_element_at("hits_per_vmm", F.lit("5")).alias("hits_vmm5"), F.try_element_at("per_station", F.lit("P2_MID"))["n_hits"].alias("mid_hits"))
+
+
+@query(oracle("SELECT 'run_3' AS run, 3 AS run_no, 'sub_' || capture_id AS sub_run, 'fec_' || capture_id AS file, station, max(n_triggers) OVER (PARTITION BY capture_id) AS n_triggers, round(raw_efficiency - accidental_efficiency, 9) AS efficiency, round(accidental_efficiency, 9) AS accidental_efficiency FROM eff", extra=f"{TRIG}, {EFF}"))
+def s7_events_discovery(spark, sf_dir):
+    """Summaries as events.json of each capture, and some without an efficiency, which are left out."""
+    root, hits = shared_folder(spark, "analysis"), _hits(spark, sf_dir)
+    eff = coincidence.group_efficiency(coincidence.build_groups(hits, geometry.cabling(spark)), inputs.windows(hits))
+    fields = F.struct(*(c for c in EFFICIENCY_FIELDS if c in eff.columns))
+    events = eff.groupBy("capture_id").agg(F.max("n_triggers").alias("n_triggers_dedup"), F.map_from_entries(F.collect_list(F.struct("station", fields))).alias("efficiency"))
+    at = F.concat(F.lit("sub_"), F.col("capture_id"), F.lit("/fec_"), F.col("capture_id"))
+    rows = events.select(at.alias("folder"), F.to_json(F.struct("n_triggers_dedup", "efficiency")).alias("text"))
+    empty = events.select(F.concat(at, F.lit("_empty")).alias("folder"), F.to_json(F.struct("n_triggers_dedup")).alias("text"))
+    sinks.write_files(rows.unionByName(empty), root, "events.json")
+    r = sidecar.read_events(spark, root, "run_3", 3).select("run", "run_no", "sub_run", "file", "n_triggers", F.explode("efficiency").alias("station", "e"))
+    return r.select("run", "run_no", "sub_run", "file", "station", "n_triggers", F.round("e.efficiency", 9).alias("efficiency"), F.round("e.accidental_efficiency", 9).alias("accidental_efficiency"))
+
+
+@query(oracle("SELECT 'run_9' AS run, 'sub_' || capture_id AS sub_run, station, count(*)::DOUBLE AS mesh_v, CASE WHEN capture_id % 2 = 0 THEN count(*) * 2::DOUBLE END AS drift_v FROM hits h JOIN cabling c ON c.vmm = h.vmm GROUP BY capture_id, station"))
+def s8_hv_per_subrun(spark, sf_dir):
+    """A run's configuration with a sub-run for each capture: voltages by its hits, and texts that are no numbers."""
+    folder = shared_folder(spark, "config")
+    hits = _raw(spark, sf_dir).join(F.broadcast(geometry.cabling(spark).select("vmm", "station")), "vmm")
+    volts = hits.groupBy("capture_id", "station").agg(F.count("*").alias("n")).join(F.broadcast(spark.createDataFrame(SUPPLIES, "station string, what string, card string, channel string")), "station")
+    text = F.when(F.col("what") == "mesh", F.col("n").cast("string")).when(F.col("capture_id") % 2 == 0, (2 * F.col("n")).cast("string")).otherwise("off")
+    cards = volts.groupBy("capture_id", "card").agg(F.map_from_entries(F.collect_list(F.struct("channel", text.alias("v")))).alias("channels"))
+    subs = cards.groupBy("capture_id").agg(F.map_from_entries(F.collect_list(F.struct("card", "channels"))).alias("hvs"))
+    subs.agg(F.collect_list(F.struct(F.concat(F.lit("sub_"), F.col("capture_id")).alias("sub_run_name"), "hvs")).alias("sub_runs")).write.json(folder)
+    return sidecar.read_hv(spark, folder, "run_9")
+
+
+def _sent(columns: str, **kw) -> str:
+    return oracle(f"SELECT 'capture-' || capture_id || '.pcapng' AS capture_id, {columns}", sent=True, **kw)
+
+
+def _reduced(spark: SparkSession, sf_dir: str, keep_hits: bool) -> str:
+    folder = shared_folder(spark, "reduced")
+    sinks.reduce_captures(_packets(spark, sf_dir), folder, keep_hits=keep_hits)
+    return folder
+
+
+@query(oracle("SELECT capture_id, vmm, ch AS bin, count(*) AS n, FALSE AS hits_stored FROM hits GROUP BY ALL", sent=True))
+def s15_reduce_without_hits(spark, sf_dir):
+    folder = _reduced(spark, sf_dir, keep_hits=False)
+    counts = sinks.read_counts(spark, f"{folder}/counts").where("hist = 'ch'")
+    return counts.select("capture_id", "vmm", "bin", "n", F.lit(exists(spark, f"{folder}/hits")).alias("hits_stored"))
+
+
+@query(oracle("SELECT capture_id, station, n_masked_hits, round(efficiency, 6) AS efficiency, round(contrast, 6) AS contrast FROM analysed", extra=_analysis_sql(2000, "channel_mask"), source="channel_masked", sent=True))
+def s12_reduced_record(spark, sf_dir):
+    records = spark.read.json(f"{_reduced(spark, sf_dir, keep_hits=True)}/scalars")
+    stations = F.explode(F.array(*(F.struct(F.lit(s).alias("station"), F.col(f"efficiency.{s}").alias("e")) for s in STATION_VMMS)))
+    r = records.select("capture_id", "n_masked_hits", stations.alias("s")).where("s.e IS NOT NULL")
+    return r.select("capture_id", "s.station", "n_masked_hits", F.round("s.e.efficiency", 6).alias("efficiency"), F.round("s.e.contrast", 6).alias("contrast"))
+
+
+# --- live analysis ----------------------------------------------------------------------------------------------------
+
+
+def _follow(spark: SparkSession, sf_dir: str, start: Callable, first: str = "pkt_no < 10") -> str:
+    """The folder of a live query over captures that grow: on their first part, then, from its checkpoint, on all."""
+    folder, packets = shared_folder(spark, "live"), _packets(spark, sf_dir)
+    for part in (packets.where(first), packets):
+        capture.write_captures(part, f"{folder}/captures")
+        running = start(capture.read_stream(spark, f"{folder}/captures/*.pcapng"), f"{folder}/out")
+        running.processAllAvailable()
+        running.stop()
+    return f"{folder}/out"
+
+
+def _append(rows: DataFrame, path: str):
+    return rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint").option("path", path).trigger(availableNow=True).start()
+
+
+@query(oracle("SELECT 'capture-' || capture_id || '.pcapng' AS capture_id, pkt_no, src_ip, 16 + 6 * words AS bytes FROM pk", extra=PKT))
+def t1_follow_captures(spark, sf_dir):
+    rows = spark.read.parquet(_follow(spark, sf_dir, _append))
+    return rows.select("capture_id", "pkt_no", "src_ip", F.octet_length("payload").alias("bytes"))
+
+
+@query(_sent('pkt_no, word_no, fec, vmm, "time", ch, adc, over_threshold, "offset", bcid, tdc, srs_timestamp, trigger_time, trigger_counter FROM raw'))
+def t2_marker_carry(spark, sf_dir):
+    return spark.read.parquet(_follow(spark, sf_dir, lambda packets, path: _append(live.stream_hits(packets), path)))
+
+
+def _running(packets: DataFrame, path: str):
+    return live.keep_table(live.live_counts(live.stream_hits(packets)), path, None)
+
+
+@query(oracle("SELECT vmm, ch, count(*) AS n FROM hits GROUP BY ALL", sent=True))
+def t3_live_counts(spark, sf_dir):
+    return live.newest(spark, _follow(spark, sf_dir, _running))
+
+
+@query(oracle("SELECT vmm, count(*) AS n, count(*) FILTER (pkt_no >= 10) / 2::DOUBLE AS hits_per_s FROM hits GROUP BY ALL", sent=True))
+def t3_live_rates(spark, sf_dir):
+    """Rates between two refreshes, two seconds apart."""
+    tables: list[DataFrame] = []
+
+    def start(packets: DataFrame, path: str):
+        if tables or exists(spark, path):
+            tables.append(live.newest(spark, path))
+        return _running(packets, path)
+
+    path = _follow(spark, sf_dir, start)
+    _, before = live.rates({}, tables[0], 2.0)
+    return live.rates(before, live.newest(spark, path), 2.0)[0]
+
+
+LAST = "last AS (SELECT * FROM hits ORDER BY pkt_no DESC, word_no DESC, 'capture-' || capture_id || '.pcapng' DESC LIMIT 3000)"
+
+
+@query(oracle("SELECT 'adc' AS hist, vmm, CAST(least(floor(adc * 20 / 1024::DOUBLE), 19) AS BIGINT) AS bin, count(*) AS n FROM last GROUP BY ALL UNION ALL SELECT 'ch' AS hist, vmm, ch AS bin, count(*) AS n FROM last GROUP BY ALL", extra=LAST, sent=True))
+def t4_t5_newest_hits(spark, sf_dir):
+    """Histograms of the newest hits, refreshed by the clock."""
+    path = _follow(spark, sf_dir, lambda packets, path: live.keep_last(live.stream_hits(packets), path, 3000, 0.5))
+    return live.newest_histograms(live.newest(spark, path))
+
+
+@query(_sent("hist, vmm, bin, bin2, n FROM counts", extra=COUNTS))
+def t6_rotated_captures(spark, sf_dir):
+    """Histograms of each capture as it appears."""
+
+    def start(packets: DataFrame, path: str):
+        reduce = lambda batch, _: sinks.write_counts(histograms.build_counts(oh.to_hits(ow.to_words(batch))), f"{path}/counts")
+        return live.each_capture(packets, path, reduce, None)
+
+    return sinks.read_counts(spark, f"{_follow(spark, sf_dir, start, 'capture_id % 2 = 0')}/counts")
+
+
+@query(oracle("SELECT hist, vmm, bin, bin2, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL", extra=COUNTS))
+def t7_live_histograms(spark, sf_dir):
+    """Histograms of further captures merged into running ones."""
+    folder, counts = shared_folder(spark, "live"), stored(histograms.build_counts(_raw(spark, sf_dir)), "counts")
+    for part in ("capture_id % 2 = 0", "capture_id % 2 = 1"):
+        counts.where(part).write.mode("append").parquet(f"{folder}/counts")
+        merged = live.live_histograms(spark.readStream.schema(counts.schema).parquet(f"{folder}/counts"))
+        live.keep_table(merged, f"{folder}/out", None).awaitTermination()
+    return live.newest(spark, f"{folder}/out")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: efficiency of every capture and station, with fitted windows."""
     return coincidence.analyse(_hits(spark, sf_dir), geometry.cabling(spark), window_ns=1000.0)

@@ -17,6 +17,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -58,38 +59,39 @@ def payload(frame: bytes) -> tuple[str, str, bytes] | None:
     return (ip(12), ip(16), data) if data else None
 
 
-def frames(stream: BinaryIO, name: str, at: int = 0, order: str = "<") -> Iterator[tuple[bytes, int, str]]:
-    """(frame, file position after its block, byte order) of each packet block from position ``at``, a block's start."""
-    stream.seek(at)
-    first = at == 0
-    while len(head := stream.read(8)) == 8:
-        if first or head[:4] == struct.pack("<I", SECTION):
-            (kind,) = struct.unpack("<I", head[:4])
-            if first and kind in CLASSIC:
-                raise ValueError(f"{name}: a classic pcap, not a pcapng")
-            if first and kind != SECTION:
-                raise ValueError(f"{name}: not a pcapng")
-            mark = stream.read(4)
-            order = "<" if mark == struct.pack("<I", ORDER) else ">"
-            (size,) = struct.unpack(order + "I", head[4:])
-            body = mark + stream.read(max(0, size - 12))
-            kind, first = SECTION, False
-        else:
-            kind, size = struct.unpack(order + "II", head)
-            body = stream.read(max(0, size - 8))
-        if size < 12 or size % 4 or len(body) < size - 8:
+def blocks(stream: BinaryIO, name: str, at: int = 0, order: str = "<") -> Iterator[tuple[int, int, int, str]]:
+    """(kind, position, size, byte order) of each whole block from position ``at``, a block's start; bodies are not read."""
+    whole = stream.seek(0, os.SEEK_END)
+    while at + 12 <= whole:
+        stream.seek(at)
+        head = stream.read(12)
+        (mark,) = struct.unpack_from("<I", head)
+        if mark == SECTION:
+            order = "<" if head[8:] == struct.pack("<I", ORDER) else ">"
+        elif at == 0:
+            raise ValueError(f"{name}: {'a classic pcap, ' if mark in CLASSIC else ''}not a pcapng")
+        kind, size = struct.unpack_from(order + "II", head)
+        if size < 12 or size % 4 or at + size > whole:
             return
+        if kind == INTERFACE and (link := struct.unpack_from(order + "H", head, 8)[0]) != ETHERNET:
+            raise ValueError(f"{name}: link type {link}; only Ethernet is read")
+        yield kind, at, size, order
         at += size
-        if kind == INTERFACE:
-            (link,) = struct.unpack_from(order + "H", body)
-            if link != ETHERNET:
-                raise ValueError(f"{name}: link type {link}; only Ethernet is read")
-        elif kind == ENHANCED and size >= 32:
-            (kept,) = struct.unpack_from(order + "I", body, 12)
-            yield body[20 : 20 + kept], at, order
-        elif kind == SIMPLE and size >= 16:
-            (kept,) = struct.unpack_from(order + "I", body)
-            yield body[4 : 4 + min(kept, size - 16)], at, order
+
+
+def is_packet(kind: int, size: int) -> bool:
+    return kind == ENHANCED and size >= 32 or kind == SIMPLE and size >= 16
+
+
+def frames(stream: BinaryIO, name: str, at: int = 0, order: str = "<") -> Iterator[bytes]:
+    """The frame of each packet block from position ``at``, a block's start."""
+    for kind, place, size, order in blocks(stream, name, at, order):
+        if is_packet(kind, size):
+            stream.seek(place + 8)
+            body = stream.read(size - 8)
+            length, first = (12, 20) if kind == ENHANCED else (0, 4)
+            (kept,) = struct.unpack_from(order + "I", body, length)
+            yield body[first : first + min(kept, size - 12 - first)]
 
 
 def _batches(path: str, start: int, stop: int | None, at: int = 0, number: int = 0, order: str = "<") -> Iterator[pa.RecordBatch]:
@@ -97,7 +99,7 @@ def _batches(path: str, start: int, stop: int | None, at: int = 0, number: int =
     name = os.path.basename(path)
     rows: list[tuple] = []
     with open(path, "rb", buffering=1 << 20) as stream:
-        for k, (frame, _, _) in enumerate(frames(stream, path, at, order), number):
+        for k, frame in enumerate(frames(stream, path, at, order), number):
             if stop is not None and k >= stop:
                 break
             if k >= start and (found := payload(frame)):
@@ -113,7 +115,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
-def _local(path: str) -> str:
+def local(path: str) -> str:
     """A path of a mounted folder, given with or without the file scheme."""
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
 
@@ -130,7 +132,7 @@ class Piece(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.paths = sorted(glob.glob(_local(options["path"])))
+        self.paths = sorted(glob.glob(local(options["path"])))
         if not self.paths:
             raise ValueError(f"no capture matches {options['path']}")
         self.start = int(options.get("start", 0))
@@ -148,7 +150,7 @@ class Follower(DataSourceStreamReader):
     """Follows files that grow and files that appear; the offset holds, for each file, the next block and packet number."""
 
     def __init__(self, options: dict[str, str]):
-        self.pattern = _local(options["path"])
+        self.pattern = local(options["path"])
         self.most = int(options.get("maxpacketspertrigger", 1_000_000))
         self.seen: dict[str, list] = {}
 
@@ -160,11 +162,10 @@ class Follower(DataSourceStreamReader):
             at, number, order = self.seen.get(path, [0, 0, "<"])
             if os.path.getsize(path) < at + 12:
                 continue
-            with open(path, "rb", buffering=1 << 20) as stream:
-                for k, (_, end, kind) in enumerate(frames(stream, path, at, order)):
-                    if k >= self.most:
-                        break
-                    self.seen[path] = [end, number + k + 1, kind]
+            with open(path, "rb", buffering=512) as stream:  # block heads alone: tasks read the bodies
+                packets = (b for b in blocks(stream, path, at, order) if is_packet(b[0], b[2]))
+                for k, (_, place, size, order) in enumerate(islice(packets, self.most), number + 1):
+                    self.seen[path] = [place + size, k, order]
         return {p: list(v) for p, v in self.seen.items()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -228,7 +229,7 @@ def write_captures(packets: DataFrame, folder: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, made = None, None, 0
-        target = _local(folder)
+        target = local(folder)
         os.makedirs(target, exist_ok=True)
         partial = f"{target}/.{TaskContext.get().taskAttemptId()}"
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..lineage import remove, shared_folder
 from ..operators.hits import derive
-from ..schema import DERIVED, KEY, RAW
+from ..schema import DERIVED, EFFICIENCY_FIELDS, KEY, RAW
+from .capture import local
 
 
 def write_hits(hits: DataFrame, path: str, mode: str = "overwrite", derived: bool = False) -> None:
@@ -39,19 +47,47 @@ def write_records(records: DataFrame, path: str, kind: str = "json") -> None:
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
 
 
-def reduce_captures(packets: DataFrame, path: str, data_format: str = "SRS", keep_hits: bool = True) -> None:
-    """Hits, histograms and scalars of captures under path; without keep_hits only the latter two stay."""
+def write_files(rows: DataFrame, root: str, name: str) -> int:
+    """A file root/folder/name with the content ``text`` for each row (folder, text), as records of captures lie
+    beside them; returns how many. Tasks write them, under another name until they are complete."""
+    target = local(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = 0
+        for b in batches:
+            for folder, text in zip(b.column("folder").to_pylist(), b.column("text").to_pylist(), strict=True):
+                os.makedirs(f"{target}/{folder}", exist_ok=True)
+                partial = f"{target}/{folder}/.{uuid.uuid4().hex}"
+                with open(partial, "w", encoding="utf-8") as out:
+                    out.write(text)
+                os.replace(partial, f"{target}/{folder}/{name}")
+                made += 1
+        yield pa.RecordBatch.from_pydict({"made": pa.array([made], pa.int64())})
+
+    return rows.select("folder", "text").mapInArrow(run, "made long").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+
+
+def reduce_captures(packets: DataFrame, path: str, data_format: str = "SRS", keep_hits: bool = True, pads: DataFrame | None = None) -> None:
+    """Hits, histograms and scalars of captures under path; without keep_hits only the latter two stay.
+
+    The record holds the efficiency of each station and n_masked_hits as well; noisy and hot channels, and with pads
+    hot pads, are masked there, judged over all captures of the call.
+    """
+    from ..operators import coincidence, masks
     from ..operators.geometry import cabling
     from ..operators.hits import to_hits
     from ..operators.histograms import build_counts
-    from ..operators.scalars import build_scalars, decode_meta
+    from ..operators.scalars import build_scalars, by_station, decode_meta
     from ..operators.words import to_words
 
     spark, words = packets.sparkSession, to_words(packets)
-    hits = to_hits(words, data_format)
-    if keep_hits:
-        write_hits(hits, f"{path}/hits")
-        hits = spark.read.parquet(f"{path}/hits")
+    folder = f"{path}/hits" if keep_hits else shared_folder(spark, "hits")
+    write_hits(to_hits(words, data_format), folder)
+    hits = spark.read.parquet(folder)
     write_counts(build_counts(hits), f"{path}/counts")
     record = build_scalars(hits, read_counts(spark, f"{path}/counts"), decode_meta(words, hits, packets), cabling(spark))
-    write_records(record, f"{path}/scalars")
+    found = coincidence.analyse(derive(hits), cabling(spark), masks.auto_mask(hits, pads))
+    masked = found.groupBy("capture_id").agg(F.max("n_masked_hits").alias("n_masked_hits"))
+    write_records(record.join(by_station(found, EFFICIENCY_FIELDS, "efficiency"), "capture_id", "left").join(masked, "capture_id", "left"), f"{path}/scalars")
+    if not keep_hits:
+        remove(spark, folder)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.bits import bits, sign_extend
+from ..lineage import remove
+from ..operators.histograms import histogram
 from ..operators.hits import SLOTS, markers
 from ..operators.words import hit_fields, to_words
 
@@ -59,20 +61,43 @@ def rates(previous: dict[tuple, int], counts: DataFrame, seconds: float) -> tupl
 def keep_last(stream: DataFrame, path: str, n: int = 100_000, seconds: float | None = 2.0) -> StreamingQuery:
     """Keeps the newest n hits of a stream as a table under ``path``, one folder a refresh: path/batch=<id>.
 
-    A refresh joins the last table with the new hits and keeps the newest by (pkt_no, word_no); a rerun of a batch
-    writes the same folder again.
+    A refresh joins the last table with the new hits and keeps the newest by (pkt_no, word_no, capture_id); a rerun of
+    a batch writes the same folder again.
     """
-    order = ["pkt_no", "word_no"]
+    order = ["pkt_no", "word_no", "capture_id"]
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark, rows = batch.sparkSession, batch
         if batch_id:
             rows = rows.unionByName(spark.read.parquet(f"{path}/batch={batch_id - 1}"))
         rows.orderBy(*(F.desc(c) for c in order)).limit(n).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        remove(spark, f"{path}/batch={batch_id - 2}")  # the last one stays for a rerun of this refresh
 
     return _start(stream.writeStream.foreachBatch(refresh), path, seconds)
 
 
+def keep_table(running: DataFrame, path: str, seconds: float | None = 2.0) -> StreamingQuery:
+    """Keeps a running aggregate (live_counts, live_histograms) as a table under ``path``, one folder a refresh."""
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        remove(batch.sparkSession, f"{path}/batch={batch_id - 2}")
+
+    return _start(running.writeStream.outputMode("complete").foreachBatch(refresh), path, seconds)
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The table of the last refresh under ``path``."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def newest_histograms(hits: DataFrame, adc_bins: int = 20) -> DataFrame:
+    """hist, vmm, bin, n of kept hits: ADC in equal bins and channels, chip by chip."""
+    adc = histogram(hits, "adc", adc_bins, 0, 1024, by=("vmm",)).select(F.lit("adc").alias("hist"), "vmm", "bin", "n")
+    return adc.unionByName(hits.groupBy("vmm", F.col("ch").alias("bin")).agg(F.count("*").alias("n")).withColumn("hist", F.lit("ch")))
+
+
 def each_capture(stream: DataFrame, path: str, work: Callable[[DataFrame, int], None], seconds: float | None = 2.0) -> StreamingQuery:
     """Runs ``work`` on the packets of each refresh, as rotated captures appear."""
     return _start(stream.writeStream.foreachBatch(work), path, seconds)
