@@ -5,7 +5,8 @@ language whose profile has the smallest out-of-place distance to the text's own
 the difference of ranks, or the full profile length for an n-gram the profile lacks. N-grams are hashed to 16 bits.
 
 Null or letterless texts give ``und`` with score 0. Ties go to the language first in order of name. Empty training
-data gives ``und`` throughout. Rows with null lang or null text are not learned from.
+data gives ``und`` throughout. Rows with null lang or null text are not learned from. Repeated rows count as often as they
+stand there and are predicted alike; texts are read whole, whatever their length; other columns are ignored.
 """
 
 from __future__ import annotations

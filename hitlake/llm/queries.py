@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.link(*toolcalls.from_turns(table(spark, sf_dir, "conversations")), toolcalls.SCHEMAS)
+    return toolcalls.order(toolcalls.link(*toolcalls.from_turns(table(spark, sf_dir, "conversations")), toolcalls.SCHEMAS))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

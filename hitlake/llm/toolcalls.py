@@ -10,7 +10,9 @@ null) and results (conv_id, call_id, turn, content). Everything is DataFrame ope
 * arguments against a schema by tool name: ``errors`` lists what is missing, unknown or of another type;
 * canonical JSON: sorted keys, no blanks, from Spark's variant form of the arguments.
 
-Null ids never link; of repeated (conv_id, call_id) the lowest turn counts, then the smallest arguments.
+Null ids never link; of repeated (conv_id, call_id) the lowest turn counts, then the smallest arguments. Null
+arguments are no JSON. Other columns of either table are ignored, whatever their names. Empty tables give no rows. Texts
+of any length stay whole; nothing but the row itself grows with them.
 """
 
 from __future__ import annotations
@@ -46,19 +48,17 @@ def argument_errors(name: Column, parsed: Column, schemas: dict[str, dict]) -> C
     return F.when(parsed.isNull(), F.array(F.lit("arguments are not JSON"))).otherwise(out)
 
 
-def depths(calls: DataFrame, most_rounds: int = 40) -> DataFrame:
+def depths(calls: DataFrame) -> DataFrame:
     """KEY and depth of each call by pointer doubling over ``after``."""
     ids = calls.select(*KEY)
     known = calls.select("conv_id", "call_id", "after").join(ids.withColumnRenamed("call_id", "after").withColumn("there", F.lit(True)), ["conv_id", "after"], "left")
     state = cut_lineage(known.select("conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("to")).withColumn("depth", F.col("to").isNotNull().cast("long")))
-    rounds = 0
-    while rounds < most_rounds and state.where("to IS NOT NULL").limit(1).count():
-        # one more round than log2 of the rows settles every chain; what is left runs in a circle
-        if rounds and 2 ** (rounds - 1) > state.count():
+    # a pointer spans twice as many calls each round; what is left when it would span all of them runs in a circle
+    for _ in range(state.count().bit_length()):
+        if not state.where("to IS NOT NULL").limit(1).count():
             break
         up = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
         state = cut_lineage(state.join(up, ["conv_id", "to"], "left").select("conv_id", "call_id", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-        rounds += 1
     return state.select(*KEY, F.when(F.col("to").isNull(), F.col("depth")).otherwise(F.lit(-1)).alias("depth"))
 
 
@@ -93,7 +93,9 @@ def from_turns(turns: DataFrame, tool: str = "reply") -> tuple[DataFrame, DataFr
 SCHEMAS = {"reply": {"properties": {"text": "string", "turn": "integer"}, "required": ["text", "turn"]}}
 
 
-
 def order(linked: DataFrame) -> DataFrame:
-    """The rows of ``link`` in topological order within each conversation."""
+    """The rows of ``link`` in topological order within each conversation; results without call come first.
+
+    A sort over ranges of (conv_id, depth, call_id), so that a giant conversation is no single task.
+    """
     return linked.orderBy("conv_id", "depth", "call_id")

@@ -8,7 +8,9 @@ term leaves few weights other than zero, so that the model is small enough to br
 Training reads at most ``max_rows`` labelled rows, those with the smallest hash of their id, in ``shards`` groups,
 each learned by one task over a bounded sample; the weights are averaged over the groups (one group by default, which
 learns rare words best). Null labels are left out; rows of one id with
-several labels all count. Null texts are empty: they get the score of the bias. Without training rows the score is 0.
+several labels all count. Null texts are empty: they get the score of the bias. Without training rows the score is 0. Labels all
+of one kind give the bias that sign. Very long texts are read whole. Repeated rows score alike; ties of the hash go by
+id, then label. Other columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
