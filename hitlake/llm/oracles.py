@@ -28,4 +28,19 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM later),
 words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
 kept AS (SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY words.i) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.i = words.i WHERE gone.i IS NULL GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
-ORACLES = {"op5_warc": OP5, "op6_jaccard": OP6, "op7_decontamination": OP7, "op8_substrings": OP8}
+
+
+def _op13(rounds: int = 6) -> str:
+    """Each round: distances of every part to its codebook's entries, the nearest (ties to the lower), floored means."""
+    near = "d{k} AS MATERIALIZED (SELECT c.r, c.part, b.e, CAST(sum((c.v - b.v) * (c.v - b.v)) AS BIGINT) AS d FROM c JOIN b{k} b ON b.part = c.part AND b.pos = c.pos GROUP BY ALL), a{k} AS MATERIALIZED (SELECT r, part, first(e ORDER BY d, e) AS e, min(d) AS d FROM d{k} GROUP BY ALL)"
+    mean = "b{n} AS MATERIALIZED (SELECT b.part, b.e, b.pos, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT part, e, pos, (s - (s % n + n) % n) // n AS v FROM (SELECT c.part, a.e, c.pos, CAST(sum(c.v) AS BIGINT) AS s, count(*) AS n FROM c JOIN a{k} a ON a.r = c.r AND a.part = c.part GROUP BY ALL) x) m ON m.part = b.part AND m.e = b.e AND m.pos = b.pos)"
+    steps = [s.format(k=k, n=k + 1) for k in range(rounds) for s in (near, mean)] + [near.format(k=rounds)]
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c AS MATERIALIZED (SELECT r, i // (len(x) // 8) AS part, i % (len(x) // 8) AS pos, CAST(floor(4096 * CAST(x[i + 1] AS DOUBLE)) AS BIGINT) AS v FROM (SELECT r, x, unnest(range(len(x))) AS i FROM k) y),
+b0 AS (SELECT part, r - 1 AS e, pos, v FROM c WHERE r <= 16),
+{", ".join(steps)},
+coded AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} a JOIN k ON k.r = a.r GROUP BY a.r, k.vec_id, k.label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, e, pos)) FROM b{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+ORACLES = {"op5_warc": OP5, "op6_jaccard": OP6, "op7_decontamination": OP7, "op8_substrings": OP8, "op13_vector_codes": _op13()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
-from . import decontaminate, html, jaccard, language, matroska, packing, substrings, toolcalls, toxicity, warc
+from . import codes, decontaminate, html, jaccard, language, matroska, packing, substrings, toolcalls, toxicity, warc
 from .oracles import ORACLES as ORACLES
 from .text import held_out, table
 
@@ -60,4 +60,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op7_decontamination, op8_substrings, op9_matroska, op10_html)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op7_decontamination, op8_substrings, op9_matroska, op10_html, op13_vector_codes)}
