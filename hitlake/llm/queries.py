@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
-from . import codes, decontaminate, html, jaccard, language, matroska, packing, substrings, toolcalls, toxicity, warc
+from . import codes, decontaminate, html, jaccard, language, matroska, packing, periodic, substrings, toolcalls, toxicity, warc
 from .oracles import ORACLES as ORACLES
 from .text import held_out, table
 
@@ -60,9 +60,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(table(spark, sf_dir, "documents"), tail=periodic.repeated_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    rows = found.withColumns({"best": best, "lines": lines})
+    run = {"start": -F.col("best.start"), "length": F.col("best.length"), "period": -F.col("best.period"), "exponent_milli": F.floor(1000 * F.col("best.length") / -F.col("best.period"))}
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(c.alias(n) for n, c in run.items()), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
     return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op7_decontamination, op8_substrings, op9_matroska, op10_html, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op7_decontamination, op8_substrings, op9_matroska, op10_html, op12_periodic_runs, op13_vector_codes)}
