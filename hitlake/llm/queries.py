@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
-from . import codes, decontaminate, html, jaccard, language, matroska, packing, periodic, substrings, toolcalls, toxicity, warc
+from . import codes, decontaminate, grouping, html, jaccard, language, matroska, packing, periodic, substrings, toolcalls, toxicity, warc
 from .oracles import ORACLES as ORACLES
 from .text import held_out, table
 
@@ -60,6 +60,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_grouping(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return grouping.pack(table(spark, sf_dir, "documents"), tokenizer_path or packing.default_tokenizer())
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.find(table(spark, sf_dir, "documents"), tail=periodic.repeated_tail)
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
@@ -74,4 +78,4 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op7_decontamination, op8_substrings, op9_matroska, op10_html, op12_periodic_runs, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_tool_calls, op3_packing, op4_language, op5_warc, op6_jaccard, op7_decontamination, op8_substrings, op9_matroska, op10_html, op11_grouping, op12_periodic_runs, op13_vector_codes)}
