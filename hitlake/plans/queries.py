@@ -214,6 +214,15 @@ def s1_capture_source(spark, sf_dir):
     return rows.select("capture_id", "pkt_no", "src_ip", "dst_ip", F.octet_length("payload").alias("bytes"), "frame")
 
 
+@query(oracle("SELECT 'capture-' || capture_id || '.pcapng' AS capture_id, pkt_no, src_ip, 16 + 6 * words AS bytes, frame FROM pk", extra=PKT))
+def s1_split_captures(spark, sf_dir):
+    """The same captures in ranges of 4 kB, each by a task."""
+    folder = shared_folder(spark, "captures")
+    capture.write_captures(_packets(spark, sf_dir), folder)
+    rows = ow.headers(capture.read_packets(spark, f"{folder}/*.pcapng", split_bytes=4096))
+    return rows.select("capture_id", "pkt_no", "src_ip", F.octet_length("payload").alias("bytes"), "frame")
+
+
 @query(oracle("SELECT capture_id, pkt_no, word_no, adc, abs_time_ns, hit_valid FROM hits"))
 def s9_s10_hit_store(spark, sf_dir):
     folder = shared_folder(spark, "hits")
@@ -922,8 +931,7 @@ def _follow(spark: SparkSession, sf_dir: str, start: Callable, first: str = "pkt
     for part in (packets.where(first), packets):
         capture.write_captures(part, f"{folder}/captures")
         running = start(capture.read_stream(spark, f"{folder}/captures/*.pcapng"), f"{folder}/out")
-        running.processAllAvailable()
-        running.stop()
+        running.awaitTermination()
     return f"{folder}/out"
 
 
@@ -951,9 +959,9 @@ def t3_live_counts(spark, sf_dir):
     return live.newest(spark, _follow(spark, sf_dir, _running))
 
 
-@query(oracle("SELECT vmm, count(*) AS n, count(*) FILTER (pkt_no >= 10) / 2::DOUBLE AS hits_per_s FROM hits GROUP BY ALL", sent=True))
+@query(oracle("SELECT vmm, count(*) AS n, count(*) FILTER (pkt_no >= 10) / 2::DOUBLE AS hits_per_s FROM hits GROUP BY GROUPING SETS ((vmm), ())", sent=True))
 def t3_live_rates(spark, sf_dir):
-    """Rates between two refreshes, two seconds apart."""
+    """Rates by chip and of all chips (null) between two refreshes, two seconds apart."""
     tables: list[DataFrame] = []
 
     def start(packets: DataFrame, path: str):
@@ -971,20 +979,42 @@ LAST = "last AS (SELECT * FROM hits ORDER BY pkt_no DESC, word_no DESC, 'capture
 
 @query(oracle("SELECT 'adc' AS hist, vmm, CAST(least(floor(adc * 20 / 1024::DOUBLE), 19) AS BIGINT) AS bin, count(*) AS n FROM last GROUP BY ALL UNION ALL SELECT 'ch' AS hist, vmm, ch AS bin, count(*) AS n FROM last GROUP BY ALL", extra=LAST, sent=True))
 def t4_t5_newest_hits(spark, sf_dir):
-    """Histograms of the newest hits, refreshed by the clock."""
-    path = _follow(spark, sf_dir, lambda packets, path: live.keep_last(live.stream_hits(packets), path, 3000, 0.5))
+    """Histograms of the newest hits."""
+    path = _follow(spark, sf_dir, lambda packets, path: live.keep_last(live.stream_hits(packets), path, 3000, None))
     return live.newest_histograms(live.newest(spark, path))
 
 
-@query(_sent("hist, vmm, bin, bin2, n FROM counts", extra=COUNTS))
+CLOSED = ["pkt_no < 10", "pkt_no < 40", "TRUE"]
+
+
+@query(oracle("SELECT 'capture-' || printf('fec_%05d_x', capture_id) || '.pcapng' AS capture_id, hist, vmm, bin, bin2, n FROM counts", extra=COUNTS, sent=True))
 def t6_rotated_captures(spark, sf_dir):
-    """Histograms of each capture as it appears."""
+    """Histograms of captures that grow over three refreshes, each reduced once it is closed by a later one or at the end."""
+    folder, packets = shared_folder(spark, "live"), _packets(spark, sf_dir)
+    named = packets.withColumn("capture_id", F.format_string("fec_%05d_x", "capture_id"))
+    reduce = lambda packets, _: sinks.write_counts(histograms.build_counts(oh.to_hits(ow.to_words(packets))), f"{folder}/counts")
+    for k, part in enumerate(CLOSED):
+        capture.write_captures(named.where(part), f"{folder}/captures")
+        closed = capture.read_closed(spark, f"{folder}/captures/*.pcapng", still=0 if k == len(CLOSED) - 1 else 1000)
+        live.each_closed(closed, f"{folder}/out", reduce, None).awaitTermination()
+    return sinks.read_counts(spark, f"{folder}/counts")
+
+
+def _sent_twice(spark: SparkSession, sf_dir: str, keep: Callable) -> DataFrame:
+    """The last table of a stream of histograms by capture: first of some hits of each, then of every second capture, then of all, one of them twice."""
+    folder, hits = shared_folder(spark, "live"), stored(_raw(spark, sf_dir), "hits")
+    for part in ("pkt_no < 30", "capture_id % 2 = 0", "TRUE", "capture_id = 0"):
+        counts = histograms.build_counts(hits.where(part)).coalesce(1)
+        counts.write.mode("append").parquet(f"{folder}/counts")
+        sent = spark.readStream.schema(counts.schema).parquet(f"{folder}/counts")
+        keep(sent, f"{folder}/out").awaitTermination()
+    return live.newest(spark, f"{folder}/out/totals")
 
-    def start(packets: DataFrame, path: str):
-        reduce = lambda batch, _: sinks.write_counts(histograms.build_counts(oh.to_hits(ow.to_words(batch))), f"{path}/counts")
-        return live.each_capture(packets, path, reduce, None)
 
-    return sinks.read_counts(spark, f"{_follow(spark, sf_dir, start, 'capture_id % 2 = 0')}/counts")
+@query(oracle("SELECT hist, vmm, bin, bin2, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL", extra=COUNTS))
+def t7_resent_captures(spark, sf_dir):
+    """Running totals over captures; those that are reduced again replace their part."""
+    return _sent_twice(spark, sf_dir, lambda sent, path: live.keep_totals(sent, path, None))
 
 
 @query(oracle("SELECT hist, vmm, bin, bin2, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY ALL", extra=COUNTS))
