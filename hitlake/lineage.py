@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FEW = 500_000  # rows of a few numbers that are broadcast
 
 
 def _base(spark: SparkSession) -> str:
@@ -35,6 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, computed once, to be broadcast in joins if it has at most ``most`` rows; else they shuffle."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import bits
 from ..functions.stats import bin_index
+from ..lineage import small
 
 TIME_BINS = 200
 # Bins of each family, for dense output.
@@ -17,8 +18,8 @@ BINS = {"adc": 1024, "adc_ot0": 1024, "adc_ot1": 1024, "ch": 64, "bcid": 4096, "
 
 def build_counts(hits: DataFrame) -> DataFrame:
     """All families of a hit table, with zero rows left out. adc_vs_ch has the channel in bin and adc / 8 in bin2."""
-    span = hits.groupBy("capture_id").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
-    rows = hits.select("capture_id", "vmm", "ch", "adc", "over_threshold", "offset", "bcid", "tdc", "time").join(F.broadcast(span), "capture_id")
+    span = small(hits.groupBy("capture_id").agg(F.min("time").alias("t0"), F.max("time").alias("t1")))
+    rows = hits.select("capture_id", "vmm", "ch", "adc", "over_threshold", "offset", "bcid", "tdc", "time").join(span, "capture_id")
     slot = F.floor((F.col("time") - F.col("t0")) * TIME_BINS / F.greatest(F.col("t1") - F.col("t0"), F.lit(1)))
     nil = F.lit(-1)
     entry = lambda name, b, b2=nil: F.struct((F.lit(name) if isinstance(name, str) else name).alias("hist"), b.cast("int").alias("bin"), b2.cast("int").alias("bin2"))
@@ -81,7 +82,7 @@ def histogram(df: DataFrame, column: str | Column, bins: int, lo: float | None =
     if lo is None or hi is None:
         own = rows.groupBy(*by).agg(F.min("x").alias("a"), F.max("x").alias("b"))
         own = own.select(*by, F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
-        rows = rows.join(F.broadcast(own), list(by)) if by else rows.crossJoin(F.broadcast(own))
+        rows = rows.join(small(own), list(by)) if by else rows.crossJoin(F.broadcast(own))
     else:
         rows = rows.withColumns({"a": F.lit(float(lo)), "b": F.lit(float(hi))})
     binned = rows.withColumn("bin", bin_index(F.col("x"), F.col("a"), F.col("b"), bins)).where("bin IS NOT NULL")
@@ -92,7 +93,7 @@ def width_histogram(df: DataFrame, column: str, width: int, by: tuple[str, ...]
     """histogram over the data's range with int((max - min) / width) bins, at least one."""
     rows = df.select(*by, F.col(column).cast("double").alias("x"))
     own = rows.groupBy(*by).agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("bins", F.greatest(F.lit(1), F.floor((F.col("b") - F.col("a")) / width)))
-    joined = rows.join(F.broadcast(own), list(by)) if by else rows.crossJoin(F.broadcast(own))
+    joined = rows.join(small(own), list(by)) if by else rows.crossJoin(F.broadcast(own))
     at = F.when(F.col("a") == F.col("b"), F.lit(0).cast("long")).otherwise(bin_index(F.col("x"), F.col("a"), F.col("b"), F.col("bins")))
     return joined.withColumn("bin", at).groupBy(*by, "bin", "bins").agg(F.count("*").alias("n"))
 
@@ -131,4 +132,14 @@ def qa_ranged(hits: DataFrame, bins: int = TIME_BINS) -> DataFrame:
     own = rows.groupBy("capture_id", "hist").agg(F.min("x").alias("a"), F.max("x").alias("b")).where("b > a")
     own = own.withColumn("bins", F.when(F.col("hist") == "trigger_counter", F.least(F.lit(bins), (F.col("b") - F.col("a") + 1).cast("int"))).otherwise(F.lit(bins)))
     at = bin_index(F.col("x"), F.col("a"), F.col("b"), F.col("bins"))
-    return rows.join(F.broadcast(own), ["capture_id", "hist"]).withColumn("bin", at).groupBy("capture_id", "hist", "bin").agg(F.count("*").alias("n"))
+    return rows.join(small(own), ["capture_id", "hist"]).withColumn("bin", at).groupBy("capture_id", "hist", "bin").agg(F.count("*").alias("n"))
+
+
+def qa_calibrated(hits: DataFrame, bins: int = FIXED["adc"][1]) -> DataFrame:
+    """capture_id, vmm, bin, n of the calibrated ADC, in equal bins over the capture's own range."""
+    x = F.col("adc_calibrated").cast("double")
+    own = hits.groupBy("capture_id").agg(F.min(x).alias("low"), F.max(x).alias("high"))
+    same = F.col("low") == F.col("high")
+    own = own.select("capture_id", F.when(same, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"), F.when(same, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"))
+    rows = hits.join(small(own), "capture_id").select("capture_id", "vmm", bin_index(x, F.col("low"), F.col("high"), bins).alias("bin"))
+    return rows.groupBy("capture_id", "vmm", "bin").agg(F.count("*").alias("n"))

@@ -13,23 +13,29 @@ from .geometry import cabling, channels, neighbours, with_geometry
 from .masks import occupancy
 
 
-def hit_map(hits: DataFrame, pads: DataFrame) -> DataFrame:
-    """station, vmm, ch, pad_cx, pad_cy, n of every mapped pad, 0 without hits."""
-    lit = pads.where("mapped").select("station", "vmm", "ch", "pad_cx", "pad_cy")
-    return lit.join(occupancy(hits), ["vmm", "ch"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+CAPTURE = ("capture_id",)
+
+
+def hit_map(hits: DataFrame, pads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, station, vmm, ch, pad_cx, pad_cy, n of every mapped pad, 0 without hits; by capture if ``by`` has capture_id."""
+    lit = F.broadcast(pads.where("mapped").select("station", "vmm", "ch", "pad_cx", "pad_cy"))
+    counts = occupancy(hits, *by)
+    every = counts.select(*by).distinct().crossJoin(lit) if by else lit
+    return every.join(counts, [*by, "vmm", "ch"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def hit_maps(hits: DataFrame, in_time: DataFrame, pads: DataFrame) -> DataFrame:
-    """hit_map with n_all (all hits but the trigger chip's) and n_in_time."""
-    every = hit_map(hits, pads).withColumnRenamed("n", "n_all")
-    return every.join(hit_map(in_time, pads).select("vmm", "ch", F.col("n").alias("n_in_time")), ["vmm", "ch"])
+    """hit_map of each capture with n_all (all hits but the trigger chip's) and n_in_time."""
+    every = hit_map(hits, pads, CAPTURE).withColumnRenamed("n", "n_all")
+    counts = occupancy(in_time, *CAPTURE).withColumnRenamed("n", "n_in_time")
+    return every.join(counts, [*CAPTURE, "vmm", "ch"], "left").withColumn("n_in_time", F.coalesce("n_in_time", F.lit(0)))
 
 
 def _weighted(counts: DataFrame, by: list[str]) -> DataFrame:
     """n, means and population variances of pad_cx and pad_cy, weighted by n."""
     n, x, y = F.sum("n"), F.col("pad_cx"), F.col("pad_cy")
     means = counts.groupBy(*by).agg(n.alias("hits"), (F.sum(x * F.col("n")) / n).alias("mx"), (F.sum(y * F.col("n")) / n).alias("my"))
-    rows = counts.join(F.broadcast(means), by)
+    rows = counts.join(means, by)
     return rows.groupBy(*by, "hits", "mx", "my").agg((F.sum(F.col("n") * (x - F.col("mx")) * (x - F.col("mx"))) / F.col("hits")).alias("vx"), (F.sum(F.col("n") * (y - F.col("my")) * (y - F.col("my"))) / F.col("hits")).alias("vy"))
 
 
@@ -40,22 +46,22 @@ def beam_spread(hits: DataFrame, pads: DataFrame) -> DataFrame:
 
 
 def beam_profile(in_time: DataFrame, pads: DataFrame, least: int = 20) -> DataFrame:
-    """station, n_in_time, means and population deviations of x and y; null under ``least`` hits."""
-    stats = _weighted(hit_map(in_time, pads).where("n > 0"), ["station"])
+    """capture_id, station, n_in_time, means and population deviations of x and y; null under ``least`` hits."""
+    stats = _weighted(hit_map(in_time, pads, CAPTURE).where("n > 0"), [*CAPTURE, "station"])
     some = lambda c: F.when(F.col("hits") >= least, c)
-    return stats.select("station", F.col("hits").alias("n_in_time"), some(F.col("mx")).alias("x_mean_mm"), some(F.sqrt("vx")).alias("x_rms_mm"), some(F.col("my")).alias("y_mean_mm"), some(F.sqrt("vy")).alias("y_rms_mm"))
+    return stats.select(*CAPTURE, "station", F.col("hits").alias("n_in_time"), some(F.col("mx")).alias("x_mean_mm"), some(F.sqrt("vx")).alias("x_rms_mm"), some(F.col("my")).alias("y_mean_mm"), some(F.sqrt("vy")).alias("y_rms_mm"))
 
 
 def profile_histogram(in_time: DataFrame, pads: DataFrame, bins: int = 60, least: int = 20) -> DataFrame:
-    """station, axis, bin, n over each station's own range."""
-    counts = hit_map(in_time, pads).where("n > 0")
+    """capture_id, station, axis, bin, n over each capture's and station's own range."""
+    counts, by = hit_map(in_time, pads, CAPTURE).where("n > 0"), [*CAPTURE, "station", "axis"]
     axes = F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("pad_cx").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("pad_cy").alias("v"))))
-    rows = counts.select("station", "n", axes.alias("e")).select("station", "n", "e.axis", "e.v")
-    own = rows.groupBy("station", "axis").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.sum("n").alias("hits")).where(F.col("hits") >= least)
+    rows = counts.select(*CAPTURE, "station", "n", axes.alias("e")).select(*CAPTURE, "station", "n", "e.axis", "e.v")
+    own = rows.groupBy(*by).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.sum("n").alias("hits")).where(F.col("hits") >= least)
     wide = F.col("b") > F.col("a")
-    own = own.select("station", "axis", F.when(wide, F.col("a")).otherwise(F.col("a") - 0.5).alias("a"), F.when(wide, F.col("b")).otherwise(F.col("b") + 0.5).alias("b"))
-    binned = rows.join(F.broadcast(own), ["station", "axis"]).withColumn("bin", bin_index(F.col("v"), F.col("a"), F.col("b"), bins))
-    return binned.groupBy("station", "axis", "bin").agg(F.sum("n").alias("n"))
+    own = own.select(*by, F.when(wide, F.col("a")).otherwise(F.col("a") - 0.5).alias("a"), F.when(wide, F.col("b")).otherwise(F.col("b") + 0.5).alias("b"))
+    binned = rows.join(own, by).withColumn("bin", bin_index(F.col("v"), F.col("a"), F.col("b"), bins))
+    return binned.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
 
 
 def _roughness(lit: DataFrame, near: DataFrame, by: list[str], min_frac: float) -> DataFrame:
@@ -104,7 +110,7 @@ def scan_wiring_per_half(hits: DataFrame, geometry: DataFrame, base: str = STRAT
     by = ["station", "connector", "half", "vmm", "strategy"]
     scored = tried.withColumn("away", away).groupBy(*by).agg(F.percentile("away", 0.5, F.col("n")).alias("distance"))
     order = F.array_position(F.array(*map(F.lit, STRATEGIES)), F.col("strategy"))
-    w = Window.partitionBy("vmm").orderBy("distance", order)
+    w = Window.partitionBy("vmm").orderBy(F.round("distance", 9), order)
     return scored.withColumn("picked", F.row_number().over(w) == 1)
 
 

@@ -57,7 +57,9 @@ def xy_image(hits: DataFrame, x_vmms: tuple[int, ...] = X_VMMS, y_vmms: tuple[in
     grid = groups.withColumn("y", axis).withColumn("x", axis)
     x = strip_counts(hits, x_vmms, by).withColumnsRenamed({"chno": "x", "n": "nx"})
     y = strip_counts(hits, y_vmms, by).withColumnsRenamed({"chno": "y", "n": "ny"})
-    out = grid.join(F.broadcast(x), [*by, "x"], "left").join(F.broadcast(y), [*by, "y"], "left")
+    if not by:  # of ``size`` rows
+        x, y = F.broadcast(x), F.broadcast(y)
+    out = grid.join(x, [*by, "x"], "left").join(y, [*by, "y"], "left")
     return out.select(*by, "y", "x", (F.coalesce("ny", F.lit(0)) + F.coalesce("nx", F.lit(0))).cast("double").alias("intensity"))
 
 

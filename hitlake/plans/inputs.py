@@ -1,7 +1,8 @@
 """Detector inputs that Spark derives from the ``events`` table, with the same SQL for both engines.
 
 Every 100 events make a block: 20 markers (chips 0-19), then 20 groups of one trigger hit and one hit in each station.
-Four fifths of the station hits are in time with their trigger, one in a hundred has an invalid offset.
+Four fifths of the station hits are in time with their trigger, one in a hundred has an invalid offset. In every second
+capture one channel of the second station is hot: every thirteenth of the station's hits is its.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ e AS (SELECT event_id AS i, user_id AS u, CAST(round(value*100) AS BIGINT) AS v,
 p AS (SELECT i,u,v,k, CAST(floor(i/5000) AS BIGINT) AS capture_id, CAST(floor((i%5000)/50) AS BIGINT) AS pkt_no, i%50 AS word_no,
              CAST(floor(i/100) AS BIGINT) AS blk, i%100 AS r, CAST(floor(((i%100)-20)/4) AS BIGINT) AS g, ((i%100)-20)%4 AS role FROM e),
 q AS (SELECT *, ((blk*20+g)*389)%3800 + 10 AS t FROM p),
-h AS (SELECT *, CASE WHEN role=0 THEN 0 ELSE role*6-4+u%6 END AS vmm,
-             CASE WHEN role=0 THEN 44 ELSE k%64 END AS ch,
+h AS (SELECT *, CASE WHEN role=0 THEN 0 WHEN role=2 AND v%13=0 AND capture_id%2=0 THEN 10 ELSE role*6-4+u%6 END AS vmm,
+             CASE WHEN role=0 THEN 44 WHEN role=2 AND v%13=0 AND capture_id%2=0 THEN 33 ELSE k%64 END AS ch,
              CASE WHEN role=0 THEN t WHEN v%10<2 THEN (v*37)%4096 ELSE t+(CASE WHEN role=1 THEN 8 ELSE 5 END)+v%3-1 END AS b,
              CASE WHEN v%97=0 THEN CAST(16 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS rawoff FROM q WHERE r>=20),
 hw AS (SELECT capture_id,pkt_no,word_no,

@@ -57,13 +57,17 @@ lit AS (SELECT p.station, p.vmm, p.ch, pad_cx, pad_cy, coalesce(n, 0) AS n FROM
 near AS (SELECT * FROM (SELECT a.station, a.vmm, a.ch, b.vmm AS n_vmm, b.ch AS n_ch, row_number() OVER (PARTITION BY a.vmm, a.ch ORDER BY sqrt((a.pad_cx - b.pad_cx) * (a.pad_cx - b.pad_cx) + (a.pad_cy - b.pad_cy) * (a.pad_cy - b.pad_cy)), b.vmm, b.ch) AS rank
   FROM pads a JOIN pads b ON a.station = b.station AND NOT (a.vmm = b.vmm AND a.ch = b.ch) WHERE a.mapped AND b.mapped) x WHERE rank <= 6),
 med AS (SELECT near.station, near.vmm, near.ch, median(lit.n) AS med FROM near JOIN lit ON lit.vmm = n_vmm AND lit.ch = n_ch GROUP BY ALL),
-hot_channels AS (SELECT vmm, ch FROM (SELECT *, sum(n) OVER (PARTITION BY vmm) AS total, median(n) OVER (PARTITION BY vmm) AS m FROM occ) x WHERE total >= 200 AND n > 8 * m),
-hot_pads AS (SELECT lit.vmm, lit.ch FROM lit JOIN med ON lit.vmm = med.vmm AND lit.ch = med.ch WHERE n >= 50 AND n > 6 * greatest(med.med, 1)),
-noisy AS (SELECT * FROM (VALUES {", ".join(map(str, NOISY_CHANNELS))}) t(vmm, ch)),
-mask AS (SELECT vmm, ch FROM noisy UNION SELECT vmm, ch FROM hot_channels UNION SELECT vmm, ch FROM hot_pads),
-masked AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44))),
-channel_mask AS (SELECT vmm, ch FROM noisy UNION SELECT vmm, ch FROM hot_channels),
-channel_masked AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM channel_mask m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)))"""
+caps AS (SELECT DISTINCT capture_id FROM hits),
+occ_c AS (SELECT capture_id, vmm, ch, count(*) AS n FROM hits GROUP BY ALL),
+lit_c AS (SELECT c.capture_id, p.station, p.vmm, p.ch, coalesce(n, 0) AS n FROM caps c CROSS JOIN (SELECT station, vmm, ch FROM pads WHERE mapped) p LEFT JOIN occ_c o ON o.capture_id = c.capture_id AND o.vmm = p.vmm AND o.ch = p.ch),
+med_c AS (SELECT l.capture_id, near.vmm, near.ch, median(l.n) AS med FROM near JOIN lit_c l ON l.vmm = n_vmm AND l.ch = n_ch GROUP BY ALL),
+hot_channels AS (SELECT capture_id, vmm, ch FROM (SELECT *, sum(n) OVER (PARTITION BY capture_id, vmm) AS total, median(n) OVER (PARTITION BY capture_id, vmm) AS m FROM occ_c) x WHERE total >= 200 AND n > 8 * m),
+hot_pads AS (SELECT l.capture_id, l.vmm, l.ch FROM lit_c l JOIN med_c m ON l.capture_id = m.capture_id AND l.vmm = m.vmm AND l.ch = m.ch WHERE n >= 50 AND n > 6 * greatest(m.med, 1)),
+noisy AS (SELECT capture_id, vmm, ch FROM caps, (VALUES {", ".join(map(str, NOISY_CHANNELS))}) t(vmm, ch)),
+mask AS (SELECT * FROM noisy UNION SELECT * FROM hot_channels UNION SELECT * FROM hot_pads),
+masked AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.capture_id = h.capture_id AND m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44))),
+channel_mask AS (SELECT * FROM noisy UNION SELECT * FROM hot_channels),
+channel_masked AS (SELECT h.* FROM hits h WHERE NOT EXISTS (SELECT 1 FROM channel_mask m WHERE m.capture_id = h.capture_id AND m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)))"""
 FOLD = "list_reduce(list_transform(list_sort(list_distinct(list({p}))), lambda x: [x]), lambda acc, x: CASE WHEN x[1] - acc[-1] > {dead} THEN list_concat(acc, x) ELSE acc END)"
 
 

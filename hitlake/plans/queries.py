@@ -57,6 +57,18 @@ def _mask(spark: SparkSession, hits: DataFrame) -> DataFrame:
     return masks.auto_mask(hits, _pads(spark))
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-time hits without noisy and hot channels: hot pads are judged by the very wiring that scans search."""
+    hits = _hits(spark, sf_dir)
+    return _in_time(spark, masks.apply_mask(hits, masks.auto_mask(hits))[0])
+
+
+def _unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits without noisy and hot channels and hot pads."""
+    hits = _hits(spark, sf_dir)
+    return masks.apply_mask(hits, _mask(spark, hits))[0]
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coincidence.build_groups(_hits(spark, sf_dir), geometry.cabling(spark))
 
@@ -434,12 +446,15 @@ def a13_corrupt_counts(spark, sf_dir):
     return rows.groupBy("vmm").agg(F.sum("n").alias("n"))
 
 
-HOT = "SELECT vmm, ch FROM (SELECT *, sum(n) OVER (PARTITION BY vmm) AS total, median(n) OVER (PARTITION BY vmm) AS m FROM occ) x WHERE total >= 100 AND n > 1.5 * m"
+@query(oracle("SELECT * FROM hot_channels"))
+def a14_hot_channels(spark, sf_dir):
+    return masks.auto_hot_channels(_raw(spark, sf_dir))
 
 
-@query(oracle(HOT))
-def a14_hot_channels(spark, sf_dir):
-    return masks.auto_hot_channels(_raw(spark, sf_dir), ratio=1.5, min_hits=100)
+@query(oracle("SELECT capture_id, vmm, ch FROM (SELECT *, sum(n) OVER (PARTITION BY capture_id, vmm) AS total, median(n) OVER (PARTITION BY capture_id, vmm) AS m FROM occ_c) x WHERE total >= 50 AND n > 1.5 * m"))
+def a14_warm_channels(spark, sf_dir):
+    """With lower limits, so that more channels pass."""
+    return masks.auto_hot_channels(_raw(spark, sf_dir), ratio=1.5, min_hits=50)
 
 
 @query(oracle("SELECT vmm, ch, round(share, 9) AS share FROM (SELECT *, n / sum(n) OVER (PARTITION BY vmm) AS share FROM occ) x WHERE share >= 0.8 ORDER BY share DESC, vmm, ch LIMIT 1"))
@@ -505,7 +520,7 @@ def _analysis_sql(window: float, mask: str = "mask") -> str:
     """The tables up to ``analysed``: fit, counts, efficiency and masked hits of each capture and station."""
     of_fit = "fit ON fit.capture_id = {0}.capture_id AND fit.station = {0}.station"
     return f"""{spectra(window)}, {fits(window)}, {_trig(of_fit.format("g"))}, {EFF0.format(of_fit.format("cnt"))}, {EFF.partition("),")[2].strip()},
-lost AS (SELECT capture_id, count(*) AS n FROM hits h WHERE EXISTS (SELECT 1 FROM {mask} m WHERE m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)) GROUP BY 1),
+lost AS (SELECT capture_id, count(*) AS n FROM hits h WHERE EXISTS (SELECT 1 FROM {mask} m WHERE m.capture_id = h.capture_id AND m.vmm = h.vmm AND m.ch = h.ch AND NOT (m.vmm = 0 AND m.ch = 44)) GROUP BY 1),
 analysed AS (SELECT eff.* EXCLUDE (z, centre, half), fit.* EXCLUDE (capture_id, station, mu, sigma), mu AS mu_ns, sigma AS sigma_ns, z_mm, coalesce(lost.n, 0) AS n_masked_hits, raw_efficiency - accidental_efficiency AS efficiency, (raw_efficiency - accidental_efficiency) / (1 - accidental_efficiency) AS efficiency_corrected, greatest(0, greatest(0, centre - half) - accidental_efficiency) AS efficiency_lo, least(1, least(1, centre + half) - accidental_efficiency) AS efficiency_hi
  FROM eff JOIN {of_fit.format("eff")} JOIN (SELECT DISTINCT station AS st, z_mm FROM cabling) z ON st = eff.station LEFT JOIN lost ON lost.capture_id = eff.capture_id)"""
 
@@ -538,19 +553,24 @@ def a28_map_roughness(spark, sf_dir):
     return r.select("station", F.round("roughness", 9).alias("roughness"))
 
 
-@query(oracle("SELECT lit.vmm, lit.ch FROM lit JOIN med ON lit.vmm = med.vmm AND lit.ch = med.ch WHERE n >= 5 AND n > 1.5 * greatest(med.med, 1)"))
+@query(oracle("SELECT * FROM hot_pads"))
 def a29_hot_pads(spark, sf_dir):
-    return masks.auto_hot_pads(_raw(spark, sf_dir), _pads(spark), ratio=1.5, min_hits=5)
+    return masks.auto_hot_pads(_raw(spark, sf_dir), _pads(spark))
+
+
+@query(oracle("SELECT l.capture_id, l.vmm, l.ch FROM lit_c l JOIN med_c m ON l.capture_id = m.capture_id AND l.vmm = m.vmm AND l.ch = m.ch WHERE n >= 3 AND n > 1.5 * greatest(m.med, 1)"))
+def a29_warm_pads(spark, sf_dir):
+    """With lower limits, so that more pads pass."""
+    return masks.auto_hot_pads(_raw(spark, sf_dir), _pads(spark), ratio=1.5, min_hits=3)
 
 
 WIRING = "wire AS (SELECT strategy, lower AS bottom_half, station, CASE WHEN count(*) >= 100 THEN sqrt(var_pop(pad_cx) + var_pop(pad_cy)) END AS spread FROM in_time h JOIN all_pads p USING (vmm, ch, station) WHERE mapped GROUP BY ALL)"
 
 
-@query(oracle("SELECT strategy, bottom_half, station, round(spread, 6) AS spread, round(avg(spread) OVER (PARTITION BY strategy, bottom_half), 6) AS mean_spread FROM wire", extra=WIRING))
+@query(oracle("SELECT strategy, bottom_half, station, round(spread, 6) AS spread, round(mean, 6) AS mean_spread, coalesce(round(mean, 9) = min(round(mean, 9)) OVER (), FALSE) AS best FROM (SELECT *, avg(spread) OVER (PARTITION BY strategy, bottom_half) AS mean FROM wire) x", extra=WIRING, source="channel_masked"))
 def a30_wiring_scan(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
-    r = maps.scan_wiring(_in_time(spark, hits), inputs.pad_geometry(spark))
-    return r.select("strategy", "bottom_half", "station", F.round("spread", 6).alias("spread"), F.round("mean_spread", 6).alias("mean_spread"))
+    r = maps.scan_wiring(_scanned(spark, sf_dir), inputs.pad_geometry(spark))
+    return r.select("strategy", "bottom_half", "station", F.round("spread", 6).alias("spread"), F.round("mean_spread", 6).alias("mean_spread"), "best")
 
 
 HALVES = """pp AS (SELECT c.vmm, c.ch, c.station, c.connector, c.half, s.strategy, g.pad_cx, g.pad_cy FROM (SELECT DISTINCT vmm, ch, station, connector, half, sector FROM channels) c, (VALUES ('linear'), ('reverse'), ('pairswap')) s(strategy)
@@ -559,40 +579,39 @@ ctr AS (SELECT pp.station, median(pad_cx) AS cx, median(pad_cy) AS cy FROM in_ti
 tried AS (SELECT pp.station, connector, half, pp.vmm, strategy, median(sqrt((pad_cx - cx) * (pad_cx - cx) + (pad_cy - cy) * (pad_cy - cy))) AS distance FROM in_time h JOIN pp ON pp.vmm = h.vmm AND pp.ch = h.ch JOIN ctr ON ctr.station = pp.station WHERE pp.vmm IN (SELECT vmm FROM in_time GROUP BY 1 HAVING count(*) >= 50) GROUP BY ALL)"""
 
 
-@query(oracle("SELECT station, connector, half, vmm, strategy, round(distance, 6) AS distance FROM tried", extra=HALVES))
+@query(oracle("SELECT station, connector, half, vmm, strategy, round(distance, 6) AS distance, row_number() OVER (PARTITION BY vmm ORDER BY round(distance, 9), list_position(['linear', 'reverse', 'pairswap'], strategy)) = 1 AS picked FROM tried", extra=HALVES, source="channel_masked"))
 def a31_wiring_per_half(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
-    r = maps.scan_wiring_per_half(_in_time(spark, hits), inputs.pad_geometry(spark))
-    return r.select("station", "connector", "half", "vmm", "strategy", F.round("distance", 6).alias("distance"))
+    r = maps.scan_wiring_per_half(_scanned(spark, sf_dir), inputs.pad_geometry(spark))
+    return r.select("station", "connector", "half", "vmm", "strategy", F.round("distance", 6).alias("distance"), "picked")
 
 
 @query()
 def a32_wiring_roughness(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
-    # no hot pads in the mask: they are judged by the very wiring that is searched
-    kept, _ = masks.apply_mask(hits, masks.merge_masks(masks.noisy_channels(spark), masks.auto_hot_channels(hits)))
-    best = maps.scan_wiring_roughness(_in_time(spark, kept), inputs.pad_geometry(spark), passes=2)
+    best = maps.scan_wiring_roughness(_scanned(spark, sf_dir), inputs.pad_geometry(spark), passes=2)
     return spark.createDataFrame([(*k, v) for k, v in sorted(best.items())], "station string, connector int, half string, strategy string")
 
 
-@query(oracle("SELECT h.station, count(*) AS n_in_time, round(avg(pad_cx), 6) AS x_mean_mm, round(stddev_pop(pad_cx), 6) AS x_rms_mm, round(avg(pad_cy), 6) AS y_mean_mm, round(stddev_pop(pad_cy), 6) AS y_rms_mm FROM in_time h JOIN pads p ON p.vmm = h.vmm AND p.ch = h.ch WHERE mapped GROUP BY 1"))
+BEAM = "beam AS (SELECT h.capture_id, h.station, count(*) AS n_in_time, round(avg(pad_cx), 6) AS x_mean_mm, round(stddev_pop(pad_cx), 6) AS x_rms_mm, round(avg(pad_cy), 6) AS y_mean_mm, round(stddev_pop(pad_cy), 6) AS y_rms_mm FROM in_time h JOIN pads p ON p.vmm = h.vmm AND p.ch = h.ch WHERE mapped GROUP BY 1, 2)"
+
+
+@query(oracle("SELECT * FROM beam", extra=BEAM, source="masked"))
 def a33_beam_profile(spark, sf_dir):
-    r = maps.beam_profile(_in_time(spark, _hits(spark, sf_dir)), _pads(spark))
-    return r.select("station", "n_in_time", *(F.round(c, 6).alias(c) for c in ("x_mean_mm", "x_rms_mm", "y_mean_mm", "y_rms_mm")))
+    r = maps.beam_profile(_in_time(spark, _unmasked(spark, sf_dir)), _pads(spark))
+    return r.select("capture_id", "station", "n_in_time", *(F.round(c, 6).alias(c) for c in ("x_mean_mm", "x_rms_mm", "y_mean_mm", "y_rms_mm")))
 
 
-PROFILE = "pr AS (SELECT h.station, 'x' AS axis, pad_cx AS v FROM in_time h JOIN pads p ON p.vmm = h.vmm AND p.ch = h.ch WHERE mapped UNION ALL SELECT h.station, 'y', pad_cy FROM in_time h JOIN pads p ON p.vmm = h.vmm AND p.ch = h.ch WHERE mapped), pw AS (SELECT *, min(v) OVER w AS a, max(v) OVER w AS b FROM pr WINDOW w AS (PARTITION BY station, axis))"
+PROFILE = "pr AS (SELECT h.capture_id, h.station, 'x' AS axis, pad_cx AS v FROM in_time h JOIN pads p ON p.vmm = h.vmm AND p.ch = h.ch WHERE mapped UNION ALL SELECT h.capture_id, h.station, 'y', pad_cy FROM in_time h JOIN pads p ON p.vmm = h.vmm AND p.ch = h.ch WHERE mapped), pw AS (SELECT *, min(v) OVER w AS a, max(v) OVER w AS b FROM pr WINDOW w AS (PARTITION BY capture_id, station, axis))"
 
 
-@query(oracle("SELECT station, axis, CAST(least(floor((v - a) * 60 / (b - a)), 59) AS BIGINT) AS bin, count(*) AS n FROM pw GROUP BY ALL", extra=PROFILE))
+@query(oracle("SELECT capture_id, station, axis, CAST(least(floor((v - a) * 60 / (b - a)), 59) AS BIGINT) AS bin, count(*) AS n FROM pw GROUP BY ALL", extra=PROFILE, source="masked"))
 def a33_profile_histogram(spark, sf_dir):
-    return maps.profile_histogram(_in_time(spark, _hits(spark, sf_dir)), _pads(spark))
+    return maps.profile_histogram(_in_time(spark, _unmasked(spark, sf_dir)), _pads(spark))
 
 
-@query(oracle("SELECT l.station, l.vmm, l.ch, l.n AS n_all, coalesce(t.n, 0) AS n_in_time FROM lit l LEFT JOIN (SELECT vmm, ch, count(*) AS n FROM in_time GROUP BY ALL) t ON t.vmm = l.vmm AND t.ch = l.ch"))
+@query(oracle("SELECT l.capture_id, l.station, l.vmm, l.ch, coalesce(a.n, 0) AS n_all, coalesce(t.n, 0) AS n_in_time FROM lit_c l LEFT JOIN (SELECT capture_id, vmm, ch, count(*) AS n FROM masked WHERE vmm <> 0 GROUP BY ALL) a ON a.capture_id = l.capture_id AND a.vmm = l.vmm AND a.ch = l.ch LEFT JOIN (SELECT capture_id, vmm, ch, count(*) AS n FROM in_time GROUP BY ALL) t ON t.capture_id = l.capture_id AND t.vmm = l.vmm AND t.ch = l.ch", source="masked"))
 def a34_hit_maps(spark, sf_dir):
-    hits = _hits(spark, sf_dir)
-    return maps.hit_maps(hits.where("vmm <> 0"), _in_time(spark, hits), _pads(spark)).select("station", "vmm", "ch", "n_all", "n_in_time")
+    hits = _unmasked(spark, sf_dir)
+    return maps.hit_maps(hits.where("vmm <> 0"), _in_time(spark, hits), _pads(spark)).select("capture_id", "station", "vmm", "ch", "n_all", "n_in_time")
 
 
 def _fixed_sql() -> str:
@@ -619,6 +638,27 @@ def a36_qa_ranged_histograms(spark, sf_dir):
     return histograms.qa_ranged(_hits(spark, sf_dir, data_format="TRG"))
 
 
+@query(oracle("SELECT capture_id, vmm, CAST(least(floor((x - a) * 100 / (b - a)), 99) AS BIGINT) AS bin, count(*) AS n FROM (SELECT *, min(x) OVER (PARTITION BY capture_id) AS a, max(x) OVER (PARTITION BY capture_id) AS b FROM (SELECT h.capture_id, h.vmm, CAST(CAST(adc_slope * adc + adc_offset AS FLOAT) AS DOUBLE) AS x FROM raw h JOIN cal ON cal.vmm = h.vmm AND cal.ch = h.ch) y) z GROUP BY ALL"))
+def a36_qa_calibrated_adc(spark, sf_dir):
+    return histograms.qa_calibrated(oh.derive(_raw(spark, sf_dir), inputs.calibration(spark)))
+
+
+def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of each capture with efficiency and beam profile, by the windows of the masked hits."""
+    hits, meta = _meta(spark, sf_dir)
+    kept = masks.apply_mask(hits, _mask(spark, hits))[0]
+    eff = coincidence.group_efficiency(coincidence.build_groups(kept, geometry.cabling(spark)), inputs.windows(kept))
+    analysis = eff.withColumns({"mu_ns": F.lit(135.0), "sigma_ns": F.lit(20.0), "contrast": F.lit(9.0)})
+    return scalars.events_summary(hits, meta, analysis, maps.beam_profile(_in_time(spark, kept), _pads(spark)))
+
+
+@query(oracle("SELECT b.*, n_triggers_dedup, round(raw_efficiency - accidental_efficiency, 9) AS efficiency FROM beam b JOIN (SELECT *, max(n_triggers) OVER (PARTITION BY capture_id) AS n_triggers_dedup FROM eff) e ON e.capture_id = b.capture_id AND e.station = b.station", extra=f"{TRIG}, {EFF}, {BEAM}", source="masked"))
+def a37_events_profiles(spark, sf_dir):
+    names = ["n_in_time", "x_mean_mm", "x_rms_mm", "y_mean_mm", "y_rms_mm"]
+    rows = _summary(spark, sf_dir).select("capture_id", "n_triggers_dedup", "efficiency", F.explode("beam_profile").alias("station", "p"))
+    return rows.select("capture_id", "station", "n_triggers_dedup", F.round(F.col("efficiency")[F.col("station")]["efficiency"], 9).alias("efficiency"), "p.n_in_time", *(F.round(f"p.{c}", 6).alias(c) for c in names[1:]))
+
+
 @query(oracle("SELECT capture_id, count(*) AS n_hits, count(*) FILTER (hit_valid) AS n_hits_valid, min(abs_time_ns) AS t_first_ns, max(abs_time_ns) AS t_last_ns, count(*) FILTER (vmm = 9) AS hits_vmm9 FROM hits GROUP BY 1"))
 def a37_events_summary(spark, sf_dir):
     hits, meta = _meta(spark, sf_dir)
@@ -749,7 +789,7 @@ def o7_packet_range(spark, sf_dir):
     return ow.headers(ow.packet_range(_packets(spark, sf_dir), 30, 20)).select("capture_id", "pkt_no", "frame")
 
 
-@query(oracle("SELECT DISTINCT vmm, ch FROM mask"))
+@query(oracle("SELECT DISTINCT capture_id, vmm, ch FROM mask"))
 def u1_merge_masks(spark, sf_dir):
     return _mask(spark, _raw(spark, sf_dir))
 

@@ -71,7 +71,7 @@ def reduce_captures(packets: DataFrame, path: str, data_format: str = "SRS", kee
     """Hits, histograms and scalars of captures under path; without keep_hits only the latter two stay.
 
     The record holds the efficiency of each station and n_masked_hits as well; noisy and hot channels, and with pads
-    hot pads, are masked there, judged over all captures of the call.
+    hot pads, are masked there, each capture judged by itself.
     """
     from ..operators import coincidence, masks
     from ..operators.geometry import cabling
