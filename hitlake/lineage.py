@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FEW = 500_000  # rows of a few numbers that are broadcast
@@ -44,6 +44,22 @@ def small(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def numbered(df: DataFrame, order: list[str], name: str, tasks: int | None = None) -> DataFrame:
+    """df with ``name``: the place (from 0) of each row in the order of the columns ``order``, nulls first.
+
+    Rows are dealt out by ranges of the order and sorted there, each task counts its own, and the tasks' counts before
+    are added, so no task holds them all. Rows that are equal in ``order`` are numbered in any order, once.
+    """
+    ranges = df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)
+    rows = cut_lineage(ranges.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # the task, by the function's definition; the rest is the row's place in it
+    own = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a task
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = own.select("_part", F.coalesce(before, F.lit(0)).alias("_first"))
+    out = rows.withColumn("_part", part).join(F.broadcast(firsts), "_part")
+    return out.withColumn(name, F.col("_first") + F.col("_at") - F.shiftleft("_part", 33)).drop("_at", "_part", "_first")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

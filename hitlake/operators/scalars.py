@@ -68,14 +68,39 @@ def build_scalars(hits: DataFrame, counts: DataFrame, meta: DataFrame, cabling:
     return out
 
 
-def marker_cadence(hits: DataFrame) -> DataFrame:
-    """capture_id, marker_gap_ns_p50, marker_gap_ns_p99: spacing of distinct marker values of chips with more than two."""
+def marker_gaps(hits: DataFrame) -> DataFrame:
+    """capture_id, gap, n: spacing (in ticks) of distinct marker values of chips with more than two. Counts of captures add up."""
     distinct = hits.select("capture_id", "vmm", "srs_timestamp").distinct()
     w = Window.partitionBy("capture_id", "vmm")
-    gap = (F.col("srs_timestamp") - F.lag("srs_timestamp").over(w.orderBy("srs_timestamp"))) * F.lit(MARKER_NS)
+    gap = F.col("srs_timestamp") - F.lag("srs_timestamp").over(w.orderBy("srs_timestamp"))
     gaps = distinct.withColumns({"gap": gap, "values": F.count("*").over(w)}).where("values > 2 AND gap IS NOT NULL")
-    p = gaps.groupBy("capture_id").agg(F.percentile("gap", F.array(F.lit(0.5), F.lit(0.99))).alias("p"))
-    return p.select("capture_id", F.col("p")[0].alias("marker_gap_ns_p50"), F.col("p")[1].alias("marker_gap_ns_p99"), F.lit(BCID_PERIOD_NS).alias("bcid_rollover_ns"))
+    return gaps.groupBy("capture_id", "gap").agg(F.count("*").alias("n"))
+
+
+def quantiles_from_counts(counts: DataFrame, value: str, n: str, names: dict[str, float], by: tuple[str, ...]) -> DataFrame:
+    """by and a quantile (linear interpolation) for each of ``names``, exact, from how often each value occurs."""
+    rows = counts.groupBy(*by, value).agg(F.sum(n).alias("_n"))
+    w = Window.partitionBy(*by)
+    rows = rows.withColumns({"_upto": F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(w)})
+    out = []
+    for name, q in names.items():
+        place = q * (F.col("_all") - 1)
+        at = lambda k: F.min(F.when(F.col("_upto") > k, F.col(value)))
+        share = F.max(place - F.floor(place))
+        out.append((at(F.floor(place)) + share * (at(F.ceil(place)) - at(F.floor(place)))).alias(name))
+    return rows.groupBy(*by).agg(*out)
+
+
+def marker_cadence(hits: DataFrame) -> DataFrame:
+    """capture_id, marker_gap_ns_p50, marker_gap_ns_p99 of marker_gaps."""
+    return cadence_from_gaps(marker_gaps(hits))
+
+
+def cadence_from_gaps(gaps: DataFrame, by: tuple[str, ...] = ("capture_id",)) -> DataFrame:
+    """by, marker_gap_ns_p50, marker_gap_ns_p99, bcid_rollover_ns from counts of gaps, of one or of many captures."""
+    ns = gaps.withColumn("ns", F.col("gap") * F.lit(MARKER_NS))
+    found = quantiles_from_counts(ns, "ns", "n", {"marker_gap_ns_p50": 0.5, "marker_gap_ns_p99": 0.99}, by)
+    return found.withColumn("bcid_rollover_ns", F.lit(BCID_PERIOD_NS))
 
 
 def offsets_seen(hits: DataFrame) -> DataFrame:

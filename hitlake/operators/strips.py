@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import numbered, small
+
 SIZE = 124
 X_VMMS, Y_VMMS = (0, 1), (2, 3)
 
@@ -41,12 +43,9 @@ def strip_counts(hits: DataFrame, vmms: tuple[int, ...], by: tuple[str, ...] = (
 
 def batched(hits: DataFrame, size: int = 10_000) -> DataFrame:
     """Hits with batch: runs of ``size`` hits of a capture in file order; what is left at its end goes."""
-    packets = hits.groupBy("capture_id", "pkt_no").agg(F.count("*").alias("n"))  # a capture's window holds packets, not hits
-    w = Window.partitionBy("capture_id")
-    earlier = F.coalesce(F.sum("n").over(w.orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = packets.select("capture_id", "pkt_no", earlier.alias("earlier"), F.sum("n").over(w).alias("total"))
-    k = F.col("earlier") + F.row_number().over(Window.partitionBy("capture_id", "pkt_no").orderBy("word_no")) - 1
-    rows = hits.join(placed, ["capture_id", "pkt_no"]).withColumn("batch", F.floor(k / size))
+    placed = numbered(hits, ["capture_id", "pkt_no", "word_no"], "k")  # a capture spreads over many tasks
+    own = small(placed.groupBy("capture_id").agg(F.min("k").alias("first"), F.count("*").alias("total")))
+    rows = placed.join(own, "capture_id").withColumn("batch", F.floor((F.col("k") - F.col("first")) / size))
     return rows.where(F.col("batch") < F.floor(F.col("total") / size)).select(*hits.columns, "batch")
 
 

@@ -7,13 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import numbered
 
 def chronological(records: DataFrame) -> DataFrame:
     """records with idx: the place by interface and sequence number in the capture's name, else by mtime."""
     name = F.coalesce("capture", F.lit(""))
-    parts = records.withColumns({"iface": F.regexp_extract(name, r"^(.*?)_(\d+)(?:_[^_]*)?(?:\.pcapng)?$", 1), "seq": F.try_to_number(F.regexp_extract(name, r"^(.*?)_(\d+)(?:_[^_]*)?(?:\.pcapng)?$", 2), F.lit("999999999999")).cast("double")})
-    w = Window.orderBy("iface", F.coalesce("seq", F.col("mtime").cast("double"), F.lit(0.0)), "capture")
-    return parts.withColumn("idx", F.row_number().over(w) - 1).drop("iface", "seq")  # one row a capture: small
+    parts = records.withColumns({"_iface": F.regexp_extract(name, r"^(.*?)_(\d+)(?:_[^_]*)?(?:\.pcapng)?$", 1), "_seq": F.try_to_number(F.regexp_extract(name, r"^(.*?)_(\d+)(?:_[^_]*)?(?:\.pcapng)?$", 2), F.lit("999999999999")).cast("double")})
+    parts = parts.withColumn("_seq", F.coalesce("_seq", F.col("mtime").cast("double"), F.lit(0.0)))
+    return numbered(parts, ["_iface", "_seq", "capture"], "idx").drop("_iface", "_seq")
 
 
 def trend_series(records: DataFrame, values: dict[str, Column]) -> DataFrame:

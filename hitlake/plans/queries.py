@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as fb
 from ..functions import stats as fs
-from ..lineage import exists, shared_folder, stored
+from ..lineage import cut_lineage, exists, shared_folder, stored
 from ..operators import coincidence, compare, geometry, histograms, masks, maps, scalars, strips, trends, triplets
 from ..operators import hits as oh
 from ..operators import words as ow
@@ -308,6 +309,17 @@ def j7_trigger_exists(spark, sf_dir):
     return coincidence.trigger_counts(coincidence.build_groups(hits, geometry.cabling(spark)), inputs.windows(hits))
 
 
+@query(oracle("SELECT * FROM cnt", extra=TRIG))
+def s10_interval_store(spark, sf_dir):
+    """Trigger counts on hits that are stored by marker interval."""
+    table, hits = f"hits_{uuid.uuid4().hex}", _hits(spark, sf_dir)
+    sinks.write_interval_store(hits, table, 8)
+    near = spark.table(table)
+    found = cut_lineage(coincidence.trigger_counts(coincidence.build_groups(near, geometry.cabling(spark)), inputs.windows(near)))
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
 @query(oracle("SELECT capture_id, pkt_no, word_no, vmm, ch, station FROM in_time"))
 def j8_coincident_hits(spark, sf_dir):
     return _in_time(spark, _hits(spark, sf_dir)).select("capture_id", "pkt_no", "word_no", "vmm", "ch", "station")
@@ -468,6 +480,14 @@ def a16_marker_cadence(spark, sf_dir):
     return r.select("capture_id", F.round("marker_gap_ns_p50", 6).alias("p50"), F.round("marker_gap_ns_p99", 6).alias("p99"))
 
 
+@query(oracle("SELECT capture_id % 2 AS odd, round(quantile_cont(gap, 0.5), 6) AS p50, round(quantile_cont(gap, 0.99), 6) AS p99 FROM (SELECT capture_id, vmm, (srs_timestamp - lag(srs_timestamp) OVER (PARTITION BY capture_id, vmm ORDER BY srs_timestamp)) * 25::DOUBLE AS gap, count(*) OVER (PARTITION BY capture_id, vmm) AS k FROM (SELECT DISTINCT capture_id, vmm, srs_timestamp FROM hits) d) x WHERE k > 2 AND gap IS NOT NULL GROUP BY ALL"))
+def a16_merged_cadence(spark, sf_dir):
+    """The cadence of many captures together, from the counts of each."""
+    gaps = scalars.marker_gaps(_raw(spark, sf_dir)).withColumn("odd", F.col("capture_id") % 2)
+    r = scalars.cadence_from_gaps(gaps, by=("odd",))
+    return r.select("odd", F.round("marker_gap_ns_p50", 6).alias("p50"), F.round("marker_gap_ns_p99", 6).alias("p99"))
+
+
 @query(oracle("SELECT * FROM dth", extra=spectra()))
 def a17_dt_histogram(spark, sf_dir):
     return coincidence.dt_histogram(coincidence.group_dt(_groups(spark, sf_dir)), 1000.0)
@@ -493,6 +513,13 @@ def a19_fit_dt_peak(spark, sf_dir):
     return r.select("capture_id", "station", "success", *(F.round(c, 6).alias(c) for c in FIT_COLUMNS))
 
 
+@query()
+def a19_curve_fit(spark, sf_dir):
+    """The same peaks by bounded least squares."""
+    r = coincidence.station_fits(_hits(spark, sf_dir), geometry.cabling(spark), curve=True)
+    return r.select("capture_id", "station", "success", "method", *(F.round(c, 6).alias(c) for c in FIT_COLUMNS))
+
+
 EFF0 = "eff0 AS (SELECT cnt.*, n_signal / n_triggers AS raw_efficiency, n_sideband / n_triggers * ((dt_max - dt_min) / (sb_max - sb_min)) AS accidental_efficiency, 0.9944578832097535::DOUBLE AS z FROM cnt JOIN {})"
 EFF = EFF0.format("win ON win.station = cnt.station") + """,
 eff AS (SELECT *, (raw_efficiency + z * z / n_triggers / 2) / (1 + z * z / n_triggers) AS centre, z * sqrt(raw_efficiency * (1 - raw_efficiency) / n_triggers + z * z / n_triggers / (4 * n_triggers)) / (1 + z * z / n_triggers) AS half FROM eff0)"""
@@ -513,6 +540,22 @@ def a24_wilson_interval(spark, sf_dir):
     return ci.select("l_suppkey", "k", "n", F.round("ci.lo", 9).alias("lo"), F.round("ci.hi", 9).alias("hi"))
 
 
+def _tail(x: str, k: str) -> str:
+    """The probability of k or more of n at x."""
+    return f"list_sum(list_transform(range({k}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({x}) + (n - i) * ln(1 - {x}))))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') AS k, count(*) AS n FROM lineitem GROUP BY 1),
+b AS (SELECT l_suppkey, k, n, 0 AS step, 0::DOUBLE AS a0, 1::DOUBLE AS a1, 0::DOUBLE AS b0, 1::DOUBLE AS b1 FROM c
+ UNION ALL SELECT l_suppkey, k, n, step + 1, CASE WHEN t < 0.15865::DOUBLE THEN (a0 + a1) / 2 ELSE a0 END, CASE WHEN t < 0.15865::DOUBLE THEN a1 ELSE (a0 + a1) / 2 END, CASE WHEN u < 0.84135::DOUBLE THEN (b0 + b1) / 2 ELSE b0 END, CASE WHEN u < 0.84135::DOUBLE THEN b1 ELSE (b0 + b1) / 2 END
+ FROM (SELECT *, CASE WHEN k > 0 THEN {_tail("((a0 + a1) / 2)", "k")} ELSE 1 END AS t, CASE WHEN k < n THEN {_tail("((b0 + b1) / 2)", "k + 1")} ELSE 0 END AS u FROM b) x WHERE step < 45)
+SELECT l_suppkey, k, n, round((a0 + a1) / 2, 8) AS lo, round((b0 + b1) / 2, 8) AS hi FROM b WHERE step = 45""")
+def a24_exact_interval(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
+    ci = rows.withColumn("ci", fs.clopper_pearson(F.col("k"), F.col("n")))
+    return ci.select("l_suppkey", "k", "n", F.round("ci.lo", 8).alias("lo"), F.round("ci.hi", 8).alias("hi"))
+
+
 ANALYSED = [c for c in FIT_COLUMNS if c not in ("mu", "sigma")] + ["mu_ns", "sigma_ns", "efficiency", "efficiency_corrected", "efficiency_lo", "efficiency_hi", "raw_efficiency", "accidental_efficiency"]
 
 

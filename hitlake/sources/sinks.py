@@ -30,6 +30,14 @@ def load_hits(spark: SparkSession, path: str, columns: list[str] | None = None,
     return rows.select(*KEY, *columns) if columns else rows
 
 
+def write_interval_store(hits: DataFrame, table: str, buckets: int = 256) -> None:
+    """Hits as a table of the catalog, bucketed by capture and marker interval: coincidence on it moves no hits.
+
+    ``buckets`` fixes the tasks that read it: some for each core and no more than the files a folder may hold.
+    """
+    hits.write.mode("overwrite").format("parquet").bucketBy(buckets, "capture_id", "srs_timestamp").sortBy("capture_id", "srs_timestamp").saveAsTable(table)
+
+
 def write_counts(counts: DataFrame, path: str) -> None:
     """Histograms, one folder a capture; a capture that is written again replaces its own."""
     counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("capture_id").parquet(path)
