@@ -6,7 +6,7 @@ the difference of ranks, or the full profile length for an n-gram the profile la
 
 Null or letterless texts give ``und`` with score 0. Ties go to the language first in order of name. Empty training
 data gives ``und`` throughout. Rows with null lang or null text are not learned from. Repeated rows count as often as they
-stand there and are predicted alike; texts are read whole, whatever their length; other columns are ignored.
+stand there and are predicted alike; texts are read whole, a megabyte at a time; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from .text import slices, tidy
 
 SLOTS = 1 << 16
 RANKS = 400
+PIECE = 1 << 20  # characters of a text at a time
 UNKNOWN = "und"
 
 
@@ -48,12 +49,43 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate([(one[cp > 0] >> 16), (two >> 16), (three >> 16)]).astype(np.uint16)
 
 
-def ranked(codes: np.ndarray, ranks: int) -> np.ndarray:
-    """The most frequent codes, most frequent first; ties by code."""
-    if len(codes) < 3000:
+def gram_counts(text: str) -> np.ndarray:
+    """How often each of the SLOTS codes is in grams(text), PIECE characters at a time."""
+    total, last, was_letter, start = np.zeros(SLOTS, np.int64), np.zeros(1, np.uint32), False, 0
+    found = False
+
+    def add(new: np.ndarray) -> np.ndarray:
+        """Count the n-grams that end in ``new``; what is to be kept for those that begin here."""
+        cp = np.concatenate([last, new]).astype(np.uint32)
+        one = cp * np.uint32(2654435761)
+        two = (one[:-1] ^ (cp[1:] * np.uint32(2246822519))) * np.uint32(3266489917) + np.uint32(1)
+        three = (two[:-1] ^ (cp[2:] * np.uint32(668265263))) * np.uint32(374761393) + np.uint32(2)
+        k = len(last)
+        for codes in (one[k:][new > 0], two[k - 1 :], three):  # last has two at most
+            total[:] += np.bincount(codes >> 16, minlength=SLOTS)
+        return cp[-2:]
+
+    while start < len(text):
+        end = start + PIECE
+        if end < len(text):
+            end = text.rfind(" ", start + 1, end) + 1 or end  # lower-casing looks at whole words
+        cp = np.frombuffer(text[start:end].lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters()[cp]
+        found = found or bool(letter.any())
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= was_letter
+        last, was_letter, start = add(np.where(letter, cp, 0)[keep]), bool(letter[-1]), end
+    last = add(np.zeros(1, np.uint32))
+    return total if found else np.zeros(SLOTS, np.int64)
+
+
+def ranked(codes: np.ndarray, ranks: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The most frequent codes, most frequent first; ties by code. counts: how often each is there, in place of codes."""
+    if counts is None and len(codes) < 3000:
         found, n = np.unique(codes, return_counts=True)
     else:
-        n = np.bincount(codes, minlength=SLOTS)
+        n = np.bincount(codes, minlength=SLOTS) if counts is None else counts
         found = np.flatnonzero(n)
         n = n[found]
     key = n.astype(np.int64) * SLOTS + (SLOTS - 1 - found.astype(np.int64))
@@ -74,7 +106,7 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> dict[str, np.ndarray]:
                 for t, lang in zip(texts[lo:hi], langs[lo:hi], strict=True):
                     by.setdefault(lang, []).append(t)
                 for lang, some in by.items():
-                    counts = np.bincount(grams("\n".join(some)), minlength=SLOTS)
+                    counts = gram_counts("\n".join(some))
                     held[lang] = held[lang] + counts if lang in held else counts
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
@@ -92,12 +124,14 @@ def learn(docs: DataFrame, ranks: int = RANKS) -> dict[str, np.ndarray]:
 def _predict(texts: list[str | None], langs: list[str], table: np.ndarray, ranks: int) -> tuple[list[str], list[float]]:
     pred, score = [], []
     for t in texts:
-        codes = grams(t) if t and langs else ()
-        if not len(codes):
+        if t and langs and len(t) > PIECE:
+            own = ranked(np.empty(0, np.uint16), ranks, gram_counts(t))
+        else:
+            own = ranked(grams(t) if t and langs else np.empty(0, np.uint16), ranks)
+        if not len(own):
             pred.append(UNKNOWN)
             score.append(0.0)
             continue
-        own = ranked(codes, ranks)
         theirs = table[:, own]
         away = np.where(theirs < 0, ranks, np.abs(theirs - np.arange(len(own)))).sum(1)
         best = int(away.argmin())

@@ -5,11 +5,12 @@ punctuation at the ends, hashed to 2^22 slots. FTRL-proximal keeps a learning ra
 term leaves few weights other than zero, so that the model is small enough to broadcast: at most
 ``shards * features kept`` (slot, weight) pairs.
 
-Training reads at most ``max_rows`` labelled rows, those with the smallest hash of their id, in ``shards`` groups,
-each learned by one task over a bounded sample; the weights are averaged over the groups (one group by default, which
-learns rare words best). Null labels are left out; rows of one id with
+Training reads at most ``max_rows`` labelled rows, those with the smallest hash of their id, and of these as many, in
+that order, as have ``max_features`` distinct features together, in ``shards`` groups, each learned by one task over a
+bounded sample; the weights are averaged over the groups (one group by default, which learns rare words best). Features
+are taken before rows are grouped, so that long texts do not meet in one task. Null labels are left out; rows of one id with
 several labels all count. Null texts are empty: they get the score of the bias. Without training rows the score is 0. Labels all
-of one kind give the bias that sign. Very long texts are read whole. Repeated rows score alike; ties of the hash go by
+of one kind give the bias that sign; very long texts are read whole. Repeated rows score alike; ties of the hash go by
 id, then label. Other columns are ignored, and an empty table gives no rows.
 """
 
@@ -21,9 +22,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import remove, shared_folder
 from .text import P1, doc_of, mixed, slices, tidy, utf8, whole, word_ids
 
 SLOTS = 1 << 22
@@ -68,21 +70,40 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: int = 1, epochs: int = 4, label: str = "toxic") -> dict[int, float]:
+def distinct(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The distinct slots of each text, in order."""
+    owner, slots = features(texts)
+    both = np.unique(owner.astype(np.int64) * SLOTS + slots)
+    cuts = np.searchsorted(both, np.arange(1, len(texts)) * SLOTS)
+    return [(x % SLOTS).astype(np.int32) for x in np.split(both, cuts)]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: int = 1, epochs: int = 4, label: str = "toxic", max_features: int = 1 << 27) -> dict[int, float]:
     """Weights by slot (SLOTS: the bias) from the labelled rows of docs (doc_id, text)."""
     known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "label").limit(max_rows)
-    rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod("h", F.lit(shards)))
+    rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for lo, hi in slices(texts):
+                found = [x.astype("<i4").tobytes() for x in distinct(texts[lo:hi])]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in ("h", "doc_id", "label")), pa.array(found, pa.binary())], ["h", "doc_id", "label", "slots"])
+
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession, "features")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows.select("h", "doc_id", "label", "text").mapInArrow(tidy(take), f"h long, doc_id {kind}, label int, slots binary").write.parquet(folder)
+    taken = spark.read.parquet(folder)
+    key = ["h", "doc_id", "label"]
+    so_far = F.sum("n").over(Window.orderBy(*key))  # max_rows small rows at most
+    held = taken.select(*key, (F.octet_length("slots") / 4).alias("n")).withColumn("so_far", so_far).where(F.col("so_far") <= max_features)
+    sample = taken.join(F.broadcast(held.select(key).distinct()), key, "left_semi").withColumn("shard", F.pmod("h", F.lit(shards)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        model, rows = Ftrl(), []
+        model = Ftrl()
         pdf = pdf.sort_values(["h", "doc_id", "label"], kind="stable")
-        texts, marks = pdf["text"].tolist(), pdf["label"].tolist()
-        for lo, hi in slices(texts):
-            owner, slots = features(texts[lo:hi])
-            both = np.unique(owner.astype(np.int64) * SLOTS + slots)
-            cuts = np.searchsorted(both, np.arange(1, hi - lo) * SLOTS)
-            rows += [np.append(x % SLOTS, SLOTS).astype(np.int32) for x in np.split(both, cuts)]
+        rows, marks = [np.append(np.frombuffer(x, "<i4"), np.int32(SLOTS)) for x in pdf["slots"]], pdf["label"].tolist()
         for _ in range(epochs):
             for at, mark in zip(rows, marks, strict=True):
                 model.learn(at, mark)
@@ -90,8 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: in
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at.astype(np.int64), "w": w[at]})
 
-    fitted = rows.groupBy("shard").applyInPandas(fit, "slot long, w double")
-    return {r["slot"]: r["w"] / shards for r in fitted.groupBy("slot").agg(F.sum("w").alias("w")).collect()}
+    fitted = sample.groupBy("shard").applyInPandas(fit, "slot long, w double")
+    weights = {r["slot"]: r["w"] / shards for r in fitted.groupBy("slot").agg(F.sum("w").alias("w")).collect()}
+    remove(spark, folder)
+    return weights
 
 
 def score(docs: DataFrame, weights: dict[int, float], key: str = "doc_id") -> DataFrame:
