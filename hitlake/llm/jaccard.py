@@ -46,7 +46,8 @@ from .text import Seen, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 COUNTERS = (16, 22)  # least and most bits of the table of counts
 BLOB = 1 << 14  # counters in one row
 HOT = 4096  # rows of a shingle that one task may get
-CELL = 128  # documents, those of many shingles counting more
+CELL = 8  # documents of a neighbourhood that pivots do not cut; those of many shingles count more
+BLOCK = 128  # documents joined by one product where pivots cannot cut
 WEIGHT = 4096  # shingles that count as one more document
 PIVOTS = 32
 PART = 1024  # documents measured together
@@ -311,7 +312,7 @@ def possible(members: DataFrame, rule: Rule) -> DataFrame:
     """Of members (p, c, n, data: folded counts) of small regions those (p, c) that may link to another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_runs(batches, "p", 4 * CELL):
+        for t in _by_runs(batches, "p", 4 * BLOCK):
             p, n = t.column("p").to_numpy(), t.column("n").to_numpy().astype(np.int64)
             folds = [np.frombuffer(x, "<u4").astype(np.int64) for x in t.column("data").to_pylist()]
             cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
@@ -343,7 +344,7 @@ def _within(members: DataFrame, rule: Rule) -> DataFrame:
     """Links among the members (p, c, data: sets) of regions that fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_runs(batches, "p", 4 * CELL):
+        for t in _by_runs(batches, "p", 4 * BLOCK):
             p, keys, sets = t.column("p").to_numpy(), t.column("c").to_pylist(), _sets(t.column("data"))
             cuts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist(), len(p)]
             pairs = [x for a, z in zip(cuts, cuts[1:], strict=False) for x in _linked(keys[a:z], sets[a:z], rule)]
@@ -406,9 +407,9 @@ def _regions(measured: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _blocks(members: DataFrame, rule: Rule) -> DataFrame:
-    """Links among the members (p, c, n, settled, shingles) of regions that pivots do not cut: blocks of about CELL meet, if not both are settled."""
+    """Links among the members (p, c, n, settled, shingles) of regions that pivots do not cut: blocks of about BLOCK meet, if not both are settled."""
     rows = members.withColumn("size", 2 * rule.size_class(F.col("n")) + F.col("settled").cast("int"))
-    parts = rows.groupBy("p", "size").agg(F.ceil(F.sum(_weight()) / CELL).cast("int").alias("parts"))
+    parts = rows.groupBy("p", "size").agg(F.ceil(F.sum(_weight()) / BLOCK).cast("int").alias("parts"))
     placed = rows.join(parts, ["p", "size"]).withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts").cast("long")).cast("int"))
     every = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("p", "size", "part")
     x, y = every.alias("x"), every.alias("y")
