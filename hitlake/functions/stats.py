@@ -148,7 +148,7 @@ def fit_gaussians(x: np.ndarray, y: np.ndarray, start: np.ndarray, steps: int =
 
 def percent_text(k: Column, n: Column, digits: int = 2) -> Column:
     """k of n as text in percent."""
-    return F.format_string(f"%.{digits}f%%", 100.0 * F.coalesce(F.try_divide(k.cast("double"), n.cast("double")), F.lit(0.0)))
+    return F.format_string(f"%.{digits}f%%", F.round(100.0 * F.coalesce(F.try_divide(k.cast("double"), n.cast("double")), F.lit(0.0)), digits))
 
 
 def dedup_triggers(phases: Column, dead_ns: float) -> Column:

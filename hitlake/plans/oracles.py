@@ -124,3 +124,28 @@ def oracle(select: str, data_format: str = "SRS", corrupt: bool = False, extra:
     fields = [SENT, FIELDS.replace("FROM words)", "FROM sent)")] if sent else [FIELDS]
     parts = [ctes("events", data_format, corrupt), *fields, MARKS[data_format], HITS, DIMENSIONS, groups(source)]
     return "WITH " + ",".join(p.strip() for p in parts) + (f",\n{extra}" if extra else "") + "\n" + select
+
+
+def greedy_wiring(passes: int = 2) -> str:
+    """w{n} (station, s): the orderings of the six halves after each step, of the counts of in_time; hv numbers the halves.
+
+    A step tries the three orderings of one half of every station, the others as they are; ties go to the first.
+    """
+    tables = [
+        "cnt AS MATERIALIZED (SELECT vmm, ch, count(*) AS n FROM in_time GROUP BY ALL)",
+        "hv AS (SELECT station, connector, half, vmm, (connector - 4) * 2 + CASE WHEN half = 'top' THEN 1 ELSE 0 END AS h FROM cabling)",
+        "w0 AS (SELECT DISTINCT station, ['reverse', 'reverse', 'reverse', 'reverse', 'reverse', 'reverse'] AS s FROM cabling)",
+    ]
+    for k in range(6 * passes):
+        h = k % 6
+        tables += [
+            f"t{k} AS (SELECT station, idx, list_concat(list_concat(s[1:{h}], [o]), s[{h + 2}:6]) AS s FROM w{k}, (VALUES ('linear', 0), ('reverse', 1), ('pairswap', 2)) t(o, idx))",
+            f"""l{k} AS MATERIALIZED (SELECT t.station, idx, v.vmm, c.range AS ch, pad_cx, pad_cy, coalesce(n, 0) AS n FROM t{k} t JOIN hv v ON v.station = t.station CROSS JOIN range(64) c
+ JOIN geometry g ON g.channel_id = (connector - 1) * 128 + CASE WHEN half = 'top' THEN 64 ELSE 0 END + CASE s[v.h + 1] WHEN 'linear' THEN c.range WHEN 'reverse' THEN 63 - c.range ELSE xor(c.range, 1) END LEFT JOIN cnt ON cnt.vmm = v.vmm AND cnt.ch = c.range)""",
+            f"""m{k} AS MATERIALIZED (SELECT station, idx, vmm, ch, any_value(n) AS n, median(near) AS m FROM (SELECT a.station, a.idx, a.vmm, a.ch, a.n, b.n AS near, row_number() OVER (PARTITION BY a.station, a.idx, a.vmm, a.ch ORDER BY sqrt((a.pad_cx - b.pad_cx) * (a.pad_cx - b.pad_cx) + (a.pad_cy - b.pad_cy) * (a.pad_cy - b.pad_cy)), b.vmm, b.ch) AS r
+ FROM l{k} a JOIN l{k} b ON a.station = b.station AND a.idx = b.idx AND NOT (a.vmm = b.vmm AND a.ch = b.ch)) x WHERE r <= 6 GROUP BY ALL)""",
+            f"""r{k} AS MATERIALIZED (SELECT station, idx, CASE WHEN count(*) FILTER (ok) >= 10 THEN median(CASE WHEN ok THEN abs(n - m) / (n + m + 1) END) ELSE 'infinity'::DOUBLE END AS r
+ FROM (SELECT *, max(m) OVER w > 0 AND m > 0.05 * max(m) OVER w AND sum(n) OVER w >= 500 AND count(*) OVER w >= 20 AS ok FROM m{k} WINDOW w AS (PARTITION BY station, idx)) x GROUP BY ALL)""",
+            f"w{k + 1} AS MATERIALIZED (SELECT t.station, first(s ORDER BY r, t.idx) AS s FROM t{k} t JOIN r{k} r ON r.station = t.station AND r.idx = t.idx GROUP BY t.station)",
+        ]
+    return ",\n".join(tables)

@@ -18,7 +18,7 @@ from ..schema import EFFICIENCY_FIELDS, HIT_COLUMNS, KEY, PAD_FIELDS, STATION_VM
 from ..sources import capture, sidecar, sinks
 from ..streaming import live
 from . import inputs
-from .oracles import fits, oracle, pmod, spectra, wrap
+from .oracles import fits, greedy_wiring, oracle, pmod, spectra, wrap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -628,7 +628,7 @@ def a31_wiring_per_half(spark, sf_dir):
     return r.select("station", "connector", "half", "vmm", "strategy", F.round("distance", 6).alias("distance"), "picked")
 
 
-@query()
+@query(oracle("SELECT hv.station, connector, half, s[h + 1] AS strategy FROM w12 JOIN hv ON hv.station = w12.station", extra=greedy_wiring(), source="channel_masked"))
 def a32_wiring_roughness(spark, sf_dir):
     best = maps.scan_wiring_roughness(_scanned(spark, sf_dir), inputs.pad_geometry(spark), passes=2)
     return spark.createDataFrame([(*k, v) for k, v in sorted(best.items())], "station string, connector int, half string, strategy string")
@@ -891,7 +891,7 @@ def f8_triplet_hash(spark, sf_dir):
 @query(oracle("SELECT vmm, CAST(count(*) FILTER (over_threshold) AS BIGINT) AS k, printf('%.2f%%', round(100::DOUBLE * count(*) FILTER (over_threshold) / count(*), 2)) AS share FROM hits GROUP BY vmm"))
 def f13_percent_text(spark, sf_dir):
     rows = _raw(spark, sf_dir).groupBy("vmm").agg(F.count_if("over_threshold").alias("k"), F.count("*").alias("n"))
-    return rows.select("vmm", "k", F.format_string("%.2f%%", F.round(100.0 * F.col("k") / F.col("n"), 2)).alias("share"))
+    return rows.select("vmm", "k", fs.percent_text(F.col("k"), F.col("n")).alias("share"))
 
 
 # --- side files -----------------------------------------------------------------------------------------------------
