@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import bits, gray2bin
+from ..lineage import small
 
 HEADER = 16
 MAGIC = b"VM3"
@@ -20,9 +21,14 @@ def has_magic() -> Column:
     return F.substring("payload", 5, 3) == F.lit(MAGIC)
 
 
-def select_packets(packets: DataFrame, src_ips: list[str] | None = None) -> DataFrame:
-    """Packets that hold hit words: longer than 22 bytes, with the magic, of the given sources if any."""
+def select_packets(packets: DataFrame, src_ips: list[str] | DataFrame | None = None) -> DataFrame:
+    """Packets that hold hit words: longer than 22 bytes, with the magic, of the given sources if any.
+
+    Sources are addresses, or a table by capture (detect_sources), however many it has.
+    """
     out = packets.where((F.octet_length("payload") > 22) & has_magic())
+    if isinstance(src_ips, DataFrame):
+        return out.join(small(src_ips.select("capture_id", "src_ip").distinct()), ["capture_id", "src_ip"], "left_semi").select(packets.columns)
     return out.where(F.col("src_ip").isin(*src_ips)) if src_ips is not None else out
 
 
@@ -33,10 +39,10 @@ def detect_sources(packets: DataFrame, n_probe: int = 500) -> DataFrame:
 
 
 def known_sources(packets: DataFrame, n_probe: int = 500, most: int = 1000) -> list[str]:
-    """Addresses of detect_sources; raises if there are none, or more than ``most``: a part of them would lose packets."""
+    """Addresses of detect_sources; raises if there are none, or more than ``most``: then select packets by that table."""
     found = sorted(r["src_ip"] for r in detect_sources(packets, n_probe).select("src_ip").distinct().limit(most + 1).collect())
     if len(found) > most:
-        raise ValueError(f"more than {most} sources: join the packets with detect_sources by capture_id and src_ip")
+        raise ValueError(f"more than {most} sources: give detect_sources itself to select_packets or to_words")
     if not found:
         raise ValueError(f"no packet with the magic in the first {n_probe} packets")
     return found
@@ -62,7 +68,7 @@ def headers(packets: DataFrame) -> DataFrame:
     return packets.withColumns({"frame": _number(F.col("payload"), 0, 4), "fec": bits(_number(F.col("payload"), 7, 1), 4, 15)})
 
 
-def to_words(packets: DataFrame, src_ips: list[str] | None = None, mode: str = "main") -> DataFrame:
+def to_words(packets: DataFrame, src_ips: list[str] | DataFrame | None = None, mode: str = "main") -> DataFrame:
     """One row per word.
 
     mode ``main`` reads ceil((length - 22) / 6) words, which leaves out a packet's last whole one; ``simple`` reads

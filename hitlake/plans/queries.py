@@ -95,6 +95,13 @@ def p2_detect_sources(spark, sf_dir):
     return ow.detect_sources(_packets(spark, sf_dir))
 
 
+@query(oracle("SELECT p.capture_id, p.pkt_no, p.src_ip FROM pk p WHERE magic AND EXISTS (SELECT 1 FROM pk q WHERE q.capture_id = p.capture_id AND q.src_ip = p.src_ip AND q.magic AND q.pkt_no < 5)", extra=PKT))
+def p2_packets_of_sources(spark, sf_dir):
+    """Packets of the sources that each capture's first five packets show."""
+    packets = _packets(spark, sf_dir)
+    return ow.select_packets(packets, ow.detect_sources(packets, 5)).select("capture_id", "pkt_no", "src_ip")
+
+
 @query(oracle("SELECT capture_id, pkt_no, frame, fec FROM pk", extra=PKT))
 def p3_headers(spark, sf_dir):
     return ow.headers(_packets(spark, sf_dir)).select("capture_id", "pkt_no", "frame", "fec")
@@ -392,6 +399,13 @@ _counts_query("a4_adc_vs_channel", "hist = 'adc_vs_ch'")
 _counts_query("a5_time_profile", "hist = 'time_profile'")
 
 
+@query(oracle("SELECT k.capture_id, k.vmm, b.range AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT capture_id, vmm FROM hits) k CROSS JOIN range(32) b LEFT JOIN (SELECT capture_id, vmm, bin, n FROM counts WHERE hist = 'offset') c ON c.capture_id = k.capture_id AND c.vmm = k.vmm AND c.bin = b.range", extra=COUNTS))
+def a1_dense_offsets(spark, sf_dir):
+    """One family with its empty bins."""
+    dense = histograms.dense(histograms.build_counts(_raw(spark, sf_dir)), "offset")
+    return dense.select("capture_id", "vmm", F.posexplode("bins").alias("bin", "n"))
+
+
 @query(oracle("SELECT capture_id, vmm, count(*) AS n FROM hits GROUP BY ALL"))
 def a2_hits_per_vmm(spark, sf_dir):
     return histograms.hits_per_vmm(_raw(spark, sf_dir))
