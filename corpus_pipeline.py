@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitlake.lineage import shared_folder
+from hitlake.lineage import remove, shared_folder
 from hitlake.llm import decontaminate, jaccard, language, packing, substrings
 from hitlake.llm.text import table
 from hitlake.shipping import ship
@@ -62,7 +62,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline's rows; what lies between stages is in the cluster's shared folder."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "pipeline")
+    last = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")  # what a later stage has taken in is read no more
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
