@@ -46,7 +46,7 @@ from .text import Seen, gram_hashes, mixed, slices, tidy, utf8, whole, word_ids
 COUNTERS = (16, 22)  # least and most bits of the table of counts
 BLOB = 1 << 14  # counters in one row
 HOT = 4096  # rows of a shingle that one task may get
-CELL = 8  # documents of a neighbourhood that pivots do not cut; those of many shingles count more
+CELL = 128  # documents of a neighbourhood that pivots do not cut; those of many shingles count more
 BLOCK = 128  # documents joined by one product where pivots cannot cut
 WEIGHT = 4096  # shingles that count as one more document
 PIVOTS = 32
