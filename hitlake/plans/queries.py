@@ -16,7 +16,7 @@ from ..operators import hits as oh
 from ..operators import words as ow
 from ..schema import EFFICIENCY_FIELDS, HIT_COLUMNS, KEY, PAD_FIELDS, STATION_VMMS, STRATEGIES, SUPPLIES
 from ..sources import capture, sidecar, sinks
-from ..streaming import live
+from ..streaming import live, windows
 from . import inputs
 from .oracles import fits, greedy_wiring, oracle, pmod, spectra, wrap
 
@@ -1080,6 +1080,15 @@ def t4_t5_newest_hits(spark, sf_dir):
     path = _follow(spark, sf_dir, lambda packets, path: live.keep_last(live.stream_hits(packets), path, 3000, None))
     return live.newest_histograms(live.newest(spark, path))
 
+WINDOWED = "windowed AS (SELECT *, count(*) OVER (PARTITION BY capture_id) AS seen, CASE WHEN vmm < 2 THEN 'X' WHEN vmm < 4 THEN 'Y' END AS pair FROM hits QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY pkt_no DESC, word_no DESC) <= 200), paired AS (SELECT *, min(adc) OVER (PARTITION BY capture_id, pair) AS lo, max(adc) OVER (PARTITION BY capture_id, pair) AS hi FROM windowed WHERE pair IS NOT NULL)"
+
+
+@query(oracle("SELECT 'capture-' || capture_id || '.pcapng' AS capture_id, * EXCLUDE (capture_id) FROM (SELECT capture_id, seen, 'adc' AS hist, vmm, CAST(least(floor(adc * 20 / 1024::DOUBLE), 19) AS BIGINT) AS bin, count(*) AS n FROM windowed GROUP BY ALL UNION ALL SELECT capture_id, seen, 'ch' AS hist, vmm, ch AS bin, count(*) AS n FROM windowed GROUP BY ALL UNION ALL SELECT capture_id, seen, pair AS hist, NULL AS vmm, CASE WHEN lo = hi THEN 2 ELSE least((adc - lo) * 5 // (hi - lo), 4) END AS bin, count(*) AS n FROM paired GROUP BY ALL)", extra=WINDOWED, sent=True))
+def t4_t5_count_windows(spark, sf_dir):
+    """Histograms of the newest 200 hits of each capture, from rings in state."""
+    path = _follow(spark, sf_dir, lambda packets, path: windows.keep_windows(windows.count_window(live.stream_hits(packets), 200), path, None))
+    return windows.window_histograms(live.newest(spark, f"{path}/windows"), pairs={"X": (0, 1), "Y": (2, 3)})
+
 
 CLOSED = ["pkt_no < 10", "pkt_no < 40", "TRUE"]
 
