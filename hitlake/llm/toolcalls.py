@@ -1,12 +1,14 @@
 """Tool-call linking for chat data: calls and results joined by identifier, ordered, validated and serialised.
 
-``link`` takes calls (conv_id, call_id, turn, name, arguments: JSON text, after: the call_id whose result it uses, or
-null) and results (conv_id, call_id, turn, content). Everything is DataFrame operations:
+``link`` takes calls (conv_id, call_id, turn, name, arguments: JSON text, after: the call_id whose result it uses, an
+array of several, or null) and results (conv_id, call_id, turn, content). Everything is DataFrame operations:
 
 * a shuffled hash join by (conv_id, call_id); a call's result is the one of the lowest turn, further ones count in
   ``n_results``; calls without result are ``unanswered``, results without call ``orphan``;
-* topological order: ``depth`` is the number of calls before it on its chain of ``after``, found by pointer doubling in
-  a logarithmic number of joins; -1 for a chain that runs in a circle; an ``after`` that does not exist starts a chain;
+* topological order of the graph of ``after``: ``depth`` is the number of calls before it on the longest way to it; -1
+  in and behind a circle; ids in ``after`` that do not exist or are repeated do not count. Chains of calls with one
+  predecessor are spanned by pointer doubling in a logarithmic number of joins; calls with several are then resolved in
+  as many rounds as lie on one way, and only such calls take part;
 * arguments against a schema by tool name: ``errors`` lists what is missing, unknown or of another type;
 * canonical JSON: sorted keys, no blanks, from Spark's variant form of the arguments.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .text import cut_lineage
 
@@ -48,18 +51,43 @@ def argument_errors(name: Column, parsed: Column, schemas: dict[str, dict]) -> C
     return F.when(parsed.isNull(), F.array(F.lit("arguments are not JSON"))).otherwise(out)
 
 
+def _edges(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, after) for each call that another one comes after."""
+    several = isinstance(calls.schema["after"].dataType, ArrayType)
+    pairs = calls.select(*KEY, F.explode(F.array_distinct("after") if several else F.array("after")).alias("after"))
+    return pairs.join(calls.select("conv_id", F.col("call_id").alias("after")), ["conv_id", "after"], "left_semi")
+
+
 def depths(calls: DataFrame) -> DataFrame:
-    """KEY and depth of each call by pointer doubling over ``after``."""
-    ids = calls.select(*KEY)
-    known = calls.select("conv_id", "call_id", "after").join(ids.withColumnRenamed("call_id", "after").withColumn("there", F.lit(True)), ["conv_id", "after"], "left")
-    state = cut_lineage(known.select("conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("to")).withColumn("depth", F.col("to").isNotNull().cast("long")))
+    """KEY and depth of each call over ``after``: chains by pointer doubling, then calls with several predecessors."""
+    edges = cut_lineage(_edges(calls))
+    before = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("after").alias("to"))
+    first = calls.select(*KEY).join(before, KEY, "left").withColumn("several", F.coalesce(F.col("n") > 1, F.lit(False)))
+    chained = F.col("n") == 1
+    # to: where a call's pointer is; head: where its chain begins, once the pointer has come there; depth: the way so far
+    state = cut_lineage(first.select(*KEY, "several", F.when(chained, F.col("to")).alias("to"), F.when(F.coalesce(chained, F.lit(False)), None).otherwise(F.col("call_id")).alias("head"), F.coalesce(chained, F.lit(False)).cast("long").alias("depth")))
     # a pointer spans twice as many calls each round; what is left when it would span all of them runs in a circle
     for _ in range(state.count().bit_length()):
         if not state.where("to IS NOT NULL").limit(1).count():
             break
-        up = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        state = cut_lineage(state.join(up, ["conv_id", "to"], "left").select("conv_id", "call_id", F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-    return state.select(*KEY, F.when(F.col("to").isNull(), F.col("depth")).otherwise(F.lit(-1)).alias("depth"))
+        up = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("head").alias("found"), F.col("depth").alias("more"))
+        state = cut_lineage(state.join(up, ["conv_id", "to"], "left").select(*KEY, "several", F.col("next").alias("to"), F.coalesce("head", "found").alias("head"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+    joined = state.join(_joins(state, edges), ["conv_id", "head"], "left") if state.where("several").limit(1).count() else state.withColumn("start", F.when(F.col("head").isNotNull(), F.lit(0)))
+    return joined.select(*KEY, F.coalesce(F.col("start") + F.col("depth"), F.lit(-1)).alias("depth"))
+
+
+def _joins(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, head, start: its depth) of the calls that begin chains; those in and behind circles are left out."""
+    heads = state.where("head = call_id")
+    ways = edges.join(heads.where("several").select(*KEY), KEY, "left_semi").join(state.select("conv_id", F.col("call_id").alias("after"), "head", (F.col("depth") + 1).alias("hop")), ["conv_id", "after"])
+    links = cut_lineage(ways.groupBy(*KEY, "head").agg(F.max("hop").alias("hop")))  # a head in a circle is null
+    done, known = cut_lineage(heads.where("NOT several").select("conv_id", "head", F.lit(0).cast("long").alias("start"))), -1
+    roots = done
+    while (n := done.count()) > known:
+        known = n
+        tried = links.join(done, ["conv_id", "head"], "left").groupBy(*KEY).agg(F.max(F.col("hop") + F.col("start")).alias("start"), F.count("start").alias("there"), F.count("*").alias("all"))
+        done = cut_lineage(roots.unionByName(tried.where("`there` = `all`").select("conv_id", F.col("call_id").alias("head"), "start")))
+    return done
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
