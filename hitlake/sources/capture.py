@@ -2,7 +2,7 @@
 
 ``read_packets`` gives one row per UDP payload: capture_id (the file's name), pkt_no (the packet's place among all
 packets of the file), src_ip, dst_ip and payload. Files of up to ``split_bytes`` are read by the data source
-``capture``, a task each, in one pass with buffered reads; ``start`` and ``max_packets`` choose a packet range, which
+``capture``, small ones together in a task, in one pass with buffered reads; ``start`` and ``max_packets`` choose a packet range, which
 ends the read early. Larger files are cut into byte ranges: a first job finds in each range the first block
 that begins a chain of valid ones and counts the packets, the ranges' ends are checked against the next starts (a range
 that took data for a block is walked again from the true place), running sums give the packet numbers, and a second job
@@ -52,6 +52,8 @@ ARROW = pa.schema([("capture_id", pa.string()), ("pkt_no", pa.int64()), ("src_ip
 KINDS = (SECTION, INTERFACE, SIMPLE, 4, 5, ENHANCED, 10, 0xBAD, 0x40000BAD)  # blocks that may begin a chain
 BATCH = 4096
 SPLIT = 128 << 20
+SMALL = 4 << 20  # a task reads small files up to this size together, and more where there are many
+NAMES = 1000  # of complete captures that a task gives
 CHAIN = 16  # blocks that tell a block's start from data
 PORTION = 256 << 20  # of a file, whose packets are numbered together
 WINDOW = 1 << 20  # bytes searched at a time; no block of a followed capture is longer
@@ -189,7 +191,7 @@ def local(path: str) -> str:
 
 @dataclass
 class Piece(InputPartition):
-    path: str
+    paths: list[str]
     start: int = 0
     stop: int | None = None
 
@@ -200,12 +202,23 @@ class Reader(DataSourceReader):
         self.start = int(options.get("start", 0))
         most = options.get("maxpackets")
         self.stop = None if most is None else self.start + int(most)
+        self.together = int(options.get("together", 0))
 
     def partitions(self) -> list[InputPartition]:
-        return [Piece(p, self.start, self.stop) for p in self.paths]
+        """Files in order, as many in a task as do not exceed ``together`` bytes, and one at least."""
+        pieces, held = [], 0
+        for path in self.paths:
+            size = os.path.getsize(path)
+            if not pieces or held + size > self.together:
+                pieces.append(Piece([], self.start, self.stop))
+                held = 0
+            pieces[-1].paths.append(path)
+            held += size
+        return pieces
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        yield from _batches(partition.path, partition.start, partition.stop)
+        for path in partition.paths:
+            yield from _batches(path, partition.start, partition.stop)
 
 
 class Capture(DataSource):
@@ -243,7 +256,8 @@ def read_packets(spark: SparkSession, path: str | list[str], start: int | None =
     if start is None and max_packets is None and max(sizes.values()) > split_bytes:
         return _read_ranges(spark, sizes, split_bytes)
     _register(spark, Capture)
-    options = {"start": start, "maxPackets": max_packets, "paths": json.dumps(sorted(sizes))}
+    together = min(SPLIT, max(SMALL, sum(sizes.values()) // spark.sparkContext.defaultParallelism))
+    options = {"start": start, "maxPackets": max_packets, "paths": json.dumps(sorted(sizes)), "together": together}
     return spark.read.format("capture").options(**{k: str(v) for k, v in options.items() if v is not None}).load()
 
 
@@ -426,20 +440,29 @@ def read_stream(spark: SparkSession, path: str, max_bytes_per_trigger: int = POR
 CLOSED = "capture_id string, path string, bytes long"
 
 
+@dataclass
+class Spans(InputPartition):
+    spans: list[Span]
+
+
 class Closed(DataSourceStreamReader):
     """Captures that are complete, each once: (capture_id, path, bytes).
 
     A name <interface>_<number>... has an interface and a place in its order; other names are an interface of their own.
     A capture is complete when a later one of its interface has appeared, or when its size has not changed for ``still``
     looks at the folder (with still = 0 at once: for what a finished run left). One that grows after that is given again,
-    whole. The offset has, for each interface, the number and size of the last complete one, whatever their count.
+    whole, also when later ones have become complete meanwhile; after a restart, so may one that had only rested.
+
+    The offset has, for each interface, the number and size of the last complete one and, with the option ``sizes``, the
+    size of every complete one in the folder. Without it, the growth of captures before that last one goes unseen.
     """
 
     def __init__(self, options: dict[str, str]):
         self.pattern = local(options["path"])
         self.still = int(options.get("still", 3))
+        self.sizes = options.get("sizes") == "true"
         self.looks: dict[str, tuple[str | None, int | None, int]] = {}  # last capture of an interface, its size, looks that found both again
-        self.given: dict[str, list[int]] = {}
+        self.given: dict[str, list] = {}
 
     def _there(self) -> dict[str, list[tuple[int, str, int]]]:
         """(number, path, size) of the captures of each interface, in order."""
@@ -456,29 +479,39 @@ class Closed(DataSourceStreamReader):
     def latestOffset(self) -> dict:  # noqa: N802
         there = self._there()
         for interface, captures in there.items():
-            number, path, size = captures[-1]
+            _, path, size = captures[-1]
             *same, looks = self.looks.get(interface, (None, None, 0))
             looks = looks + 1 if same == [path, size] else 0
             self.looks[interface] = (path, size, looks)
-            if looks >= self.still:
-                last = [number, size]
-            elif len(captures) > 1:
-                last = [captures[-2][0], captures[-2][2]]
-            else:
-                continue
-            self.given[interface] = max(last, self.given.get(interface, last))
+            if complete := captures if looks >= self.still else captures[:-1]:
+                sizes = [{p: n for _, p, n in complete}] if self.sizes else []
+                self._give(interface, [complete[-1][0], complete[-1][2], *sizes], {p for _, p, _ in captures})
         return {k: list(v) for k, v in self.given.items()}
 
+    def _give(self, interface: str, new: list, there: set[str]) -> None:
+        """Takes the larger numbers of two offsets; captures that are gone from the folder leave it."""
+        old = self.given.get(interface, new)
+        sizes = [v[2] for v in (old, new) if len(v) > 2]
+        merged = {p: max(d.get(p, 0) for d in sizes) for d in sizes for p in d if p in there}
+        self.given[interface] = [*max(old[:2], new[:2]), *([merged] if sizes else [])]
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.given = {k: max(v, self.given.get(k, v)) for k, v in (self.given | end).items()}
         there, pieces = self._there(), []
-        for interface, (number, size) in end.items():
-            low, seen = start.get(interface, [-1, 0])
-            pieces += [Span(path, n, size if n == number else had) for n, path, had in there.get(interface, []) if low < n <= number or (n == low == number and size > seen)]
-        return pieces
-
-    def read(self, partition: Span) -> Iterator[tuple]:
-        yield os.path.basename(partition.path), partition.path, partition.high
+        for offset in (start, end):
+            for interface, known in offset.items():
+                self._give(interface, known, {p for _, p, _ in there.get(interface, [])})
+        for interface, (number, size, *sizes) in end.items():
+            low, seen, *had = start.get(interface, [-1, 0])
+            for n, path, now in there.get(interface, []):
+                due = sizes[0].get(path, -1) if sizes else size if n == number else now if n < number else -1
+                before = had[0].get(path, -1) if had else due if n < low else seen if n == low else -1
+                if due > before:
+                    pieces.append(Span(path, n, due))
+        return [Spans(pieces[k : k + NAMES]) for k in range(0, len(pieces), NAMES)] if self.sizes else pieces
+
+    def read(self, partition: Span | Spans) -> Iterator[tuple]:
+        for span in getattr(partition, "spans", [partition]):
+            yield os.path.basename(span.path), span.path, span.high
 
 
 class ClosedCaptures(DataSource):
@@ -494,9 +527,9 @@ class ClosedCaptures(DataSource):
 
 
 def read_closed(spark: SparkSession, path: str, still: int = 3) -> DataFrame:
-    """A stream of the captures that are complete, each once; the checkpoint is the log of what is processed."""
+    """A stream of the captures that are complete, each once and again when it has grown; the checkpoint is the log of what is processed."""
     _register(spark, ClosedCaptures)
-    return spark.readStream.format("closed_captures").option("still", str(still)).load(path)
+    return spark.readStream.format("closed_captures").option("still", str(still)).option("sizes", "true").load(path)
 
 
 def _block(kind: int, body: bytes) -> bytes:
